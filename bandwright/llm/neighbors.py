@@ -66,21 +66,23 @@ def hashed(vectors: DataFrame, dimension: int, trees: int = TREES, bits: int = B
     return vectors.select("id", "vec").mapInArrow(hashes, "tree int, hash bigint, id bigint, vec array<float>")
 
 
-def _best(x: np.ndarray, ids: np.ndarray, lo: int, hi: int, k: int, floor: float, steps: int, digits: int):
+def _best(x: np.ndarray, x32: np.ndarray, lo: int, hi: int, k: int, floor: float, steps: int, digits: int):
     """Of rows lo..hi of the unit vectors ``x``, the k most similar among the rows within ``steps``, as (row, other, sim)."""
     a, b = max(0, lo - steps), min(len(x), hi + steps)
-    s = x[lo:hi].astype(np.float32) @ x[a:b].astype(np.float32).T
-    s[np.arange(hi - lo), np.arange(lo, hi) - a] = -2
-    near = floor - 1e-4
-    if s.shape[1] > k:  # nothing that is clearly below the k-th can be among the k best; ties stay
-        crowded = np.flatnonzero((s >= near).sum(axis=1) > k)
-        least = np.full(hi - lo, near, np.float32)
-        if len(crowded):
-            least[crowded] = np.maximum(near, np.partition(s[crowded], -k, axis=1)[:, -k] - 5e-6)
-        rows, cols = np.nonzero(s >= least[:, None])
-    else:
-        rows, cols = np.nonzero(s >= near)
-    for p in range(0, len(rows), 200_000):  # whole rows: the last row of a part goes to the next
+    s = x32[lo:hi] @ x32[a:b].T
+    np.fill_diagonal(s[:, lo - a :], -2)
+    hits = np.flatnonzero(s.ravel() >= np.float32(floor - 1e-4))
+    if not len(hits):
+        return
+    rows, cols = np.divmod(hits, b - a)
+    count = np.bincount(rows, minlength=hi - lo)
+    crowded = np.flatnonzero(count > k)
+    if len(crowded):  # nothing that is clearly below the k-th can be among the k best; ties stay
+        least = np.full(hi - lo, -2, np.float32)
+        least[crowded] = np.partition(s[crowded], -k, axis=1)[:, -k] - np.float32(5e-6)
+        keep = s.ravel()[hits] >= least[rows]
+        rows, cols = rows[keep], cols[keep]
+    for p in range(0, len(rows), 200_000):
         q = min(len(rows), p + 200_000)
         yield rows[p:q] + lo, cols[p:q] + a, np.round(np.einsum("ij,ij->i", x[rows[p:q] + lo], x[cols[p:q] + a]), digits)
 
@@ -89,7 +91,7 @@ def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps:
     """(id, other, sim) from the sorted arrays: of every tree the k best at least ``floor``."""
     n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(n, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
-    block = max(256, steps)
+    block = max(128, steps // 2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # (tree, ids, unit vectors)
@@ -98,11 +100,12 @@ def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps:
         def answer(final: bool):
             nonlocal held, size, done
             ids, x = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            x32 = x.astype(np.float32)
             end = size if final else size - steps
             while done < end:
                 hi = min(end, done + block)
                 rows, others, sims = [], [], []
-                for r, c, v in _best(x, ids, done, hi, k, floor, steps, digits):
+                for r, c, v in _best(x, x32, done, hi, k, floor, steps, digits):
                     ok = v >= floor
                     rows.append(r[ok]), others.append(ids[c[ok]]), sims.append(v[ok])
                 if rows:
@@ -137,7 +140,7 @@ def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps:
                 tree = trees[s]
                 held.append((tree, ids[s:e], x[s:e]))
                 size += e - s
-                if size - done >= 8 * block:
+                if size - done >= 8192:
                     yield from answer(False)
                 s = e
         if held:
