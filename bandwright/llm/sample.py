@@ -87,7 +87,7 @@ def quotas(shares: list[float], floors: list[int], size: int) -> list[int]:
             break
         fixed |= below
     got = [floors[i] if i in fixed else math.floor(ideal[i]) for i in range(len(shares))]
-    for i in sorted(free, key=lambda i: (got[i] - ideal[i], i))[: max(0, rest - sum(got[i] for i in free))]:
+    for i in sorted((i for i in free if shares[i] > 0), key=lambda i: (got[i] - ideal[i], i))[: max(0, rest - sum(got[i] for i in free))]:
         got[i] += 1
     return got
 
