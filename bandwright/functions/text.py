@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x{1C}-\x{1F}]"
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once: an expression inside a lambda is otherwise computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end (Spark's trim removes spaces only)."""
     return F.regexp_replace(c, f"(?U)^{BLANK}+|{BLANK}+$", "")
@@ -61,12 +66,11 @@ def length_gap(a: Column, b: Column) -> Column:
 
 def shingles(c: Column, n: int = 3) -> Column:
     """The set of character n-grams of the lower-case text; a shorter text is its own single shingle."""
-    low = F.lower(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    return F.array_distinct(grams)
+    grams = lambda low: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    return F.array_distinct(bind(F.lower(c), grams))
 
 
 def padded_trigrams(c: Column) -> Column:
     """Trigrams of the stripped lower-case text with two blanks at either end, repeats kept."""
     padded = F.concat(F.lit("  "), strip(F.lower(c)), F.lit("  "))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    return bind(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))

@@ -74,7 +74,8 @@ def similar_sets(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9
     """(id, rep) of every row (rows with equal shingle sets share the smallest id as rep) and (a, b) of all pairs of reps with Jaccard >= threshold, exactly.
 
     Prefix filter: two sets that similar share a token among the |x| - ceil(t |x|) + 1 rarest of each, so sets meet only on rare
-    tokens; sizes must fit; and what meets is verified on whole sets.
+    tokens; sizes must fit. All shared tokens up to the end of one of the prefixes are seen there, so too few of them rule a
+    pair out by counting alone; what is left is verified on whole sets.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text)), lambda g: F.xxhash64(g))).alias("set"))
     keyed = cut(sets.withColumn("digest", F.struct(F.xxhash64("set").alias("a"), F.xxhash64(F.lit(7), "set").alias("b"))))
@@ -85,12 +86,12 @@ def similar_sets(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("id").orderBy("c", "t")
     prefix = tokens.join(counts, "t").withColumn("p", F.row_number().over(w)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("c > 1")
-    prefix = cut(prefix.select("id", "n", "t", "p"))
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t", F.col("p").alias("pa")), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t", F.col("p").alias("pb"))
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    prefix = cut(prefix.select("id", "n", "t"))
+    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
     need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    met = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits & (room >= need)).select("a", "b").distinct()
+    rest = F.ceil(F.greatest("na", "nb") * threshold - 1e-9) - 1  # what the sets can share behind the shorter-reaching prefix
+    met = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") + rest >= need).select("a", "b")
     sa, sb = whole.select(F.col("id").alias("a"), F.col("set").alias("sa")), whole.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = met.join(sa, "a").join(sb, "b")
     shared = F.size(F.array_intersect("sa", "sb"))

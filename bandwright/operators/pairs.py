@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.functions.taxonomy import derived, language
-from bandwright.functions.text import fold, padded_trigrams
+from bandwright.functions.text import fold, strip
 
 
 def pair_relation(final: DataFrame) -> DataFrame:
@@ -15,28 +15,38 @@ def pair_relation(final: DataFrame) -> DataFrame:
     return rows.withColumn("lang", language(F.col("domain")))
 
 
-def signed_buckets(text: Column) -> Column:
-    """The hashed trigrams of a text: bucket 0..255 and sign, from single bytes of the md5."""
-    hexes = F.transform(padded_trigrams(text), lambda g: F.md5(g))
-    byte = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
-    return F.transform(hexes, lambda h: F.struct(byte(h, F.lit(15)).alias("bucket"), (F.pmod(byte(h, F.lit(13)), F.lit(2)) * 2 - 1).alias("sign")))
+def _signed(grams: DataFrame, *keep: str) -> DataFrame:
+    """(keep, bucket, sign) of trigrams ``g``: of the md5, hex digits 15 and 16 are the bucket (kept as text) and an odd 14th digit is a plus."""
+    hashed = grams.withColumn("h", F.md5("g"))
+    sign = F.when(F.substring("h", 14, 1).isin(*"13579bdf"), 1).otherwise(-1)
+    return hashed.select(*keep, F.substring("h", 15, 2).alias("bucket"), sign.alias("sign"))
+
+
+def _padded(c: str):
+    return F.concat(F.lit("  "), strip(F.lower(F.coalesce(F.col(c), F.lit("")))), F.lit("  "))
 
 
 def embed(texts: DataFrame, text: str = "text") -> DataFrame:
     """(text, bucket, v): the sparse 256-dimensional vector of each distinct text, before normalising; zeros are absent."""
-    grams = texts.select(text).distinct().select(text, F.explode(signed_buckets(F.col(text))).alias("g"))
-    return grams.groupBy(text, "g.bucket").agg(F.sum("g.sign").alias("v")).filter("v <> 0")
+    rows = texts.select(text).distinct().withColumn("__p", _padded(text))
+    each = rows.select(text, "__p", F.explode(F.sequence(F.lit(1), F.length("__p") - 2)).alias("i"))
+    grams = _signed(each.select(text, F.substring(F.col("__p"), F.col("i"), F.lit(3)).alias("g")), text)
+    return grams.groupBy(text, "bucket").agg(F.sum("sign").alias("v")).filter("v <> 0")
 
 
 def pair_cosine(pairs: DataFrame, a: str = "seed_question", b: str = "variation", key: str = "id") -> DataFrame:
     """(key, sim): cosine of the trigram vectors of two texts. Sums are whole numbers, so the result is the same on every engine; a null text counts as empty; a zero vector gives 0.
 
-    The rows are spread by key once; both groupings then stand on that partitioning.
+    The rows are spread by key once; both groupings then stand on that partitioning. Positions are exploded rather than
+    trigrams, so cutting and hashing run in generated code.
     """
-    rows = pairs.select(key, F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")).repartition(key)
-    tag = lambda c, x, y: F.transform(signed_buckets(F.col(c)), lambda g: F.struct(g["bucket"].alias("bucket"), (g["sign"] * x).alias("x"), (g["sign"] * y).alias("y")))
-    grams = rows.select(key, F.explode(F.concat(tag("a", 1, 0), tag("b", 0, 1))).alias("g"))
-    per = grams.groupBy(key, "g.bucket").agg(F.sum("g.x").alias("x"), F.sum("g.y").alias("y"))
+    rows = pairs.select(key, _padded(a).alias("a"), _padded(b).alias("b")).repartition(key)
+    na = F.length("a") - 2
+    each = rows.select(key, "a", "b", na.alias("na"), F.explode(F.sequence(F.lit(1), na + F.length("b") - 2)).alias("i"))
+    left = F.col("i") <= F.col("na")
+    cut_ = F.when(left, F.substring(F.col("a"), F.col("i"), F.lit(3))).otherwise(F.substring(F.col("b"), F.col("i") - F.col("na"), F.lit(3)))
+    grams = _signed(each.select(key, cut_.alias("g"), left.alias("left")), key, "left")
+    per = grams.groupBy(key, "bucket").agg(F.sum(F.when(F.col("left"), F.col("sign")).otherwise(0)).alias("x"), F.sum(F.when(F.col("left"), 0).otherwise(F.col("sign"))).alias("y"))
     sums = per.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     length = F.sqrt((F.col("xx") * F.col("yy")).cast("double"))
     return sums.select(key, F.when(length == 0, F.lit(0.0)).otherwise(F.col("xy") / length).alias("sim"))

@@ -248,7 +248,7 @@ round(coalesce(avg(CASE WHEN axis_group = 'slope' THEN CAST(sim > tau AS INT) EN
     "seed_counts": with_(PREDICTED, _LONG, _COUNTS) + "SELECT * FROM counts",
     "c_residual": with_(PREDICTED) + "SELECT axis_group, count(*) AS false_hits, count(*) FILTER (WHERE NOT in_band) AS outside, round(count(*) FILTER (WHERE NOT in_band) / CAST(count(*) AS DOUBLE), 6) AS share FROM predicted WHERE C AND hit = 0 GROUP BY axis_group",
     "c4_reduction": with_(PREDICTED, _LONG, _COUNTS, "r AS (SELECT config, sum(false_slope) / CAST(sum(slope) AS DOUBLE) AS s, sum(false_cliff) / CAST(sum(cliff) AS DOUBLE) AS c FROM counts GROUP BY config)",
-        "b AS (SELECT s AS bs, c AS bc FROM r WHERE config = 'A')") + "SELECT config, round((bs - s) / bs, 6) AS slope, round((bc - c) / bc, 6) AS cliff, round((bc - c) / bc - (bs - s) / bs, 6) AS gap FROM r, b WHERE config <> 'A'",
+        "b AS (SELECT s AS bs, c AS bc FROM r WHERE config = 'A')") + "SELECT config, round((bs - s) / nullif(bs, 0), 6) AS slope, round((bc - c) / nullif(bc, 0), 6) AS cliff, round((bc - c) / nullif(bc, 0) - (bs - s) / nullif(bs, 0), 6) AS gap FROM r, b WHERE config <> 'A'",
     "band_oracle": with_(PREDICTED, "o AS (SELECT axis_group, avg(CAST(A AS INT)) AS fa, avg(CAST(NOT in_band AND sim > tau + 0.06e0 AS INT)) AS fo, count(*) FILTER (WHERE A AND in_band) / CAST(count(*) FILTER (WHERE A) AS DOUBLE) AS ib FROM predicted WHERE hit = 0 GROUP BY axis_group)")
     + "SELECT axis_group, round(fa, 6) AS fh_threshold, round(fo, 6) AS fh_oracle, round(ib, 6) AS in_band, round((fa - fo) / fa, 6) AS reduction FROM o",
     "verifier_in_band": with_(PREDICTED) + "SELECT axis_group, count(*) AS n, round(avg(CASE WHEN hit = 0 THEN CAST(llm <> 0 AS INT) END), 6) AS false_hit, round(avg(CASE WHEN hit = 1 THEN CAST(llm <> 1 AS INT) END), 6) AS false_miss FROM predicted WHERE in_band AND llm >= 0 GROUP BY axis_group",

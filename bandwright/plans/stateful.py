@@ -115,7 +115,7 @@ def answer_text_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def seed_confusion(spark: SparkSession, d: str) -> DataFrame:
     items = workload(spark, d)
-    served = cachesim.simulate(items, cachesim.settings(spark, [0.85], ORDERS))
+    served = cachesim.simulate(items, cachesim.settings(spark, [0.6], ORDERS))
     return cachesim.confusion(cachesim.classify(served, items))
 
 
