@@ -19,12 +19,13 @@ def majority(rows: DataFrame, raters: list[str]) -> DataFrame:
     return counted.withColumn("gold", F.when(F.col("n_same") >= need, "SAME").when(F.col("n_diff") >= need, "DIFFERENT"))
 
 
-SUMS = {"n": F.lit(1), "same": F.col("n_same"), "pairs": F.col("n_same") * (F.col("n_same") - 1) + F.col("n_diff") * (F.col("n_diff") - 1), "agree": F.col("agree")}
+#: What is summed, as SQL.
+SUMS = {"n": "1", "same": "n_same", "pairs": "n_same * (n_same - 1) + n_diff * (n_diff - 1)", "agree": "agree"}
 
 
 def rater_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, same, pairs, agree): all that kappa, AC1 and agreement need; ``agree`` of a row is 0 or 1."""
-    return rows.groupBy(*keys).agg(*[F.sum(x).cast("bigint").alias(c) for c, x in SUMS.items()])
+    return rows.groupBy(*keys).agg(*[F.sum(F.expr(x)).cast("bigint").alias(c) for c, x in SUMS.items()])
 
 
 def fleiss(sums: DataFrame, keys: list[str], raters: int = 3) -> DataFrame:

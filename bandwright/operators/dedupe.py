@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.text import shingles
+from bandwright.operators.windows import number_rows
 from bandwright.session import cut
 
 PERMUTATIONS = 64
@@ -37,7 +38,7 @@ def band_keys(rows: DataFrame, id_col: str, text: str, permutations: int = PERMU
     mins = [F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(_coefficients(permutations))]
     signatures = hashed.groupBy("id").agg(*mins)
     keys = [F.xxhash64(F.lit(k), *[F.col(f"m{k * per + r}") for r in range(per)]) for k in range(bands)]
-    return signatures.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), x.alias("key")) for k, x in enumerate(keys)])).alias("k")).select("id", F.struct("k.band", "k.key").alias("key"))
+    return signatures.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
 def greedy(keys: DataFrame) -> DataFrame:
@@ -46,18 +47,18 @@ def greedy(keys: DataFrame) -> DataFrame:
     Keys of one row only can't decide anything and are dropped first. A key's rows are only ever aggregated (their minimum), never paired.
     """
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
-    open_ = cut(keys.join(shared, "key").distinct())
-    spark = keys.sparkSession
-    fallen = spark.createDataFrame([], keys.select("id", F.col("id").alias("keeper")).schema)
+    whole = open_ = cut(keys.join(shared, "key").distinct())
+    staying = whole.select("id").limit(0)
     while not open_.isEmpty():
         least = open_.groupBy("key").agg(F.min("id").alias("first"))
-        marked = open_.join(least, "key")
-        stay = cut(marked.groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("s")).filter("s").select("id"))
-        taken = cut(open_.join(stay, "id").groupBy("key").agg(F.min("id").alias("keeper")))
-        drop = cut(open_.join(taken, "key").groupBy("id").agg(F.min("keeper").alias("keeper")).join(stay, "id", "left_anti"))
-        fallen = fallen.unionByName(drop)
-        open_ = cut(open_.join(stay, "id", "left_anti").join(drop.select("id"), "id", "left_anti"))
-    return fallen
+        stay = cut(open_.join(least, "key").groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("s")).filter("s").select("id"))
+        taken = open_.join(stay, "id").select("key").distinct()
+        gone = open_.join(taken, "key").select("id").distinct()  # those that stay and those that fall
+        open_ = cut(open_.join(gone, "id", "left_anti"))
+        staying = staying.unionByName(stay)
+    holders = whole.join(staying, "id").select("key", F.col("id").alias("keeper"))  # one per key at most
+    met = whole.join(staying, "id", "left_anti").join(holders, "key").filter("keeper < id")
+    return met.groupBy("id").agg(F.min("keeper").alias("keeper"))
 
 
 def classes(rows: DataFrame, id_col: str, fallen: DataFrame) -> DataFrame:
@@ -81,21 +82,22 @@ def similar_sets(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9
     keyed = cut(sets.withColumn("digest", F.struct(F.xxhash64("set").alias("a"), F.xxhash64(F.lit(7), "set").alias("b"))))
     reps = cut(keyed.groupBy("digest").agg(F.min("id").alias("rep")))
     members = keyed.select("id", "digest").join(reps, "digest").select("id", "rep")
-    whole = cut(keyed.join(reps, "digest").filter("id = rep").select("id", "set"))
-    tokens = whole.select("id", F.size("set").alias("n"), F.explode("set").alias("t"))
+    whole = number_rows(keyed.join(reps, "digest").filter("id = rep").select("id", "set"), [F.col("id")])
+    whole = cut(whole.select("id", F.col("n").alias("k"), "set"))  # numbers in order of id: the pairs below are of numbers
+    tokens = whole.select("k", F.size("set").alias("n"), F.explode("set").alias("t"))
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("id").orderBy("c", "t")
+    w = Window.partitionBy("k").orderBy("c", "t")
     prefix = tokens.join(counts, "t").withColumn("p", F.row_number().over(w)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("c > 1")
-    prefix = cut(prefix.select("id", "n", "t"))
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
+    prefix = cut(prefix.select("k", "n", "t"))
+    left, right = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "t")
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
     need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
     rest = F.ceil(F.greatest("na", "nb") * threshold - 1e-9) - 1  # what the sets can share behind the shorter-reaching prefix
-    met = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") + rest >= need).select("a", "b")
-    sa, sb = whole.select(F.col("id").alias("a"), F.col("set").alias("sa")), whole.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    met = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max((need - rest).cast("int")).alias("least")).filter("c >= least").select("a", "b")
+    sa, sb = whole.select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("set").alias("sa")), whole.select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("set").alias("sb"))
     both = met.join(sa, "a").join(sb, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return members, both.filter(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select("a", "b")
+    return members, both.filter(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def jaccard(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9) -> DataFrame:

@@ -25,7 +25,8 @@ def salvage(lines: DataFrame, schema: StructType, line: str = "value") -> DataFr
     marked = StructType([*schema.fields, StructField(BAD, StringType())])
     text = F.col("__text")
     parsed = F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
-    rows = lines.withColumn("__text", candidate(F.col(line))).filter(F.startswith(text, F.lit("{"))).withColumn("__row", parsed)
+    rows = lines.withColumn("__text", candidate(F.col(line))).filter(F.startswith(text, F.lit("{")))
+    rows = rows.withColumn("__row", F.explode(F.array(parsed)))  # a generator is evaluated once, whatever is asked of its output
     keep = F.struct(*[F.col(f"__row.{f}") for f in schema.names])
     return rows.withColumn("bad", F.col(f"__row.{BAD}").isNotNull()).withColumn("row", F.when(~F.col("bad"), keep)).drop("__text", "__row")
 
