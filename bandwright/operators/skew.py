@@ -45,6 +45,19 @@ def prefix_sums(df: DataFrame, group: list[str], order: Column, value: Column, o
     return summed.drop(o, b, v, off)
 
 
+def one_row_each(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with one row per key, the smallest value of a repeated one.
+
+    Keys are counted without their values; only rows of repeated keys, if there are any, are shuffled.
+    """
+    again = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("w")).filter("w > 1"))
+    total = again.agg(F.sum("w")).first()[0] or 0
+    if not total:
+        return rows.select(key, value)
+    many = lookup_join(rows.select(key, value), again, key, "w", total).groupBy(key).agg(F.min(value).alias(value))
+    return rows.select(key, value).join(again.select(key), key, "left_anti").unionByName(many)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], heavy: int = HEAVY) -> DataFrame:
     """The keys with at least 1 / ``heavy`` of all rows, and their ``n``: at most ``heavy`` rows."""
     counts = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))

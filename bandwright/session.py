@@ -55,10 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
 
     Parquet rather than ``checkpoint()``: it is compressed and later readers prune columns.
     """
-    spark = df.sparkSession
+    spark, names = df.sparkSession, df.columns
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    clash = len({c.lower() for c in names}) < len(names)  # a file can't hold such names
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))]) if clash else df
+    plain.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path)
+    return back.toDF(*names) if clash else back
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -84,3 +84,25 @@ def test_session(spark):
     df = spark.createDataFrame([(1, None)], "a int, A2 string")
     assert cut(df).schema == df.schema and fresh(df, "a") == "_a" and fresh(df, "a2") == "_a2"
     assert isinstance(schemas.VARIATIONS, StructType)
+
+
+def test_reports_and_encoders(spark):
+    from pyspark.sql import functions as F
+
+    from bandwright.functions import encoders
+    from bandwright.sources import reports
+
+    t = spark.createDataFrame([("a_b", 0.12345, 3), (None, None, 4)], "name string, x double, n int")
+    assert {r.line for r in reports.latex_rows(t, ["name", "x", "n"]).collect()} == {r"a\_b & 0.123 & 3 \\", r"-- & -- & 4 \\"}
+    p = spark.createDataFrame([("r", "u", 1.0), ("r", "v", 2.0), ("q", "u", 3.0)], "r string, c string, x double")
+    assert [x.line for x in reports.latex_pivot(p, "r", "c", "x", ["u", "v"], 1).collect()] == [r"q & 3.0 & -- \\", r"r & 1.0 & 2.0 \\"]
+    assert reports.distribution(t, "name").first()[0] == "?:1  a_b:1"
+    df = spark.createDataFrame([("ab",), ("ab",), ("",)], "t string")
+    got = {r.t: r.vec for r in encoders.encode(df, "t", lambda: lambda ts: [[float(len(t)), 0.0] for t in ts], prefix="x").collect()}
+    assert got == {"ab": [1.0, 0.0], "": [1.0, 0.0]}
+    assert sorted(r[0] for r in df.select(encoders.score(F.col("t"), F.lit("zz"), lambda: lambda ps: [float(len(a) + len(b)) for a, b in ps])).collect()) == [2.0, 4.0, 4.0]
+
+
+def test_cut_keeps_clashing_names(spark):
+    df = spark.range(3).selectExpr("id AS a", "id AS A", "id + 1 AS b").toDF("a", "a", "b")
+    assert cut(df).columns == ["a", "a", "b"] and sorted(r[2] for r in cut(df).collect()) == [1, 2, 3]
