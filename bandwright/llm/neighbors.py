@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.operators.skew import lookup_join
+from bandwright.operators.skew import lookup_join, one_row_each
 from bandwright.session import cut
 
 TREES = 16
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "v
     v = F.col(vec_col).cast("array<float>")
     finite = (F.size(v) == dimension) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
     valid = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(finite)
-    valid = cut(valid.select(F.col(id_col).cast("bigint").alias("id"), v.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec")))
+    valid = one_row_each(cut(valid.select(F.col(id_col).cast("bigint").alias("id"), v.alias("vec"))), "id", "vec")
     members, first, total = classes(valid, k + 1)
     reps = valid.join(members.filter("id <> rep").select("id"), "id", "left_anti")
     entries = hashed(reps, dimension, trees, BITS, seed)

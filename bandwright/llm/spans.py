@@ -14,7 +14,7 @@ pairs once.
 Cases: null texts and texts shorter than ``length`` share nothing; equal texts of at least ``length`` characters share
 all; a stretch repeated within one record only isn't shared; characters are code points, compared without any
 normalisation; texts of any length are read whole, in pieces that overlap by ``length`` - 1; rows with a null id are left out, a repeated
-id counts as one record; an empty table gives empty results; other columns don't matter.
+id counts as one record with the smallest of its texts; an empty table gives empty results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.operators.skew import lookup_join
+from bandwright.operators.skew import lookup_join, one_row_each
 from bandwright.session import cut
 
 LENGTH = 200
@@ -189,6 +189,7 @@ class Shared:
     def __init__(self, records: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK, crowd: int = CROWD) -> None:
         self.length, side = length, length - block
         texts = records.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= length)).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        texts = one_row_each(texts, "id", "text")
         grams = cut(index(texts, length, block))
         known = cut(grams.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h", "w"))
         total = known.agg(F.sum("w")).first()[0] or 0
@@ -197,7 +198,7 @@ class Shared:
         around = cut(around.withColumn("cls", F.md5(F.concat_ws("|", F.hex("h"), F.col("off").cast("string"), "around"))))
         classes = cut(around.groupBy("cls").agg(F.first("h").alias("h"), F.first("off").alias("off"), F.first("around").alias("around")))
         counts = cut(classes.groupBy("h").agg(F.count(F.lit(1)).alias("w")).filter("w > 1"))
-        few = lookup_join(classes, counts.filter(F.col("w") <= crowd), "h", "w", 10**18)
+        few = classes.join(counts.filter(F.col("w") <= crowd).select("h"), "h")
         self.links = cut(factors(few, length, crowd))
         # crowded blocks: every gram of the stretch's length over the block is a class
         many = counts.filter(F.col("w") > crowd)
@@ -207,7 +208,7 @@ class Shared:
         grams = grams.select("cls", "off", "s", F.md5(F.substring(F.col("around"), F.col("s") + 1, F.lit(length))).alias("gram"))
         shared = cut(grams)
         sizes = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("w"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("gram", "w")
-        self.crowded = cut(lookup_join(shared, cut(sizes), "gram", "w", 10**18))
+        self.crowded = cut(lookup_join(shared, cut(sizes), "gram", "w", shared.count()))
         self.places = around.select("cls", "id", "pos", "off", F.length("around").alias("size"))
 
     def sets(self) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +219,8 @@ class Shared:
         marks = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
         marks = cut(marks.select("cls", F.concat_ws(":", "n", "x", "y").alias("set"), "n"))
         kept = marks.groupBy("set").agg(F.min("cls").alias("cls"), F.first("n").alias("n"))
-        members = members.join(kept, "cls").select("set", "id", "n")
+        kept = kept.withColumn("w", F.col("n"))
+        members = lookup_join(members, kept, "cls", "w", members.count()).select("set", "id", "n")
         name = lambda c: marks.select(F.col("cls").alias(c), F.col("set").alias(f"{c}_set"))
         links = self.links.select("one", "other").join(name("one"), "one").join(name("other"), "other").select("one_set", "other_set").distinct()
         return cut(members), links

@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
     data = make(rng, 400, 60)
     data += [(1000 + i, data[3][1], "x", 0.0) for i in range(40)]  # a crowd of equal vectors
     data += [(2000 + i, [2 * e for e in data[i][1]], "x", 0.0) for i in range(5)]  # the same direction
-    data += [(3000, None, "x", 0.0), (3001, [0.0] * 64, "x", 0.0), (3002, [1.0] * 63, "x", 0.0), (3003, [float("nan")] * 64, "x", 0.0), (3004, [None] * 64, "x", 0.0), (None, data[0][1], "x", 0.0), (7, data[7][1], "x", 0.0)]
+    data += [(3000, None, "x", 0.0), (3001, [0.0] * 64, "x", 0.0), (3002, [1.0] * 63, "x", 0.0), (3003, [float("nan")] * 64, "x", 0.0), (3004, [None] * 64, "x", 0.0), (None, data[0][1], "x", 0.0), (7, data[7][1], "x", 0.0), (8, data[9][1], "x", 0.0)]
     got = neighbors.nearest(spark.createDataFrame(data, SCHEMA), 5, 0.9)
     assert {(r.id, r.other) for r in got.collect()} == brute(data, 5, 0.9)
 

@@ -69,6 +69,10 @@ def test_repeated_id_and_empty(spark):
     text = words(random.Random(3), 100)
     df = spark.createDataFrame([(5, text, "k", 1), (5, text, "k", 1)], SCHEMA)
     assert spans.Shared(df, length=L, block=B).pairs().count() == 0
+    other = "A" + text[5:]
+    both = spark.createDataFrame([(5, text, "k", 1), (5, other, "k", 1), (6, other, "k", 1), (7, text[: L + 2], "k", 1)], SCHEMA)
+    want, _ = brute([(5, min(text, other)), (6, other), (7, text[: L + 2])], L)
+    assert {(r.a, r.b) for r in spans.Shared(both, length=L, block=B).pairs().collect()} == want
     assert spans.Shared(df.limit(0), length=L, block=B).pairs().count() == 0
     assert spans.coverage(spans.Shared(df.limit(0), length=L, block=B).stretches(), df).count() == 1
 
