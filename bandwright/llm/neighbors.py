@@ -35,6 +35,10 @@ TREES = 16
 BITS = 62
 STEPS = 512
 DIGITS = 6
+#: Crowded vectors compared as one block, the leaders taken in a round, and the rounds; they set the work, not the result.
+BLOCK = 8192
+LEADERS = 1024
+ROUNDS = 8
 
 
 def _directions(dimension: int, trees: int, bits: int, seed: int) -> np.ndarray:
@@ -67,7 +71,7 @@ def hashed(vectors: DataFrame, dimension: int, trees: int = TREES, bits: int = B
 
 
 def _best(x: np.ndarray, x32: np.ndarray, lo: int, hi: int, k: int, floor: float, steps: int, digits: int):
-    """Of rows lo..hi of the unit vectors ``x``, the k most similar among the rows within ``steps``, as (row, other, sim)."""
+    """Of rows lo..hi of the unit vectors ``x``, the k most similar among the rows within ``steps``, as (row, other, sim); before them the crowded rows, as (row, None, None)."""
     a, b = max(0, lo - steps), min(len(x), hi + steps)
     s = x32[lo:hi] @ x32[a:b].T
     np.fill_diagonal(s[:, lo - a :], -2)
@@ -76,6 +80,9 @@ def _best(x: np.ndarray, x32: np.ndarray, lo: int, hi: int, k: int, floor: float
         return
     rows, cols = np.divmod(hits, b - a)
     count = np.bincount(rows, minlength=hi - lo)
+    much = np.flatnonzero(count >= max(k + 1, steps // 2))
+    if len(much):
+        yield much + lo, None, None
     crowded = np.flatnonzero(count > k)
     if len(crowded):  # nothing that is clearly below the k-th can be among the k best; ties stay
         least = np.full(hi - lo, -2, np.float32)
@@ -88,7 +95,7 @@ def _best(x: np.ndarray, x32: np.ndarray, lo: int, hi: int, k: int, floor: float
 
 
 def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps: int = STEPS, digits: int = DIGITS, partitions: int | None = None) -> DataFrame:
-    """(id, other, sim) from the sorted arrays: of every tree the k best at least ``floor``."""
+    """(id, other, sim) from the sorted arrays: of every tree the k best at least ``floor``; crowded vectors also have a row without other and sim."""
     n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(n, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
     block = max(128, steps // 2)
@@ -106,6 +113,9 @@ def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps:
                 hi = min(end, done + block)
                 rows, others, sims = [], [], []
                 for r, c, v in _best(x, x32, done, hi, k, floor, steps, digits):
+                    if c is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.float64())], names=["id", "other", "sim"])
+                        continue
                     ok = v >= floor
                     rows.append(r[ok]), others.append(ids[c[ok]]), sims.append(v[ok])
                 if rows:
@@ -149,6 +159,140 @@ def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps:
     return ordered.mapInArrow(scan, "id bigint, other bigint, sim double")
 
 
+def _units(column: pa.Array, n: int, dimension: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dimension)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _leaders(asked: DataFrame, dimension: int) -> np.ndarray:
+    """Unit vectors such that most of ``asked`` have a cosine of 0.95 with one: greedy picks from samples of those that have none yet."""
+    led = np.empty((0, dimension))
+    for _ in range(ROUNDS):
+
+        def alone(batches: Iterator[pa.RecordBatch], led=led) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    x = _units(batch.column(1), len(batch), dimension)
+                    near = np.concatenate([(x[s : s + 1024] @ led.T).max(axis=1, initial=-1) for s in range(0, len(x), 1024)])
+                    yield batch.filter(pa.array(near < 0.95))
+
+        rest = asked.select("id", "vec").mapInArrow(alone, "id bigint, vec array<float>")
+        sample = rest.orderBy(F.xxhash64("id"), "id").limit(LEADERS).select("vec").toArrow().column(0).combine_chunks()
+        if not len(sample):
+            break
+        for v in _units(sample, len(sample), dimension):
+            if not len(led) or (led @ v).max() < 0.95:
+                led = np.concatenate([led, v[None]])
+    return led
+
+
+def settle(vectors: DataFrame, asked: DataFrame, dimension: int, k: int, floor: float, digits: int = DIGITS) -> DataFrame | None:
+    """(id, other, sim): the exact answers over ``vectors`` (id, vec) of the vectors ``asked`` (id, vec, least: no more than the k-th similarity); None if none is asked.
+
+    By the triangle inequality an answer is within the cell's radius plus the angle of its ``least`` from its leader.
+    """
+    led = _leaders(asked, dimension)
+    if not len(led):
+        return None
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, len(batch), 1024):
+                part = batch.slice(s, 1024)
+                near = _units(part.column(1), len(part), dimension) @ led.T
+                cell = near.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0), part.column(1), part.column(2), pa.array(near[np.arange(len(part)), cell])], names=["cell", "id", "vec", "least", "near"])
+
+    seated = cut(asked.select("id", "vec", "least").mapInArrow(seat, "cell int, id bigint, vec array<float>, least double, near double"))
+    stats = {r.cell: r for r in seated.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near"), F.min("least").alias("least")).collect()}  # at most ROUNDS * LEADERS rows
+    used = sorted(stats)
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    reach = np.array([np.cos(min(np.pi, angle(stats[c].near) + angle(max(stats[c].least, floor) - 1e-6) + 1e-6)) for c in used])
+    blocks = np.array([-(-stats[c].n // BLOCK) for c in used])
+    start = np.concatenate([[0], np.cumsum(blocks)])
+    centres = led[used]
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, len(batch), 1024):
+                part = batch.slice(s, 1024)
+                rows, cells = np.nonzero(_units(part.column(1), len(part), dimension) @ centres.T >= reach)
+                times = blocks[cells]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                key, at = np.repeat(start[cells], times) + nth, np.repeat(rows, times)
+                for p in range(0, len(at), 10_000):
+                    take = pa.array(at[p : p + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[p : p + 10_000].astype(np.int64)), pa.array(np.ones(len(take), np.int32)), part.column(0).take(take), part.column(1).take(take)], names=["key", "side", "id", "vec"])
+
+    shape = "key bigint, side int, id bigint, vec array<float>"
+    spark = vectors.sparkSession
+    places = spark.createDataFrame([(int(c), int(start[i]), int(blocks[i])) for i, c in enumerate(used)], "cell int, start long, blocks long")
+    queries = seated.join(F.broadcast(places), "cell").select((F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("key"), F.lit(0).alias("side"), "id", "vec")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(start[-1]), 4096))
+    dealt = queries.unionByName(vectors.select("id", "vec").mapInArrow(reached, shape)).repartition(n, "key").sortWithinPartitions("key", "side", "id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, state, seen = None, [], None, 0  # state: ids and unit vectors of the block's queries, their best sims and others so far
+
+        def result(state):
+            ids, _, sims, others = state
+            rows, cols = np.nonzero(sims >= floor)
+            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(others[rows, cols]), pa.array(sims[rows, cols])], names=["id", "other", "sim"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            ends = np.append(np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups))
+            ids, x = batch.column(2).to_numpy(), _units(batch.column(3), len(batch), dimension)
+            s = 0
+            for e in ends:
+                block, side = divmod(int(groups[s]), 2)
+                if block != key:
+                    if state is not None:
+                        yield result(state)
+                    key, held, state, seen = block, [], None, 0
+                if side == 0:
+                    held.append((ids[s:e], x[s:e]))
+                elif state is None and held:
+                    q = np.concatenate([h[0] for h in held])
+                    state = (q, np.concatenate([h[1] for h in held]), np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64))
+                while side and state is not None and s < e:
+                    m = min(e, s + min(4096, max(16, 3 * seen)))  # small chunks first, so that few are better than the k-th so far
+                    _improve(state, ids[s:m], x[s:m], floor, digits)
+                    seen, s = seen + m - s, m
+                s = e
+        if state is not None:
+            yield result(state)
+
+    return dealt.mapInArrow(scan, "id bigint, other bigint, sim double")
+
+
+def _improve(state: tuple, others: np.ndarray, y: np.ndarray, floor: float, digits: int) -> None:
+    """Takes ``others``, larger than all met before, into the best of the block's queries."""
+    ids, x, best, found = state
+    k = best.shape[1]
+    for lo in range(0, len(ids), 512):
+        s = x[lo : lo + 512] @ y.T
+        own = np.searchsorted(ids[lo : lo + 512], others)
+        same = np.flatnonzero((own < len(s)) & (ids[lo + np.minimum(own, len(s) - 1)] == others))
+        s[own[same], same] = -2
+        least = best[lo : lo + 512, -1]
+        rows, cols = np.nonzero(s > np.maximum(least + 0.4 * 10.0**-digits, floor - 0.6 * 10.0**-digits)[:, None])
+        v = np.round(s[rows, cols], digits)
+        ok = (v > least[rows]) & (v >= floor)  # an equal one has the larger id
+        if not ok.any():
+            continue
+        rows, cols, v = rows[ok], cols[ok], v[ok]
+        some = np.unique(rows)
+        r, o, v = np.concatenate([np.repeat(some, k), rows]), np.concatenate([found[lo + some].ravel(), others[cols]]), np.concatenate([best[lo + some].ravel(), v])
+        at = np.lexsort((o, -v, r))
+        r, o, v = r[at], o[at], v[at]
+        first = np.searchsorted(r, some)
+        at = (first[:, None] + np.arange(k)).ravel()
+        best[lo + some], found[lo + some] = v[at].reshape(-1, k), o[at].reshape(-1, k)
+
+
 def classes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, int]:
     """Of (id, vec): the copies (id, rep) in classes of two or more, the ``keep`` smallest ids of each class as an array by rep, and the number of copies."""
     digests = vectors.select("id", F.struct(F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(7), "vec").alias("b")).alias("digest"))
@@ -170,8 +314,14 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "v
     reps = valid.join(members.filter("id <> rep").select("id"), "id", "left_anti")
     entries = hashed(reps, dimension, trees, BITS, seed)
     found = candidates(entries, dimension, k, floor, steps).distinct()
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    best = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r"))
+    w = Window.partitionBy("id").orderBy(F.desc_nulls_first("sim"), "other")
+    best = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r"))  # one more, as the row of a crowded one is first
+    crowded = best.filter("other IS NULL").select("id")
+    best = best.filter("other IS NOT NULL")
+    asked = cut(reps.join(best.join(crowded, "id", "left_semi").groupBy("id").agg(F.min("sim").alias("least")), "id"))
+    settled = settle(reps, asked, dimension, k, floor)
+    if settled is not None:
+        best = best.join(crowded, "id", "left_anti").unionByName(cut(settled))
     # answers of representatives: their own copies, and the first ids of their neighbours' classes; at most (k + 1)^2 entries
     ids = lambda c: F.coalesce(F.col("ids"), F.array(c))
     others = best.join(first, best["other"] == first["rep"], "left").select("id", "sim", F.explode(ids("other")).alias("other"))

@@ -48,3 +48,17 @@ def test_recall_with_narrow_steps(spark):
 def test_empty(spark):
     assert neighbors.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert neighbors.nearest(spark.createDataFrame([(1, [1.0] * 64, "x", 0.0)], SCHEMA)).count() == 0
+
+
+def test_crowds_beyond_the_window(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    near = centre + 0.03 / 8 * rng.standard_normal((900, 64))  # pairwise cosine about 0.999
+    line = rng.standard_normal(64)
+    data = [(int(i), v.tolist(), "x", 0.0) for i, v in zip(rng.permutation(900), near, strict=True)]
+    data += [(1000 + i, ((1 + i / 7) * line).tolist(), "x", 0.0) for i in range(500)]  # multiples of one vector
+    data += [(2000 + i, *r[1:]) for i, r in enumerate(make(rng, 300, 60))]
+    got = {(r.id, r.other) for r in neighbors.nearest(spark.createDataFrame(data, SCHEMA), 5, 0.9, steps=30).collect()}
+    want = {p for p in brute(data, 5, 0.9) if p[0] < 2000}
+    assert len(want) == 1400 * 5 and {p for p in got if p[0] < 2000} == want
