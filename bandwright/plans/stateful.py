@@ -13,7 +13,7 @@ from bandwright.session import load
 TAUS = [0.2, 0.25, 0.3]
 TEXT_TAUS = [0.85, 0.9, 0.95]
 ORDERS = 3
-WORKLOAD = 2500
+WORKLOAD = 5000
 SETTING = ["tau", "rule", "policy", "capacity", "alpha"]
 
 
@@ -26,21 +26,24 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def workload(spark: SparkSession, d: str) -> DataFrame:
     """A sample of whole families (until WORKLOAD pairs): each family's seed question and variations, with vectors, keys, answers and documents.
 
+    Only pairs with a vector, of seeds whose question has one, are there to be sampled, so what is drawn is what is simulated.
+
     The key of a seed question and of a HIT variation is the seed, of a MISS variation its own id.
     """
 
     def make():
         v = load(spark, d, "pair_vectors").filter(F.exists("vec", lambda e: e != 0))
         p = pairs(spark, d).select("id", "seed_id", "seed_question", "variation", "answer", "axis", "hit")
-        rows = windows.family_sample(p, "seed_id", WORKLOAD)
+        asked, asking = (v.filter(f"field = '{f}'").filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("vec").alias("vec")) for f, k in (("variation", "id"), ("seed_question", "seed_id")))
+        rows = windows.family_sample(p.join(asked, "id").join(asking.select("seed_id"), "seed_id", "left_semi"), "seed_id", WORKLOAD)
         doc = load(spark, d, "t02_seeds").groupBy("seed_id").agg(F.min("doc_id").alias("doc"))
         ans = normalise_answer(F.col("answer"))
-        asked = rows.join(v.filter("field = 'variation'").groupBy("id").agg(F.min("vec").alias("vec")), "id").select(
+        variations = rows.select(
             "seed_id", "id", F.col("variation").alias("text"), "vec", "axis", F.when(F.col("hit") == 1, "HIT").otherwise("MISS").alias("kind"), F.when(F.col("hit") == 1, ans).alias("ans")
         )
-        seeds = rows.groupBy("seed_id").agg(F.min(F.struct("id", "seed_question", "answer")).alias("s")).join(v.filter("field = 'seed_question'").groupBy("seed_id").agg(F.min("vec").alias("vec")), "seed_id")
+        seeds = rows.groupBy("seed_id").agg(F.min(F.struct("id", "seed_question", "answer")).alias("s")).join(asking, "seed_id")
         seeds = seeds.select("seed_id", F.lit("").alias("id"), F.col("s.seed_question").alias("text"), "vec", F.lit("seed").alias("axis"), F.lit("seed").alias("kind"), normalise_answer(F.col("s.answer")).alias("ans"))
-        items = windows.number_rows(seeds.unionByName(asked), [F.col("seed_id"), F.col("id")], "item").withColumn("item", F.col("item").cast("int"))
+        items = windows.number_rows(seeds.unionByName(variations), [F.col("seed_id"), F.col("id")], "item").withColumn("item", F.col("item").cast("int"))
         text = F.coalesce("text", F.lit(""))
         slots = F.concat_ws("|", F.concat_ws(",", number_slots(text)), F.concat_ws(",", acronym_slots(text)))
         full = items.join(doc, "seed_id", "left").withColumn("key", F.when(F.col("kind") == "MISS", F.col("id")).otherwise(F.col("seed_id")))
