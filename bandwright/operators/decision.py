@@ -149,9 +149,9 @@ RATIOS = {
 }
 
 
-def seed_counts(predicted: DataFrame) -> DataFrame:
+def seed_counts(predicted: DataFrame, configs: tuple[str, ...] = CONFIGS) -> DataFrame:
     """(config, seed_id, 14 counts): all that the metrics and the bootstrap need of a seed."""
-    return long_form(predicted).groupBy("config", "seed_id").agg(*[F.sum(F.expr(x)).alias(c) for c, x in COUNTS.items()])
+    return long_form(predicted, configs).groupBy("config", "seed_id").agg(*[F.sum(F.expr(x)).alias(c) for c, x in COUNTS.items()])
 
 
 def ratios(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -198,7 +198,7 @@ def split_half(rows: DataFrame) -> DataFrame:
 
 
 def logistic(rows: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """``rows`` with ``p``: out-of-fold probability of a hit, L2 with C = 1 (regParam 1 / n, unstandardised)."""
+    """``rows`` with ``p``: out-of-fold probability of a hit, L2 with C = 1 (regParam 1 / n, unstandardised). One fold is tuned on itself."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -206,7 +206,7 @@ def logistic(rows: DataFrame, features: list[str], k: int = 5) -> DataFrame:
     data = VectorAssembler(inputCols=features, outputCol="__x").transform(rows)
     out = None
     for f in range(k):
-        tune = data.filter(F.col("fold") != f)
+        tune = data.filter(F.col("fold") != f) if k > 1 else data
         n, classes = tune.agg(F.count(F.lit(1)), F.countDistinct("hit")).first()
         test = data.filter(F.col("fold") == f)
         if classes == 2:

@@ -15,6 +15,7 @@ from bandwright.session import cut
 
 FOLDS = 5
 REPS = 200
+FEATURES = ["sim", "ce", "gap", "same_numbers", "same_acronyms"]
 
 
 def verified(spark: SparkSession, d: str) -> DataFrame:
@@ -98,13 +99,23 @@ def config_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def in_sample_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The same configurations tuned and scored on all pairs: one pseudo-fold, tuned on itself."""
+    """The same configurations, and the learned one (E), tuned and scored on all pairs: one pseudo-fold, tuned on itself."""
     rows = verified(spark, d)
-    tau = decision.best_tau(rows, []).select("tau")
-    p = rows.crossJoin(F.broadcast(tau)).withColumn("in_band", F.col("sim").between(F.col("tau") - F.lit(0.06), F.col("tau") + F.lit(0.06)))  # one row
-    p = p.withColumn("A", F.col("sim") > F.col("tau")).withColumn("D", F.col("A") & F.col("slots"))
-    counts = decision.long_form(p, ("A", "D")).groupBy("config", "seed_id").agg(*[F.sum(F.expr(x)).alias(c) for c, x in decision.COUNTS.items()])
-    return decision.ratios(counts, ["config"]).select("config", *r6(*decision.RATIOS))
+    tuned = cut(decision.fold_parameters(rows.withColumn("fold", F.lit(1)), 2).filter("fold = 0"))  # of fold 0, the others are all rows
+    one = rows.withColumn("fold", F.lit(0))
+    p = _learned(decision.configurations(one, tuned), 1)
+    return decision.ratios(decision.seed_counts(p, (*decision.CONFIGS, "E")), ["config"]).select("config", *r6(*decision.RATIOS))
+
+
+def _learned(predicted: DataFrame, k: int) -> DataFrame:
+    """``predicted`` with the decision E: served where the logistic regression says so."""
+    return decision.logistic(predicted, FEATURES, k).withColumn("E", F.coalesce(F.col("p") > 0.5, F.lit(False)))
+
+
+def learned_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of config_metrics for the learned configuration E, out of fold."""
+    p = _learned(predicted(spark, d), FOLDS)
+    return decision.ratios(decision.seed_counts(p, ("E",)), ["config"]).select("config", *r6(*decision.RATIOS))
 
 
 def seed_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +169,7 @@ def c4_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logistic_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = decision.logistic(verified(spark, d), ["sim", "ce", "gap", "same_numbers", "same_acronyms"], FOLDS)
+    rows = decision.logistic(verified(spark, d), FEATURES, FOLDS)
     served = (F.col("p") > 0.5).cast("int")
     return rows.groupBy("axis_group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(served), 4).alias("served"))
 
@@ -168,7 +179,7 @@ QUERIES = {
     for f in (
         threshold_sweep, balanced_accuracy, best_tau, domain_tau, utility_tau_star, nearest_rho, slot_guard, pair_features, seed_folds, fold_parameters,
         config_predictions, config_metrics, in_sample_metrics, seed_counts, c4_reduction, c_residual, band_oracle, verifier_in_band, split_half,
-        cluster_bootstrap, c4_bootstrap, logistic_pairs,
+        cluster_bootstrap, c4_bootstrap, logistic_pairs, learned_metrics,
     )
 }
 
