@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from bandwright.functions.text import acronym_slots, normalise_answer, number_slots, word_set
 from bandwright.operators import cachesim, windows
 from bandwright.plans.base import kept, pairs, r6, with_
-from bandwright.session import load
+from bandwright.session import cut, load
 
 TAUS = [0.2, 0.25, 0.3]
 TEXT_TAUS = [0.85, 0.9, 0.95]
+#: Orders of cache_sim and order_sensitivity, which the recursive SQL beside them walks too.
 ORDERS = 3
+#: The reference's numbers of orders: of the text workload (RQ3b), of the pilot, of sweeps and architectures.
+TEXT_ORDERS, PILOT_ORDERS, SWEEP_ORDERS = 500, 200, 50
+SIZES = (100, 500, 1000, 2500, 5231)
 WORKLOAD = 5000
 SETTING = ["tau", "rule", "policy", "capacity", "alpha"]
 
@@ -53,7 +57,8 @@ def workload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rates(served: DataFrame, items: DataFrame) -> DataFrame:
-    return cachesim.rates(cachesim.outcome(served, items)).select(*SETTING, "arrivals", *r6("hit", "hit_std", "wrong", "sensitivity"))
+    out = cut(cachesim.outcome(served, items).select(*SETTING, "order_id", "item", "got", "hit", "wrong"))  # read twice, walked once
+    return cachesim.rates(out).select(*SETTING, "arrivals", *r6("hit", "hit_std", "wrong", "sensitivity"))
 
 
 def cache_sim(spark: SparkSession, d: str) -> DataFrame:
@@ -69,56 +74,56 @@ def order_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def index_keyed_sim(spark: SparkSession, d: str) -> DataFrame:
     """The same arrivals with the item itself as the key: any serve is another item's."""
     items = vectors(spark, d).withColumn("key", F.col("item").cast("string"))
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, TAUS, ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, TAUS, PILOT_ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
 
 
 def cache_sim_eviction(spark: SparkSession, d: str) -> DataFrame:
     policies = [("none", 0), *[(p, c) for p in ("fifo", "lru") for c in (50, 150, 300)]]
     items = vectors(spark, d)
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.25], ORDERS, policies=policies)), items).drop("rule", "alpha")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.25], SWEEP_ORDERS, policies=policies)), items).drop("rule", "alpha")
 
 
 def cache_sim_zipf(spark: SparkSession, d: str) -> DataFrame:
     items = vectors(spark, d)
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.25], ORDERS, alphas=[0.6, 0.8, 1.0, 1.2], length=5000)), items).drop("rule", "policy", "capacity")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.25], SWEEP_ORDERS, alphas=[0.6, 0.8, 1.0, 1.2], length=5000)), items).drop("rule", "policy", "capacity")
 
 
 def cache_sim_size(spark: SparkSession, d: str) -> DataFrame:
     """The first n items as smaller workloads: the cache's behaviour by size."""
     items = vectors(spark, d)
-    out = None
-    for n in (100, 250, 500):
+    total, out = items.count(), None
+    for n in sorted({min(n, total) for n in SIZES}):  # a smaller table ends at its own size
         part = items.filter(F.col("item") < n)
-        r = _rates(cachesim.simulate(part, cachesim.settings(spark, [0.25], ORDERS)), part).select(F.lit(n).alias("items"), "tau", "arrivals", "hit", "hit_std", "wrong", "sensitivity")
+        r = _rates(cachesim.simulate(part, cachesim.settings(spark, [0.25], SWEEP_ORDERS)), part).select(F.lit(n).alias("items"), "tau", "arrivals", "hit", "hit_std", "wrong", "sensitivity")
         out = r if out is None else out.unionByName(r)
     return out
 
 
 def cache_sim_text(spark: SparkSession, d: str) -> DataFrame:
     items = workload(spark, d)
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, TEXT_ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
 
 
 def arch_rules(spark: SparkSession, d: str) -> DataFrame:
     items = workload(spark, d)
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.9], ORDERS, rules=["A", "B", "D"])), items).drop("policy", "capacity", "alpha")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.9], SWEEP_ORDERS, rules=["A", "B", "D"])), items).drop("policy", "capacity", "alpha")
 
 
 def serve_classes(spark: SparkSession, d: str) -> DataFrame:
     items = workload(spark, d)
-    served = cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, ORDERS))
+    served = cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, TEXT_ORDERS))
     return cachesim.serve_counts(cachesim.classify(served, items)).drop("rule", "policy", "capacity", "alpha")
 
 
 def answer_text_keys(spark: SparkSession, d: str) -> DataFrame:
     """The same simulation keyed by normalised answer text where there is one."""
     items = workload(spark, d).withColumn("key", F.coalesce("ans", "key"))
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, TEXT_TAUS, TEXT_ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
 
 
 def seed_confusion(spark: SparkSession, d: str) -> DataFrame:
     items = workload(spark, d)
-    served = cachesim.simulate(items, cachesim.settings(spark, [0.6], ORDERS))
+    served = cachesim.simulate(items, cachesim.settings(spark, [0.6], TEXT_ORDERS))
     return cachesim.confusion(cachesim.classify(served, items))
 
 

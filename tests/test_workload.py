@@ -10,3 +10,34 @@ def test_the_workload_is_as_large_as_asked(spark, data, monkeypatch):
     assert (items["kind"] != "seed").sum() >= 60
     assert set(items["family"]) == set(items.loc[items["kind"] == "seed", "family"])
     assert sorted(items["item"]) == list(range(len(items))) and all(any(v) for v in items["vec"])
+
+
+def test_orders_and_sizes_of_the_reference(spark, data, monkeypatch):
+    asked = []
+    made = stateful.cachesim.settings
+    monkeypatch.setattr(stateful.cachesim, "settings", lambda spark, taus, orders, **more: asked.append(orders) or made(spark, taus, 1, **more))
+    for q in ("index_keyed_sim", "cache_sim_eviction", "cache_sim_zipf", "arch_rules", "cache_sim_text", "serve_classes", "answer_text_keys", "seed_confusion"):
+        stateful.QUERIES[q](spark, data)
+    assert asked == [200, 50, 50, 50, 500, 500, 500, 500]
+    sizes = {r["items"] for r in stateful.cache_sim_size(spark, data).collect()}
+    total = stateful.vectors(spark, data).count()
+    assert sizes == {min(n, total) for n in (100, 500, 1000, 2500, 5231)}
+
+
+def test_rates_against_a_plain_walk(spark):
+    """Vectors on a line and three orders: hit rate and sensitivity as counted by hand from the walk."""
+    import numpy as np
+
+    from bandwright.operators import cachesim
+
+    x = np.random.default_rng(0).standard_normal((30, 4))
+    items = spark.createDataFrame([(i, x[i].tolist(), str(i % 7)) for i in range(30)], "item int, vec array<double>, key string")
+    got = stateful._rates(cachesim.simulate(items, cachesim.settings(spark, [0.5], 40)), items).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    keys, hits = [set() for _ in range(30)], 0
+    for o in range(40):
+        for _, i, stored, _ in cachesim.walk(unit, cachesim.permutation(o, 30), 0.5):
+            hits += stored >= 0
+            keys[i].add((stored if stored >= 0 else i) % 7)
+    assert len(got) == 1 and got[0].arrivals == 1200
+    assert got[0].hit == round(hits / 1200, 6) and got[0].sensitivity == round(sum(len(k) > 1 for k in keys) / 30, 6)
