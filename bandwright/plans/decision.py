@@ -14,7 +14,9 @@ from bandwright.plans.base import SCORED, kept, pairs, r6, scored, with_
 from bandwright.session import cut
 
 FOLDS = 5
+#: Replicates of cluster_bootstrap, which its SQL draws too, and the reference's number.
 REPS = 200
+C4_REPS = 2000
 FEATURES = ["sim", "ce", "gap", "same_numbers", "same_acronyms"]
 
 
@@ -146,12 +148,12 @@ def split_half(spark: SparkSession, d: str) -> DataFrame:
     return decision.split_half(rows.drop("n")).select("tau", "n", *r6("false_hit", "false_miss"))
 
 
-def _replicates(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.replicates(cut(decision.seed_counts(predicted(spark, d))), "seed_id", list(decision.COUNTS), REPS, ["config"])
+def _replicates(spark: SparkSession, d: str, n: int) -> DataFrame:
+    return bootstrap.replicates(cut(decision.seed_counts(predicted(spark, d))), "seed_id", list(decision.COUNTS), n, ["config"])
 
 
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    reps = decision.ratios(_replicates(spark, d), ["rep", "config"])
+    reps = decision.ratios(_replicates(spark, d, REPS), ["rep", "config"])
     metrics = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in decision.RATIOS]))
     long = reps.select("config", metrics.alias("m")).select("config", "m.metric", "m.value")
     return bootstrap.percentile_interval(long, ["config", "metric"], "value").select("config", "metric", *r6("lo", "hi"))
@@ -159,7 +161,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def c4_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Share of replicates in which the cliff reduction exceeds the slope reduction, and the gap's interval."""
-    reps = _replicates(spark, d)
+    reps = cut(_replicates(spark, d, C4_REPS))
     rate = lambda g: F.try_divide(f"false_{g}", g)
     r = reps.select("rep", "config", rate("slope").alias("s"), rate("cliff").alias("c"))
     base = r.filter("config = 'A'").select("rep", F.col("s").alias("bs"), F.col("c").alias("bc"))

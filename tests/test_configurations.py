@@ -17,3 +17,11 @@ def test_learned_configuration(spark, data):
     rows = decision.logistic(plans.verified(spark, data), plans.FEATURES, plans.FOLDS).select("hit", "p").toPandas()
     miss = rows[rows["hit"] == 0]
     assert got[0].false_hit == round(float((miss["p"] > 0.5).mean()), 6)
+
+
+def test_replicates_of_the_reference(spark, data, monkeypatch):
+    asked = []
+    made = plans.bootstrap.replicates
+    monkeypatch.setattr(plans.bootstrap, "replicates", lambda rows, key, counts, reps, keys: asked.append(reps) or made(rows, key, counts, 5, keys))
+    plans.c4_bootstrap(spark, data)
+    assert asked == [2000]
