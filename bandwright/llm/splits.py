@@ -10,7 +10,7 @@ small ones over several domains by a hash, in proportion; of those within one do
 each size. Every size's components are dealt out in proportion but for RESERVE of each split, and a bitset of
 reachable sums over the reserve picks the totals closest to the shares that are left.
 
-Cases: null and blank editors, addresses and documents tie nothing; a seed without a document is alone unless repeated; a null seed
+Cases: null and blank editors, addresses and documents tie nothing; a seed without a document is alone unless repeated, one with several ties them all; a null seed
 stands for no seed: each such record is alone; records without a domain count for their component's domains not at all,
 and are a domain of their own if it has none; sources in circles and repeated rows change nothing; empty tables give empty results.
 """
@@ -62,10 +62,13 @@ def tied_seeds(final: DataFrame, seeds: DataFrame, sources: DataFrame) -> DataFr
     """(seed_id, component, w) of the seeds of ``final``; w is the number of its seeds in the component."""
     doc = F.concat(F.lit("d:"), F.nullif(F.col("doc_id"), F.lit("")))
     ties = [sources.select(doc.alias("a"), F.concat(F.lit(f"{c[0]}:"), fold(F.col(c))).alias("b")) for c in ("editor", "url")]
-    roots = components(reduce(DataFrame.unionByName, ties))
     own = final.select("seed_id").filter("seed_id IS NOT NULL").distinct()
-    of = seeds.filter("seed_id IS NOT NULL").groupBy("seed_id").agg(F.min(doc).alias("v"), F.countDistinct("doc_id").alias("docs"))
-    known = cut(own.join(of, "seed_id", "left").withColumn("v", F.coalesce("v", F.concat(F.lit("s:"), "seed_id"))).drop("docs"))
+    placed = seeds.filter("seed_id IS NOT NULL").select("seed_id", doc.alias("v"))
+    of = placed.groupBy("seed_id").agg(F.min("v").alias("v"), F.max("v").alias("last"))
+    several = of.filter("v <> last").select("seed_id").join(own, "seed_id", "left_semi")
+    ties.append(placed.join(several, "seed_id").select(F.col("v").alias("a"), F.concat(F.lit("s:"), "seed_id").alias("b")))  # a seed ties all its documents
+    roots = components(reduce(DataFrame.unionByName, ties))
+    known = cut(own.join(of, "seed_id", "left").select("seed_id", F.coalesce("v", F.concat(F.lit("s:"), "seed_id")).alias("v")))
     total = known.count()
     weighed = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).join(roots, "v")
     rooted = cut(lookup_join(known, weighed, "v", "w", total, "left").select("seed_id", F.coalesce("root", "v").alias("component")))

@@ -72,3 +72,10 @@ def test_shares_are_near(spark):
     for d in "ab":
         n = sum(v for (x, _), v in got.items() if x == d)
         assert all(abs(got[d, s] - share * n) <= 1 for s, share in zip(splits.SPLITS, splits.SHARES, strict=True))
+
+
+def test_a_seed_with_several_documents_ties_them(spark):
+    seeds = [("a", "d1", "x"), ("b", "d1", "x"), ("b", "d2", "x"), ("c", "d2", "x"), ("e", "d3", "x"), ("u", "d1", "x"), ("u", "d3", "x")]
+    final = [(f"r{s}", s, "x", "q") for s in ("a", "b", "c", "e")]  # u has no record and ties nothing
+    tied = splits.tied_seeds(spark.createDataFrame(final, FINAL), spark.createDataFrame(seeds, SEEDS), spark.createDataFrame([], SOURCES))
+    assert {tuple(r) for r in splits.smallest(tied).collect()} == {("a", "b"), ("a", "c")}
