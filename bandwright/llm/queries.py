@@ -57,8 +57,20 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    counts = splits.assign(*_tables5(spark, d)).groupBy("domain", "split").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("domain")))
+    """Of every domain: its records, and whether each split's are its share, give or take the largest set of tied records there."""
+    rows = splits.assign(*_tables5(spark, d))
+    per = cut(rows.groupBy("domain", "component", "split").agg(F.count(F.lit(1)).alias("n")))
+    sums = per.groupBy("domain").agg(F.sum("n").alias("records"), F.max("n").alias("most"), *[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in splits.SPLITS])
+    off = F.greatest(*[F.abs(F.col(s) - F.col("records") * x) for s, x in zip(splits.SPLITS, splits.SHARES, strict=True)])
+    return sums.select("domain", "records", (off <= F.col("most")).alias("near"))
+
+
+def p5_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of tied seeds by their smallest: how many seeds and records, and in how many splits they lie."""
+    rows = splits.assign(*_tables5(spark, d)).filter("seed_id IS NOT NULL")
+    seeds = rows.groupBy("component", "seed_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    sets = seeds.groupBy("component").agg(F.min("seed_id").alias("seed_id"), F.countDistinct("seed_id").alias("seeds"), F.sum("n").alias("records"), F.countDistinct("split").alias("splits"))
+    return sets.drop("component")
 
 
 def p6_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +139,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_scores, p2_found, p2_report, p2_sample, p3_found, p3_collapsed, p5_found, p5_splits, p5_shares, p6_found,
+        p1_found, p1_scores, p2_found, p2_report, p2_sample, p3_found, p3_collapsed, p5_found, p5_splits, p5_shares, p5_sets, p6_found,
         p6_neighbors, p7_found, p7_consensus, p7_judges, p7_agreement, p8_ids, p8_counts, p9_found, p9_mix, p9_shares, p10_found, p10_shared,
     )
 }
@@ -152,6 +164,16 @@ votes AS (SELECT id, judge_model, axis_ok FROM (SELECT *, row_number() OVER (PAR
 """
 _FOLD = r"nullif(lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '')"
 
+_TIED = f"""
+WITH RECURSIVE ties AS (SELECT DISTINCT doc_id, 'e' || {_FOLD.format("editor")} AS k FROM source_index WHERE {_FOLD.format("editor")} IS NOT NULL
+      UNION SELECT DISTINCT doc_id, 'u' || {_FOLD.format("url")} FROM source_index WHERE {_FOLD.format("url")} IS NOT NULL),
+near AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM ties a JOIN ties b ON a.k = b.k),
+own AS (SELECT DISTINCT f.seed_id, s.doc_id FROM t05_final f JOIN t02_seeds s ON f.seed_id = s.seed_id WHERE s.doc_id IS NOT NULL),
+start AS (SELECT DISTINCT doc_id FROM own),
+reach AS (SELECT doc_id AS s, doc_id AS x FROM start UNION SELECT r.s, n.y FROM reach r JOIN near n ON r.x = n.x),
+tied AS (SELECT o.seed_id, min(p.seed_id) AS first FROM own o JOIN reach r ON r.s = o.doc_id JOIN own p ON p.doc_id = r.x GROUP BY o.seed_id)
+"""
+
 ORACLES = {
     "p1_found": _BEST + "SELECT seed_id, axis, id FROM ranked WHERE r <= 2",
     "p1_scores": _BEST + "SELECT seed_id, axis, id, conf FROM ranked WHERE r <= 2",
@@ -166,15 +188,10 @@ n AS (SELECT plan_id, cell_id, target_share, min_rows, sample_size, coalesce(sum
 SELECT plan_id, cell_id FROM n WHERE n < target_share * sample_size OR n < min_rows""",
     "p3_found": _FORMS + "SELECT first AS seed_id, seed_id AS copy_seed_id FROM firsts WHERE first <> seed_id",
     "p3_collapsed": _FORMS + "SELECT first AS seed_id, count(*) AS copies FROM firsts GROUP BY first",
-    "p5_found": f"""
-WITH RECURSIVE ties AS (SELECT DISTINCT doc_id, 'e' || {_FOLD.format("editor")} AS k FROM source_index WHERE {_FOLD.format("editor")} IS NOT NULL
-      UNION SELECT DISTINCT doc_id, 'u' || {_FOLD.format("url")} FROM source_index WHERE {_FOLD.format("url")} IS NOT NULL),
-near AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM ties a JOIN ties b ON a.k = b.k),
-own AS (SELECT DISTINCT f.seed_id, s.doc_id FROM t05_final f JOIN t02_seeds s ON f.seed_id = s.seed_id WHERE s.doc_id IS NOT NULL),
-start AS (SELECT DISTINCT doc_id FROM own),
-reach AS (SELECT doc_id AS s, doc_id AS x FROM start UNION SELECT r.s, n.y FROM reach r JOIN near n ON r.x = n.x),
-tied AS (SELECT o.seed_id, min(p.seed_id) AS first FROM own o JOIN reach r ON r.s = o.doc_id JOIN own p ON p.doc_id = r.x GROUP BY o.seed_id)
-SELECT first AS seed_id, seed_id AS linked_seed_id FROM tied WHERE first <> seed_id""",
+    "p5_found": _TIED + "SELECT first AS seed_id, seed_id AS linked_seed_id FROM tied WHERE first <> seed_id",
+    "p5_sets": _TIED + """, n AS (SELECT seed_id, count(*) AS n FROM t05_final WHERE seed_id IS NOT NULL GROUP BY seed_id)
+SELECT coalesce(t.first, n.seed_id) AS seed_id, count(*) AS seeds, CAST(sum(n) AS BIGINT) AS records, CAST(1 AS BIGINT) AS splits FROM n LEFT JOIN tied t ON n.seed_id = t.seed_id GROUP BY 1""",
+    "p5_shares": f"SELECT {_FOLD.format('domain')} AS domain, count(*) AS records, true AS near FROM t05_final GROUP BY 1",
     "p6_found": """
 WITH v AS (SELECT vec_id, CAST(vec AS DOUBLE[]) AS vec FROM pair_vectors WHERE vec IS NOT NULL AND list_sum(list_transform(vec, lambda x: x * x)) > 0),
 s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),

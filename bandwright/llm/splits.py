@@ -5,10 +5,11 @@ every root with a smaller neighbouring root hooks onto its smallest one, pointer
 renamed to roots, and what joins a root with itself is dropped, until no edge is left. Parents are looked up with heavy
 keys apart, so a hub with a third of all edges is no hot task.
 
-Split sizes: large components (at least 1 / LARGE of all records, so at most LARGE) go to the split that lacks most;
-small ones over several domains by a hash, in proportion; of those within one domain, the driver holds only how many have
-each size. Every size's components are dealt out in proportion but for RESERVE of each split, and a bitset of
-reachable sums over the reserve picks the totals closest to the shares that are left.
+Split sizes: components over several domains are dealt per home domain (that of most of their records), then those within
+one domain per domain, towards what the first left of the domain's shares. Every component goes the same way, whatever its size:
+components are counted per size, and in one task per domain the totals of the splits, rarest first, are made the closest ones
+there are by subset sums over these multiplicities. Which components of a size go where is a hash order. A domain of n
+records has at most sqrt(2 n) sizes; nothing is collected to the driver.
 
 Cases: null and blank editors, addresses and documents tie nothing; a seed without a document is alone unless repeated, one with several ties them all; a null seed
 stands for no seed: each such record is alone; records without a domain count for their component's domains not at all,
@@ -17,8 +18,10 @@ and are a domain of their own if it has none; sources in circles and repeated ro
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ from bandwright.session import cut
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
-LARGE = 1000
-RESERVE = 8
 
 
 def _renamed(rows: DataFrame, key: str, to: DataFrame) -> DataFrame:
@@ -82,96 +83,141 @@ def smallest(tied: DataFrame) -> DataFrame:
     return pairs.filter("seed_id <> first").select(F.col("first").alias("seed_id"), F.col("seed_id").alias("linked_seed_id"))
 
 
-def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
-    """How many of each size add up closest to ``target`` (of two sums as close, the smaller): bitsets of reachable sums."""
+def _reached(bits: int, parts: list[int], mask: int) -> int:
+    """Sums reachable from ``bits`` with any of the parts added."""
+    for w in parts:
+        bits |= bits << w & mask
+    return bits
+
+
+def _taken(bits: int, parts: list[int], at: int) -> list[bool]:
+    """Which of the parts lead from ``bits`` to the sum ``at``: bitsets are made again on the way back, so log2(parts) are held at once."""
+    if len(parts) == 1:
+        return [not bits >> at & 1]
+    mask, mid = (1 << at + 1) - 1, len(parts) // 2
+    right = _taken(_reached(bits & mask, parts[:mid], mask), parts[mid:], at)
+    return _taken(bits, parts[:mid], at - sum(w for w, t in zip(parts[mid:], right, strict=True) if t)) + right
+
+
+def _nearest(free: dict[int, int], target: int, within: int, higher: bool) -> dict[int, int]:
+    """How many of each size add up closest to ``target``, of two sums as close the ``higher`` or the smaller; some sum is within ``within``."""
     parts = []
-    for s, n in sorted(sizes.items(), reverse=True):
+    for s, n in sorted(free.items()):
         k = 1
         while n > 0:
             parts.append((s, min(k, n)))
             n -= k
             k *= 2
-    reached = [1]
-    for s, n in parts:
-        reached.append(reached[-1] | reached[-1] << s * n)
-    bits, target = reached[-1], max(0, target)
-    below = (bits & ((1 << target + 1) - 1)).bit_length() - 1
-    above = bits >> target
-    above = target + (above & -above).bit_length() - 1 if above else None
-    at = below if above is None or target - below <= above - target else above
+    limit = target + within
+    mask, bits, used = (1 << limit + 1) - 1, 1, 0
+    for s, n in parts:  # as many parts as it takes to meet the target
+        if bits >> target & 1:
+            break
+        bits |= bits << s * n & mask
+        used += 1
+    below, above = (bits & ((1 << target + 1) - 1)).bit_length() - 1, bits >> target
+    up = (above & -above).bit_length() - 1
+    at = below if not above or target - below < up + (not higher) else target + up
     took: dict[int, int] = {}
-    for i in range(len(parts) - 1, -1, -1):
-        s, n = parts[i]
-        if not reached[i] >> at & 1:
-            took[s] = took.get(s, 0) + n
-            at -= s * n
+    if used:
+        for (s, n), t in zip(parts[:used], _taken(1, [s * n for s, n in parts[:used]], at), strict=True):
+            if t:
+                took[s] = took.get(s, 0) + n
     return took
 
 
-def _dealt(sizes: dict[int, int], want: list[float]) -> dict[int, list[int]]:
-    """Components of each size per split: in proportion but for a reserve, then by reachable sums, rarest split first."""
-    whole = sum(s * n for s, n in sizes.items())
-    shares = [max(0.0, w) / max(1e-9, sum(max(0.0, x) for x in want)) for w in want]
-    given = {s: [max(0, int(sh * n) - RESERVE) for sh in shares] for s, n in sizes.items()}
-    left = {s: n - sum(given[s]) for s, n in sizes.items()}
+def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many of each size (1 or more) add up closest to ``target``; no other choice is closer.
+
+    A start takes the same share of every size and fills up with what fits. Bitsets of reachable sums then run over what may
+    change: first few of the small sizes by few components, then ever more, until the target is met or the change is as
+    large as it can usefully be. Let D be the largest size and e the start's distance. A closest choice that changes least
+    has its additions and removals ordered so that the running sum stays within D of the start or beyond it towards the target; no
+    running sum comes twice (what lies between could be left out), so it changes at most D + max(D, 2 e) components. So
+    the bitsets' lengths depend on the sizes, never on how many components there are.
+    """
+    sizes = {s: n for s, n in sizes.items() if n > 0}
+    if target <= 0 or not sizes:
+        return {}
+    g = math.gcd(*sizes)
+    counts = {s // g: n for s, n in sizes.items()}
+    down, rest = divmod(target, g)
+    goal = down + (2 * rest > g)  # in units of the common divisor; of two as close the smaller
+    whole = sum(s * n for s, n in counts.items())
+    if goal >= whole:
+        return dict(sizes)
+    start = {s: n * goal // whole for s, n in counts.items()}
+    left = goal - sum(s * n for s, n in start.items())
+    for s in sorted(counts, reverse=True):
+        more = min(counts[s] - start[s], left // s)
+        start[s] += more
+        left -= more * s
+    order, most = sorted(counts), max(counts) + max(max(counts), 2 * left)
+    few, change = 64, 1
+    while left:
+        part = order[:few]
+        floor = {s: max(0, start[s] - change) for s in part}
+        free = {s: n for s in part if (n := min(counts[s], start[s] + change) - floor[s])}
+        took = _nearest(free, left + sum(s * (start[s] - floor[s]) for s in part), left, 0 < rest and goal == down)
+        best = start | {s: floor[s] + took.get(s, 0) for s in part}
+        if sum(s * n for s, n in best.items()) == goal or (few >= len(order) and change >= min(most, max(counts.values()))):
+            start = best
+            break
+        few, change = few * 4, change * 4
+    return {s * g: n for s, n in start.items() if n}
+
+
+def dealt(sizes: dict[int, int], want: list[float]) -> dict[int, list[int]]:
+    """Components of each size per split, the totals as close to ``want`` as can be, the rarest split first; the last takes the rest."""
     order = sorted(range(len(want)), key=lambda k: (want[k], -k))
+    left, given = dict(sizes), {s: [0] * len(want) for s in sizes}
     for k in order[:-1]:
-        took = closest(left, round(whole * shares[k] - sum(s * g[k] for s, g in given.items())))
-        for s, n in took.items():
-            given[s][k] += n
+        for s, n in closest(left, math.floor(want[k] + 0.5)).items():
+            given[s][k] = n
             left[s] -= n
     for s, n in left.items():
-        given[s][order[-1]] += n
+        given[s][order[-1]] = n
     return given
 
 
+def _deal(parts: DataFrame, want: DataFrame) -> DataFrame:
+    """(component, split) of ``parts`` (component, of, size), as ``want`` (of, want array<double>) has it for every ``of``."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        given = dealt(dict(zip(rows["size"].tolist(), rows["w"].tolist(), strict=True)), list(rows["want"].iloc[0]))
+        ends = [[sum(given[s][: k + 1]) for k in range(len(given[s]))] for s in rows["size"].tolist()]
+        return pd.DataFrame({"of": rows["of"], "size": rows["size"], "w": rows["w"], "ends": ends})
+
+    counts = parts.groupBy("of", "size").agg(F.count(F.lit(1)).alias("w")).join(want.withColumnRenamed("of", "__of"), F.col("of").eqNullSafe(F.col("__of"))).drop("__of")
+    ends = cut(counts.groupBy("of").applyInPandas(one, "of string, size bigint, w bigint, ends array<bigint>"))
+    keyed = cut(prefix_sums(parts, ["of", "size"], F.xxhash64("component"), F.lit(1), "rank").select("component", F.struct("of", "size").alias("key"), "rank"))
+    placed = lookup_join(keyed, ends.select(F.struct("of", "size").alias("key"), "w", "ends"), "key", "w", keyed.count())
+    nth = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    return placed.select("component", F.element_at(F.array(*[F.lit(s) for s in SPLITS]), nth + 1).alias("split"))
+
+
 def assign(final: DataFrame, seeds: DataFrame, sources: DataFrame, shares: tuple[float, ...] = SHARES, id_col: str = "id") -> DataFrame:
-    """(id, domain, seed_id, split) of every record of ``final``."""
-    spark = final.sparkSession
+    """(id, domain, seed_id, component, split) of every record of ``final``."""
     tied = tied_seeds(final, seeds, sources)
     records = final.select(F.col(id_col).alias("id"), "seed_id", fold(F.col("domain")).alias("domain"))
     cells = records.groupBy("seed_id", F.when(F.col("seed_id").isNull(), F.col("id")).alias("lone"), "domain").agg(F.count(F.lit(1)).alias("n"))
     cells = cut(cells.join(tied, "seed_id", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("r:"), F.coalesce("lone", F.lit(""))))))
     per = cut(cells.groupBy("component", "domain").agg(F.sum("n").alias("n")))
-    shape = per.groupBy("component").agg(F.count("domain").alias("domains"), F.min("domain").alias("domain"), F.sum("n").alias("size"), F.sum(F.when(F.col("domain").isNotNull(), F.col("n"))).alias("named"))
-    shape = cut(shape.withColumn("named", F.coalesce("named", "size")))
-    total = shape.agg(F.sum("size")).first()[0] or 0
-    large = shape.filter(F.col("size") * LARGE >= total).select("component")
-    want = {r.domain: [r.n * s for s in shares] for r in per.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-    picks = []
-    heads: dict = {}
-    for r in per.join(F.broadcast(large), "component").collect():
-        heads.setdefault(r.component, []).append((r.domain, r.n))
-    for c, parts in sorted(heads.items(), key=lambda x: (-sum(n for _, n in x[1]), x[0])):
-        k = max(range(len(shares)), key=lambda k: (sum(min(n, want[d][k]) for d, n in parts), want[parts[0][0]][k]))
-        picks.append((c, SPLITS[k]))
-        for d, n in parts:
-            want[d][k] -= n
-    picked = spark.createDataFrame(picks, "component string, split string")
-    small = shape.join(F.broadcast(large), "component", "left_anti")
-    spread = F.pmod(F.xxhash64("component"), F.lit(1_000_000)) / 1_000_000
-    edge, rule = 0.0, F.lit(SPLITS[-1])
-    for s, x in reversed(list(zip(SPLITS, [sum(shares[: k + 1]) for k in range(len(shares))], strict=True))[:-1]):
-        rule = F.when(spread < x, F.lit(s)).otherwise(rule)
-    several = cut(small.filter("domains > 1").select("component", rule.alias("split")))
-    for r in per.join(several, "component").groupBy("domain", "split").agg(F.sum("n").alias("n")).collect():
-        want[r.domain][SPLITS.index(r.split)] -= r.n
-    single = cut(small.filter("domains <= 1").select("component", "domain", "named"))
-    sizes: dict = {}
-    for r in single.groupBy("domain", "named").agg(F.count(F.lit(1)).alias("c")).collect():
-        sizes.setdefault(r.domain, {})[r.named] = r.c
-    deal = []
-    for d, own in sizes.items():
-        for s, counts in _dealt(own, want[d]).items():
-            first = 0
-            for k, n in enumerate(counts):
-                deal.append((d, s, first, first + n - 1, SPLITS[k]))
-                first += n
-    deal = spark.createDataFrame(deal, "domain string, named bigint, first bigint, last bigint, split string")
-    ranked = prefix_sums(single, ["domain", "named"], F.xxhash64("component"), F.lit(1), "rank").withColumnRenamed("domain", "d").withColumnRenamed("named", "s")
-    fits = ranked["d"].eqNullSafe(deal["domain"]) & (ranked["s"] == deal["named"]) & ranked["rank"].between(deal["first"], deal["last"])
-    chosen = picked.unionByName(several).unionByName(ranked.join(deal, fits).select("component", "split"))
-    of = cells.select("seed_id", "lone", "component").distinct().join(chosen, "component").select("seed_id", "lone", "split")
-    rows = records.withColumn("lone", F.when(F.col("seed_id").isNull(), F.col("id"))).withColumn("key", F.struct(F.col("seed_id"), F.col("lone")))
-    sized = cells.groupBy(F.struct("seed_id", "lone").alias("key")).agg(F.sum("n").alias("w")).join(of.select(F.struct("seed_id", "lone").alias("key"), "split"), "key")
-    return lookup_join(rows, sized, "key", "w", total).select("id", "domain", "seed_id", "split")
+    named = F.when(F.col("domain").isNotNull(), F.col("n"))
+    home = F.max_by("domain", F.when(F.col("domain").isNotNull(), F.struct("n", "domain")))
+    shape = per.groupBy("component").agg(F.count("domain").alias("domains"), home.alias("of"), F.coalesce(F.sum(named), F.sum("n")).alias("size"))
+    shape = cut(shape)
+    several, single = (shape.filter(c).select("component", "of", "size") for c in ("domains > 1", "domains <= 1"))
+    by = lambda total: F.array(*[F.col(total) * s for s in shares])
+    first = cut(_deal(several, several.groupBy("of").agg(F.sum("size").alias("n")).select("of", by("n").alias("want"))))
+    counted = per.join(shape.filter("domains > 0").select("component"), "component", "left_semi").filter("domain IS NOT NULL").unionByName(per.join(shape.filter("domains = 0").select("component"), "component", "left_semi"))
+    whole = counted.groupBy("domain").agg(F.sum("n").alias("n"))
+    gone = counted.join(first, "component").groupBy("domain").agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in SPLITS])
+    rest = whole.join(gone.withColumnRenamed("domain", "__d"), F.col("domain").eqNullSafe(F.col("__d")), "left")
+    want = rest.select(F.col("domain").alias("of"), F.array(*[F.col("n") * x - F.coalesce(s, F.lit(0)) for s, x in zip(SPLITS, shares, strict=True)]).alias("want"))
+    chosen = first.unionByName(_deal(single, want))
+    parts = cut(cells.groupBy("seed_id", "lone", "component").agg(F.sum("n").alias("n")))
+    weighed = chosen.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("w")), "component")
+    of = cut(lookup_join(parts, cut(weighed), "component", "w", parts.count()).select(F.struct("seed_id", "lone").alias("key"), "component", "split", F.col("n").alias("w")))
+    rows = records.withColumn("key", F.struct(F.col("seed_id"), F.when(F.col("seed_id").isNull(), F.col("id")).alias("lone")))
+    return lookup_join(rows, of, "key", "w", of.agg(F.sum("w")).first()[0] or 0).select("id", "domain", "seed_id", "component", "split")

@@ -79,3 +79,46 @@ def test_a_seed_with_several_documents_ties_them(spark):
     final = [(f"r{s}", s, "x", "q") for s in ("a", "b", "c", "e")]  # u has no record and ties nothing
     tied = splits.tied_seeds(spark.createDataFrame(final, FINAL), spark.createDataFrame(seeds, SEEDS), spark.createDataFrame([], SOURCES))
     assert {tuple(r) for r in splits.smallest(tied).collect()} == {("a", "b"), ("a", "c")}
+
+
+def test_closest_on_spread_sizes():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = {rng.choice([7, 14, 21, 30, 31, 60, 90, 500]) * rng.choice([1, 2]): rng.randrange(1, 5) for _ in range(5)}
+        target = rng.randrange(0, 900)
+        reach = {0}
+        for s, n in sizes.items():
+            reach = {r + s * k for r in reach for k in range(n + 1)}
+        took = splits.closest(sizes, target)
+        assert all(took[s] <= sizes[s] for s in took)
+        assert abs(sum(s * c for s, c in took.items()) - target) == min(abs(r - target) for r in reach)
+
+
+def test_closest_needs_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    sizes = {rng.randrange(1, 100_000): rng.randrange(1, 10_000) for _ in range(1000)}
+    target = sum(s * n for s, n in sizes.items()) // 10
+    tracemalloc.start()
+    took = splits.closest(sizes, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in took.items()) == target and peak < 500_000_000
+
+
+def test_closest_where_only_one_odd_size_can_help():
+    assert sum(s * n for s, n in splits.closest({2: 10_000_000, 1_001: 3}, 5_000_001).items()) == 5_000_001
+    assert splits.closest({10: 4}, 15) in ({10: 1}, {10: 2}) and splits.closest({10: 4}, 100) == {10: 4} and splits.closest({}, 5) == {} and splits.closest({3: 1}, 0) == {}
+
+
+def test_components_over_several_domains_and_a_hot_one(spark):
+    final = [(f"h{i}", "hot", "a", "q") for i in range(300)]
+    final += [(f"m{i}-{k}", f"m{i}", "ab"[k % 2], "q") for i in range(40) for k in range(2 + i % 4)]
+    final += [(f"r{i}-{k}", f"s{i}", "ab"[i % 2], "q") for i in range(300) for k in range(1 + i % 3)] + [(f"n{i}", f"n{i}", None, "q") for i in range(20)]
+    rows = splits.assign(spark.createDataFrame(final, FINAL), spark.createDataFrame([], SEEDS), spark.createDataFrame([], SOURCES)).collect()
+    assert Counter(r.id for r in rows) == Counter(r[0] for r in final)
+    got = Counter((r.domain, r.split) for r in rows)
+    for d in ("a", "b", None):
+        n = sum(v for (x, _), v in got.items() if x == d)
+        assert all(abs(got[d, s] - share * n) <= 1 for s, share in zip(splits.SPLITS, splits.SHARES, strict=True)), (d, got)
