@@ -53,6 +53,27 @@ def merge(ranges: DataFrame) -> DataFrame:
     return turns.select("producer", "block", F.col("pos").alias("lo"), (F.lead("pos").over(w) - 1).alias("hi"), "depth").filter("depth > 0").drop("depth")
 
 
+def uncovered(new: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Disjoint (producer, block, lo, hi): what ``new`` covers and ``seen`` does not; both are disjoint in themselves."""
+    if seen is None:
+        return new.select("producer", "block", "lo", "hi")
+    ends = lambda df, n, s: df.select("producer", "block", F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.lit(n).alias("n"), F.lit(s).alias("s")), F.struct((F.col("hi") + 1).alias("pos"), F.lit(-n).alias("n"), F.lit(-s).alias("s")))).alias("e"))
+    moves = ends(new, 1, 0).unionByName(ends(seen, 0, 1)).groupBy("producer", "block", "e.pos").agg(F.sum("e.n").alias("n"), F.sum("e.s").alias("s"))
+    w = Window.partitionBy("producer", "block").orderBy("pos")
+    stretch = moves.select("producer", "block", F.col("pos").alias("lo"), (F.lead("pos").over(w) - 1).alias("hi"), F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"))
+    return stretch.filter("n > 0 AND s = 0").select("producer", "block", "lo", "hi")
+
+
+def within(rows: DataFrame, producer: str, block: str, number: str, ranges: DataFrame) -> DataFrame:
+    """The ``rows`` whose number lies in one of the disjoint ``ranges``: ranges and rows are put in one order per block, and a
+    row is inside if the range that began last before it reaches it. No row meets more than one range."""
+    hi, side = fresh(rows, "__hi"), fresh(rows, "__side")
+    starts = ranges.select(F.col("producer").alias(producer), F.col("block").alias(block), F.col("lo").alias(number), F.col("hi").alias(hi), F.lit(0).alias(side))
+    both = rows.withColumn(side, F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(producer, block).orderBy(number, side).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(hi, F.last(hi, ignorenulls=True).over(w)).filter((F.col(side) == 1) & (F.col(hi) >= F.col(number))).select(*rows.columns)
+
+
 def malformed(df: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, copies) of the identifiers that are not of the producer's form."""
     key, _, number = _keys(id_col)
@@ -68,26 +89,23 @@ def repeated(df: DataFrame, id_col: str = "id") -> DataFrame:
 def accept(batch: DataFrame, seen: DataFrame | None = None, seen_ids: DataFrame | None = None, id_col: str = "id", order: tuple[str, ...] = ("ts", "batch_id")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of ``batch`` to keep, and the seen ranges and malformed identifiers including them.
 
-    Of the copies within a batch the first by ``order`` stays (nulls last); numbers covered by ``seen`` and identifiers
-    of ``seen_ids`` are not accepted again. Kept rows have their identifier without blanks. The rank keeps one row of an
-    identifier per task before the shuffle, so the copies of one identifier never meet in one task.
+    What the batch's ranges cover and the seen ones don't is accepted, each number once; malformed identifiers that aren't
+    among ``seen_ids`` are. The rank only picks which copy within the batch stands for an accepted identifier: the first by
+    ``order`` (nulls last); it keeps one row of an identifier per task before the shuffle, so the copies of one never meet in
+    one task, and a block has at most 2**BLOCK rows then. Kept rows have their identifier without blanks.
     """
     key, producer, number = _keys(id_col)
-    k, p, n, b, r, lone = (fresh(batch, c) for c in ("__key", "__producer", "__number", "__block", "__rank", "__lone"))
+    k, p, n, b, r = (fresh(batch, c) for c in ("__key", "__producer", "__number", "__block", "__rank"))
     keyed = batch.withColumn(k, key).withColumn(p, producer).withColumn(n, number).withColumn(b, F.shiftright(F.col(n), BLOCK))
     none = keyed.filter(F.col(k).isNull())
     w = Window.partitionBy(k).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    first = keyed.filter(F.col(k).isNotNull()).withColumn(r, F.row_number().over(w)).filter(F.col(r) == 1).drop(r)
-    first = first.withColumn(id_col, F.col(k))
-    if seen is not None:
-        s = seen.select(F.col("producer").alias("__sp"), F.col("block").alias("__sb"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-        first = first.join(s, (F.col(p) == F.col("__sp")) & (F.col(b) == F.col("__sb")) & F.col(n).between(F.col("__lo"), F.col("__hi")), "left_anti")
+    first = lambda rows: rows.withColumn(r, F.row_number().over(w)).filter(F.col(r) == 1).drop(r).withColumn(id_col, F.col(k))
+    new, ids = copies(batch, id_col).drop("copies"), malformed(batch, id_col).select("id")
+    numbered = within(first(keyed.filter(F.col(n).isNotNull())), p, b, n, uncovered(new, seen))
+    lone = first(keyed.filter(F.col(k).isNotNull() & F.col(n).isNull()))
     if seen_ids is not None:
-        s = seen_ids.select(F.col("id").alias("__sid"))
-        first = first.join(s, (F.col(k) == F.col("__sid")) & F.col(n).isNull(), "left_anti")
-    new = copies(batch, id_col).drop("copies")
-    ids = malformed(batch, id_col).select("id")
-    ranges = merge(new if seen is None else new.unionByName(seen))
-    ids = ids if seen_ids is None else ids.unionByName(seen_ids.select("id")).distinct()
-    kept = reduce(DataFrame.unionByName, [first, none])
+        lone = lone.join(seen_ids.select(F.col("id").alias("__sid")), F.col(k) == F.col("__sid"), "left_anti")
+        ids = ids.unionByName(seen_ids.select("id")).distinct()
+    ranges = merge(new if seen is None else new.unionByName(seen.select("producer", "block", "lo", "hi")))
+    kept = reduce(DataFrame.unionByName, [numbered, lone, none])
     return kept.drop(k, p, n, b), ranges, ids

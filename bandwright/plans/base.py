@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.taxonomy import AXES, DOMAINS
 from bandwright.operators.pairs import pair_cosine, pair_relation
-from bandwright.session import cut, load
+from bandwright.session import cut, load, versions
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """A relation of the folder that several queries read, as scored pairs are: written to the shared folder when first asked for."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A relation of the folder that several queries read, as scored pairs are: written to the shared folder when first asked
+    for, and anew when a table of the folder has changed."""
+    key = (spark.sparkContext.applicationId, d, name, versions(spark, d))
     if key not in _KEPT:
         _KEPT[key] = cut(make())
     return _KEPT[key]

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def builder(app: str = "bandwright", cores: str = "*", partitions: int = 8):
@@ -30,17 +31,44 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop file system and path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def versions(spark: SparkSession, path: str) -> tuple:
+    """Name, time of change, bytes and number of files of what a folder holds: it changes when a table is written anew."""
+    fs, p = _path(spark, path)
+    found = []
+    for x in fs.listStatus(p):
+        c = fs.getContentSummary(x.getPath())
+        found.append((x.getPath().getName(), x.getModificationTime(), c.getLength(), c.getFileCount()))
+    return tuple(sorted(found))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent, a local session gets a folder of its own (removed at exit) and a cluster session falls
-    back on the warehouse folder, which a cluster shares by definition; a machine-local folder is never used there.
+    Where the setting is absent, a local session gets a folder of its own (removed at exit); on a cluster that is an error, as no
+    folder is known to be shared there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_bandwright"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         import shutil
@@ -50,18 +78,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/bandwright-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        fs, p = _path(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: the lineage ends here and lost executors lose nothing.
 
-    Parquet rather than ``checkpoint()``: it is compressed and later readers prune columns.
+    Parquet rather than ``checkpoint()``: it is compressed and later readers prune columns. ``release`` removes it before the session ends.
     """
     spark, names = df.sparkSession, df.columns
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
     clash = len({c.lower() for c in names}) < len(names)  # a file can't hold such names
     plain = df.toDF(*[f"c{i}" for i in range(len(names))]) if clash else df
     plain.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(plain.schema).parquet(path)
-    return back.toDF(*names) if clash else back
+    back = back.toDF(*names) if clash else back
+    back._cut = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``cut`` made and nothing reads any more: the tables a loop has replaced."""
+    for t in tables:
+        if (path := getattr(t, "_cut", None)) is not None:
+            remove(t.sparkSession, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -21,11 +21,18 @@ def test_messages_read_one_column_and_combine_before_the_shuffle(spark, data):
 
 def test_first_row_is_limited_before_the_shuffle(spark, data):
     p = plan(messages.accept(load(spark, data, "t03_variations").select("id", "ts", "batch_id"))[0])
-    assert p.count("WindowGroupLimit") == 2 and "Partial" in p
+    assert p.count("WindowGroupLimit") == 4 and "Partial" in p  # numbered and malformed identifiers
     q = plan(windows.last_wins(load(spark, data, "t04a_judgments_b1"), ["id"], "ts").select("id", "conf"))
     assert "WindowGroupLimit" in q and "issue" not in q
 
 
+def test_rows_are_accepted_by_the_ranges(spark, data):
+    rows = load(spark, data, "t03_variations").select("id", "ts", "batch_id")
+    p = plan(messages.accept(rows)[0])
+    assert "last(__hi" in p and "lead(pos" in p  # the running end of the ranges, which the sums over moves give
+    assert messages.copies(messages.accept(rows, messages.copies(rows))[0]).isEmpty()
+
+
 def test_filters_reach_the_scan(spark, data):
     p = plan(load(spark, data, "t05_final").filter("axis = 'P1'").select("id"))
     assert "PushedFilters: [IsNotNull(axis), EqualTo(axis,P1)]" in p and "ReadSchema: struct<id:string,axis:string>" in p

@@ -1,4 +1,7 @@
+import shutil
+
 import numpy as np
+import pytest
 
 from bandwright.operators import cachesim
 from bandwright.session import load
@@ -22,6 +25,21 @@ def test_deliveries_once(spark, tmp_path):
     assert sorted(x for x in got if x) == ["a_v1", "a_v2", "a_v3", "a_v4", "odd"] and got.count(None) == 1
 
 
+def test_a_lost_state_is_an_error(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    once = deliveries.keep_once(state, out)
+    batch = lambda *ids: spark.createDataFrame([(x, 1, "b") for x in ids], "id string, ts int, batch_id string")
+    for n, ids in enumerate((("a_v1", "x"), ("a_v2",), ("a_v2", "a_v3", "x"))):
+        once(batch(*ids), n)
+    assert {r.id for r in spark.read.parquet(out).collect()} == {"a_v1", "a_v2", "a_v3", "x"}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["1", "2"]
+    once(batch("a_v2", "a_v3", "x"), 2)  # run again
+    assert {r.id for r in spark.read.parquet(f"{out}/batch=2").collect()} == {"a_v3"}
+    shutil.rmtree(tmp_path / "state" / "2" / "ids")
+    with pytest.raises(deliveries.MissingState):
+        once(batch("a_v1"), 3)
+
+
 def test_gap_only(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     spark.createDataFrame([("a",), ("b",), (" b ",), (None,)], "id string").write.parquet(src)
