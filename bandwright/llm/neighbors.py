@@ -1,17 +1,20 @@
 """The k most similar vectors of every vector, by a hash-prefix forest.
 
-Every tree gives each vector a string of BITS signs on random orthogonal directions, and keeps the strings in one sorted
-array (range-partitioned over tree and string). A vector's longest-prefix matches are its neighbours in the array; going
-outwards step by step is ascending the tree, prefix by shorter prefix, and all trees ascend alike, STEPS entries either
-way. Candidates are compared in the same scan, in blocks, and each tree gives on its k best; the k best of all trees are
-ranked exactly (cosine in double precision, rounded, ties to the smaller id). The work per vector is the same in a crowd
-of near-equal vectors as elsewhere.
+Every tree gives each vector a long string of BITS signs on random orthogonal directions, and keeps the strings in one sorted
+array. The entries that share a prefix with a vector are a stretch of the array around it; its longest match is where a descent
+ends. All trees then ascend together, one level of prefix length at a time, until the stretches of a level hold ENOUGH
+entries in all. Which level that is comes from the strings alone; the vectors travel once, with their level, and
+are compared with every entry of their stretches, in blocks; each tree gives on its k best; the k best of all trees are
+ranked exactly (cosine in double precision, rounded, ties to the smaller id).
+
+The arrays are cut into pieces by rank, PIECE entries with those next to them on either side (ENOUGH), whatever the number of
+partitions. A vector with a stretch that reaches beyond is in a crowd of near-equal ones, and gets its exact answer from ``settle``.
 
 Equal vectors are one entry: they are found by a digest, represented by the smallest id, and the answer of the
 representative serves every copy; as many of the smallest ids as can be in an answer stand for the class in others'
 answers. So a third of all rows being copies costs nothing and loses nothing.
 
-Measured recall of the pairs is in the README; it is a property of TREES and STEPS, not of the number of rows sampled: all rows are
+Measured recall of the pairs is in the README; it is a property of TREES and ENOUGH, not of the number of rows sampled: all rows are
 indexed and all are queries, and the directions are fixed by a seed.
 
 Cases: null, all-zero and non-finite vectors, those with a null element and those whose length isn't ``dimension`` take no
@@ -29,11 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.operators.skew import lookup_join, one_row_each
+from bandwright.operators.windows import number_rows
 from bandwright.session import cut
 
-TREES = 16
+TREES = 12
 BITS = 62
-STEPS = 512
+#: Entries, over all trees, at which the ascent ends.
+ENOUGH = 4096
+#: Entries of a piece of a sorted array; it sets the work's shape, not the result.
+PIECE = 32768
 DIGITS = 6
 #: Crowded vectors compared as one block, the leaders taken in a round, and the rounds; they set the work, not the result.
 BLOCK = 8192
@@ -52,7 +59,7 @@ def _directions(dimension: int, trees: int, bits: int, seed: int) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame, dimension: int, trees: int = TREES, bits: int = BITS, seed: int = 42) -> DataFrame:
-    """(tree, hash, id, vec) of (id, vec): one row per tree."""
+    """(tree, hash, id) of (id, vec): one row per tree."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _directions(dimension, trees, bits, seed)
@@ -61,102 +68,144 @@ def hashed(vectors: DataFrame, dimension: int, trees: int = TREES, bits: int = B
             n = len(batch)
             if not n:
                 continue
-            flat = batch.column(1).flatten()
-            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dimension)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dimension)
             codes = ((x @ planes > 0).reshape(n, trees, bits) * weights).sum(axis=2)
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(codes[:, t]), batch.column(0), batch.column(1)], names=["tree", "hash", "id", "vec"])
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(codes.ravel()), pa.array(np.repeat(ids, trees))], names=["tree", "hash", "id"])
+
+    return vectors.select("id", "vec").mapInArrow(hashes, "tree int, hash bigint, id bigint")
 
-    return vectors.select("id", "vec").mapInArrow(hashes, "tree int, hash bigint, id bigint, vec array<float>")
 
+def _pieces(entries: DataFrame, n: int, size: int, halo: int) -> DataFrame:
+    """``entries`` (tree, rank, ...) once for each piece that holds them: their own (core) and those they are next to."""
+    per = max(1, -(-n // size))
+    own, at = F.floor(F.col("rank") / size).cast("int"), F.pmod("rank", F.lit(size))
+    beside = F.array_compact(F.array(F.when((at < halo) & (own > 0), own - 1), F.when((at >= size - halo) & (own < per - 1), own + 1)))
+    each = entries.withColumn("__p", F.explode(F.concat(F.array(own), beside)))
+    return each.withColumn("core", F.col("__p") == own).withColumn("piece", F.col("tree") * per + F.col("__p")).drop("__p")
 
-def _best(x: np.ndarray, x32: np.ndarray, lo: int, hi: int, k: int, floor: float, steps: int, digits: int):
-    """Of rows lo..hi of the unit vectors ``x``, the k most similar among the rows within ``steps``, as (row, other, sim); before them the crowded rows, as (row, None, None)."""
-    a, b = max(0, lo - steps), min(len(x), hi + steps)
-    s = x32[lo:hi] @ x32[a:b].T
-    np.fill_diagonal(s[:, lo - a :], -2)
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each piece together; the first column is the piece, batches are in order of it."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        piece = batch.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece))
+        s = 0
+        for e in ends:
+            if held and piece[s] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = piece[s]
+            held.append(batch.slice(s, e - s))
+            s = e
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _stretches(h: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 row of the entries that share the first ``level`` bits with each, in sorted ``h``."""
+    key = h >> (bits - level)
+    starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    sizes = np.diff(np.append(starts, len(key)))
+    return np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+
+def levels(ranked: DataFrame, n: int, enough: int, size: int, bits: int) -> DataFrame:
+    """(id, level, at array<struct<tree, rank, hash>>) from (tree, hash, id, rank): the longest prefix length at which the id's stretches hold ``enough`` others in all trees.
+
+    Of every entry each level's growth of its stretch is noted, level and growth in one number, until the one tree has enough.
+    """
+
+    def growth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_piece(batches):
+            h, core = rows["hash"].to_numpy(), rows["core"].to_numpy(zero_copy_only=False)
+            was, at, notes = np.ones(len(h), np.int64), [], []
+            for level in range(bits, -1, -1):
+                lo, hi = _stretches(h, level, bits)
+                more = hi - lo - was
+                grown = np.flatnonzero(core & (more > 0) & (was <= enough))
+                at.append(grown), notes.append((bits - level << 32) + more[grown])
+                was = hi - lo
+                if was.min() > enough:
+                    break
+            at, notes = np.concatenate(at), np.concatenate(notes)
+            order = np.argsort(at, kind="stable")
+            offsets = np.append(0, np.cumsum(np.bincount(at, minlength=len(h))[core]))
+            keep = np.flatnonzero(core)
+            out = rows.select(["id", "tree", "rank", "hash"]).take(pa.array(keep)).append_column("notes", pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(notes[order])))
+            yield from out.combine_chunks().to_batches()
+
+    dealt = _pieces(ranked, n, size, min(enough, size)).select("piece", "hash", "id", "tree", "rank", "core").repartition("piece").sortWithinPartitions("piece", "rank")
+    noted = dealt.mapInArrow(growth, "id bigint, tree int, rank bigint, hash bigint, notes array<bigint>")
+    per = noted.groupBy("id").agg(F.flatten(F.collect_list("notes")).alias("notes"), F.collect_list(F.struct("tree", "rank", "hash")).alias("at"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("up"))
+    step = lambda s, e: F.when((s["n"] >= enough) & (F.shiftright(e, 32) > s["up"]), s).otherwise(F.struct((s["n"] + e.bitwiseAND((1 << 32) - 1)).alias("n"), F.shiftright(e, 32).alias("up")))
+    level = F.aggregate(F.array_sort("notes"), start, step, lambda s: F.when(s["n"] >= enough, bits - s["up"]).otherwise(0))
+    return per.select("id", level.cast("int").alias("level"), "at")
+
+
+def _best(x: np.ndarray, x32: np.ndarray, rows_at: np.ndarray, los: np.ndarray, his: np.ndarray, k: int, floor: float, digits: int):
+    """Of the unit vectors ``x`` at ``rows_at``, those among rows los..his that can be of the k most similar, as (row, other, sim)."""
+    a, b = int(los.min()), int(his.max())
+    s = x32[rows_at] @ x32[a:b].T
+    cols = np.arange(a, b)
+    s[(cols < los[:, None]) | (cols >= his[:, None]) | (cols == rows_at[:, None])] = -2
     hits = np.flatnonzero(s.ravel() >= np.float32(floor - 1e-4))
     if not len(hits):
         return
     rows, cols = np.divmod(hits, b - a)
-    count = np.bincount(rows, minlength=hi - lo)
-    much = np.flatnonzero(count >= max(k + 1, steps // 2))
-    if len(much):
-        yield much + lo, None, None
+    count = np.bincount(rows, minlength=len(rows_at))
     crowded = np.flatnonzero(count > k)
     if len(crowded):  # nothing that is clearly below the k-th can be among the k best; ties stay
-        least = np.full(hi - lo, -2, np.float32)
+        least = np.full(len(rows_at), -2, np.float32)
         least[crowded] = np.partition(s[crowded], -k, axis=1)[:, -k] - np.float32(5e-6)
         keep = s.ravel()[hits] >= least[rows]
         rows, cols = rows[keep], cols[keep]
     for p in range(0, len(rows), 200_000):
-        q = min(len(rows), p + 200_000)
-        yield rows[p:q] + lo, cols[p:q] + a, np.round(np.einsum("ij,ij->i", x[rows[p:q] + lo], x[cols[p:q] + a]), digits)
+        r, c = rows_at[rows[p : p + 200_000]], cols[p : p + 200_000] + a
+        yield r, c, np.round(np.einsum("ij,ij->i", x[r], x[c]), digits)
 
 
-def candidates(entries: DataFrame, dimension: int, k: int, floor: float, steps: int = STEPS, digits: int = DIGITS, partitions: int | None = None) -> DataFrame:
-    """(id, other, sim) from the sorted arrays: of every tree the k best at least ``floor``; crowded vectors also have a row without other and sim."""
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartitionByRange(n, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
-    block = max(128, steps // 2)
+def candidates(placed: DataFrame, vectors: DataFrame, n: int, dimension: int, k: int, floor: float, enough: int, size: int, bits: int, digits: int = DIGITS) -> DataFrame:
+    """(id, other, sim) of (id, level, at) and (id, vec): of every tree the k best at least ``floor``; ids with a stretch beyond the piece also have a row without other and sim."""
+    names = ["id", "other", "sim"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # (tree, ids, unit vectors)
-        size = done = 0  # rows held, and how many of them already have their answer
-
-        def answer(final: bool):
-            nonlocal held, size, done
-            ids, x = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            x32 = x.astype(np.float32)
-            end = size if final else size - steps
-            while done < end:
-                hi = min(end, done + block)
-                rows, others, sims = [], [], []
-                for r, c, v in _best(x, x32, done, hi, k, floor, steps, digits):
-                    if c is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.float64())], names=["id", "other", "sim"])
-                        continue
-                    ok = v >= floor
-                    rows.append(r[ok]), others.append(ids[c[ok]]), sims.append(v[ok])
-                if rows:
-                    r, o, v = np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
-                    at = np.lexsort((o, -v, r))
-                    r, o, v = r[at], o[at], v[at]
-                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.empty(0, int)
-                    place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-                    keep = place < k
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(o[keep]), pa.array(v[keep])], names=["id", "other", "sim"])
-                done = hi
-            if final:
-                held, size, done = [], 0, 0
-            elif done > steps:  # keep what later rows may reach
-                cutoff = done - steps
-                held, size, done = [(held[0][0], ids[cutoff:], x[cutoff:])], size - cutoff, steps
-
-        tree = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            trees = batch.column(0).to_numpy()
-            ids = batch.column(2).to_numpy()
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dimension)
-            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            ends = np.append(np.flatnonzero(trees[1:] != trees[:-1]) + 1, len(trees))
-            s = 0
-            for e in ends:
-                if tree is not None and trees[s] != tree and held:
-                    yield from answer(True)
-                tree = trees[s]
-                held.append((tree, ids[s:e], x[s:e]))
-                size += e - s
-                if size - done >= 8192:
-                    yield from answer(False)
-                s = e
-        if held:
-            yield from answer(True)
-
-    return ordered.mapInArrow(scan, "id bigint, other bigint, sim double")
+        for rows in _by_piece(batches):
+            h, ids, level, rank = (rows[c].to_numpy() for c in ("hash", "id", "level", "rank"))
+            core = np.flatnonzero(rows["core"].to_numpy(zero_copy_only=False))
+            x = _units(rows["vec"].combine_chunks(), len(h), dimension)
+            x32, lo, hi = x.astype(np.float32), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            for v in np.unique(level[core]):
+                at = level == v
+                los, his = _stretches(h, int(v), bits)
+                lo[at], hi[at] = los[at], his[at]
+            beyond = ((lo == 0) & (rank[0] > 0)) | ((hi == len(h)) & (rank[-1] < n - 1))
+            cut_off = core[beyond[core]]
+            if len(cut_off):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cut_off]), pa.nulls(len(cut_off), pa.int64()), pa.nulls(len(cut_off), pa.float64())], names=names)
+                near = np.arange(len(h))  # a bound for their exact answer is enough
+                lo, hi = np.where(beyond, np.maximum(lo, near - 256), lo), np.where(beyond, np.minimum(hi, near + 256), hi)
+            for p in range(0, len(core), 256):
+                part = core[p : p + 256]
+                found = list(_best(x, x32, part, lo[part], hi[part], k, floor, digits))
+                if not found:
+                    continue
+                r, o, v = np.concatenate([f[0] for f in found]), ids[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found])
+                r, o, v = r[v >= floor], o[v >= floor], v[v >= floor]
+                at = np.lexsort((o, -v, r))
+                r, o, v = r[at], o[at], v[at]
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.empty(0, int)
+                keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(o[keep]), pa.array(v[keep])], names=names)
+
+    entries = placed.join(vectors.select("id", "vec"), "id").select("id", "level", "vec", F.explode("at").alias("e")).select("id", "level", "vec", "e.*")
+    dealt = _pieces(entries, n, size, min(enough, size)).select("piece", "hash", "id", "level", "rank", "core", "vec").repartition("piece").sortWithinPartitions("piece", "rank")
+    return dealt.mapInArrow(scan, "id bigint, other bigint, sim double")
 
 
 def _units(column: pa.Array, n: int, dimension: int) -> np.ndarray:
@@ -304,7 +353,7 @@ def classes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, int]:
     return members, first, total
 
 
-def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "vec_id", vec_col: str = "vec", dimension: int = 64, trees: int = TREES, steps: int = STEPS, seed: int = 42) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "vec_id", vec_col: str = "vec", dimension: int = 64, trees: int = TREES, enough: int = ENOUGH, piece: int = PIECE, seed: int = 42) -> DataFrame:
     """(id, other, sim): of every vector, those of its ``k`` most similar others whose similarity is at least ``floor``."""
     v = F.col(vec_col).cast("array<float>")
     finite = (F.size(v) == dimension) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
@@ -312,13 +361,16 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "v
     valid = one_row_each(cut(valid.select(F.col(id_col).cast("bigint").alias("id"), v.alias("vec"))), "id", "vec")
     members, first, total = classes(valid, k + 1)
     reps = valid.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    entries = hashed(reps, dimension, trees, BITS, seed)
-    found = candidates(entries, dimension, k, floor, steps).distinct()
+    ranked = number_rows(hashed(reps, dimension, trees, BITS, seed), [F.col("tree"), F.col("hash"), F.col("id")], "rank")
+    n = reps.count()
+    placed = levels(ranked.withColumn("rank", F.col("rank") - F.col("tree") * F.lit(n)), n, enough, piece, BITS)
+    found = candidates(placed, reps, n, dimension, k, floor, enough, piece, BITS).distinct()
     w = Window.partitionBy("id").orderBy(F.desc_nulls_first("sim"), "other")
     best = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r"))  # one more, as the row of a crowded one is first
     crowded = best.filter("other IS NULL").select("id")
     best = best.filter("other IS NOT NULL")
-    asked = cut(reps.join(best.join(crowded, "id", "left_semi").groupBy("id").agg(F.min("sim").alias("least")), "id"))
+    bound = best.join(crowded, "id", "left_semi").groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("least"))
+    asked = cut(reps.join(crowded, "id").join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(floor))))
     settled = settle(reps, asked, dimension, k, floor)
     if settled is not None:
         best = best.join(crowded, "id", "left_anti").unionByName(cut(settled))

@@ -38,11 +38,28 @@ def test_against_brute_force(spark):
     assert {(r.id, r.other) for r in got.collect()} == brute(data, 5, 0.9)
 
 
-def test_recall_with_narrow_steps(spark):
+def test_recall_when_the_ascent_ends_early(spark):
     data = make(np.random.default_rng(1), 3000, 400)
     want = brute(data, 5, 0.9)
-    got = {(r.id, r.other) for r in neighbors.nearest(spark.createDataFrame(data, SCHEMA), 5, 0.9, steps=30).collect()}
-    assert len(want) > 1000 and len(got & want) / len(want) >= 0.9
+    rows, got = spark.createDataFrame(data, SCHEMA), []
+    for n in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append({(r.id, r.other) for r in neighbors.nearest(rows, 5, 0.9, enough=200, piece=700).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(want) > 1000 and len(got[0] & want) / len(want) >= 0.9 and got[0] == got[1]
+
+
+def test_levels(spark):
+    """The level is the longest prefix at which all trees together hold enough others."""
+    rng = np.random.default_rng(3)
+    codes = np.sort(rng.integers(0, 1 << 62, (2, 300)) & ~((1 << 40) - 1), axis=1)
+    ids = [rng.permutation(300) for _ in range(2)]
+    rows = [(t, int(codes[t][r]), int(ids[t][r]), r) for t in range(2) for r in range(300)]
+    of = {(t, i): h for t, h, i, _ in rows}
+    got = {r.id: r.level for r in neighbors.levels(spark.createDataFrame(rows, "tree int, hash bigint, id bigint, rank bigint"), 300, 20, 128, 62).collect()}
+    for i in range(0, 300, 17):
+        sizes = [sum(int(((codes[t] >> (62 - v)) == (of[t, i] >> (62 - v))).sum()) - 1 for t in range(2)) for v in range(63)]
+        assert got[i] == max(v for v in range(63) if sizes[v] >= 20)
 
 
 def test_empty(spark):
@@ -59,6 +76,6 @@ def test_crowds_beyond_the_window(spark):
     data = [(int(i), v.tolist(), "x", 0.0) for i, v in zip(rng.permutation(900), near, strict=True)]
     data += [(1000 + i, ((1 + i / 7) * line).tolist(), "x", 0.0) for i in range(500)]  # multiples of one vector
     data += [(2000 + i, *r[1:]) for i, r in enumerate(make(rng, 300, 60))]
-    got = {(r.id, r.other) for r in neighbors.nearest(spark.createDataFrame(data, SCHEMA), 5, 0.9, steps=30).collect()}
+    got = {(r.id, r.other) for r in neighbors.nearest(spark.createDataFrame(data, SCHEMA), 5, 0.9, enough=60, piece=200).collect()}
     want = {p for p in brute(data, 5, 0.9) if p[0] < 2000}
     assert len(want) == 1400 * 5 and {p for p in got if p[0] < 2000} == want
