@@ -38,9 +38,9 @@ from bandwright.session import cut
 TREES = 12
 BITS = 62
 #: Entries, over all trees, at which the ascent ends.
-ENOUGH = 4096
+ENOUGH = 8192
 #: Entries of a piece of a sorted array; it sets the work's shape, not the result.
-PIECE = 32768
+PIECE = 65536
 DIGITS = 6
 #: Crowded vectors compared as one block, the leaders taken in a round, and the rounds; they set the work, not the result.
 BLOCK = 8192
