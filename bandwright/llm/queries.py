@@ -23,12 +23,23 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(_scored(spark, d), ["seed_id", "axis"], "conf", ["id"], 2, 0.0, 1.0).select("seed_id", "axis", "id", "conf")
 
 
-def p2_report(spark: SparkSession, d: str) -> DataFrame:
+def _report2(spark: SparkSession, d: str) -> DataFrame:
     return sample.plan(load(spark, d, "t05_final"), load(spark, d, "sample_targets"))[0]
 
 
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _report2(spark, d).select("plan_id", "cell_id", "available", "short")
+
+
+def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Of every plan: its cells, the sum of their quotas, and whether in each what is drawn and what is lacking are the quota, and no more is drawn than there is."""
+    r = _report2(spark, d)
+    fine = (F.col("drawn") + F.col("shortfall") == F.col("quota")) & (F.col("drawn") <= F.col("available"))
+    return r.groupBy("plan_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("quota").alias("quota"), F.bool_and(fine).alias("adds_up"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_report(spark, d).filter("short").select("plan_id", "cell_id")
+    return _report2(spark, d).filter("short").select("plan_id", "cell_id")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +150,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_scores, p2_found, p2_report, p2_sample, p3_found, p3_collapsed, p5_found, p5_splits, p5_shares, p5_sets, p6_found,
+        p1_found, p1_scores, p2_found, p2_report, p2_quotas, p2_sample, p3_found, p3_collapsed, p5_found, p5_splits, p5_shares, p5_sets, p6_found,
         p6_neighbors, p7_found, p7_consensus, p7_judges, p7_agreement, p8_ids, p8_counts, p9_found, p9_mix, p9_shares, p10_found, p10_shared,
     )
 }
@@ -164,6 +175,15 @@ votes AS (SELECT id, judge_model, axis_ok FROM (SELECT *, row_number() OVER (PAR
 """
 _FOLD = r"nullif(lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '')"
 
+_CELLS = f"""
+WITH f AS (SELECT {_FOLD.format("domain")} AS domain, {_FOLD.format("axis")} AS axis, {_FOLD.format("expected_label")} AS label FROM t05_final),
+c AS (SELECT domain, axis, label, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT plan_id, cell_id, {_FOLD.format("domain")} AS domain, {_FOLD.format("axis")} AS axis, {_FOLD.format("expected_label")} AS label,
+      target_share, min_rows, sample_size FROM sample_targets),
+n AS (SELECT plan_id, cell_id, target_share, min_rows, sample_size, coalesce(sum(c.n), 0) AS n FROM t LEFT JOIN c
+      ON (t.domain IS NULL OR t.domain = c.domain) AND (t.axis IS NULL OR t.axis = c.axis) AND (t.label IS NULL OR t.label = c.label)
+      GROUP BY ALL)
+"""
 _TIED = f"""
 WITH RECURSIVE ties AS (SELECT DISTINCT doc_id, 'e' || {_FOLD.format("editor")} AS k FROM source_index WHERE {_FOLD.format("editor")} IS NOT NULL
       UNION SELECT DISTINCT doc_id, 'u' || {_FOLD.format("url")} FROM source_index WHERE {_FOLD.format("url")} IS NOT NULL),
@@ -177,15 +197,9 @@ tied AS (SELECT o.seed_id, min(p.seed_id) AS first FROM own o JOIN reach r ON r.
 ORACLES = {
     "p1_found": _BEST + "SELECT seed_id, axis, id FROM ranked WHERE r <= 2",
     "p1_scores": _BEST + "SELECT seed_id, axis, id, conf FROM ranked WHERE r <= 2",
-    "p2_found": f"""
-WITH f AS (SELECT {_FOLD.format("domain")} AS domain, {_FOLD.format("axis")} AS axis, {_FOLD.format("expected_label")} AS label FROM t05_final),
-c AS (SELECT domain, axis, label, count(*) AS n FROM f GROUP BY ALL),
-t AS (SELECT plan_id, cell_id, {_FOLD.format("domain")} AS domain, {_FOLD.format("axis")} AS axis, {_FOLD.format("expected_label")} AS label,
-      target_share, min_rows, sample_size FROM sample_targets),
-n AS (SELECT plan_id, cell_id, target_share, min_rows, sample_size, coalesce(sum(c.n), 0) AS n FROM t LEFT JOIN c
-      ON (t.domain IS NULL OR t.domain = c.domain) AND (t.axis IS NULL OR t.axis = c.axis) AND (t.label IS NULL OR t.label = c.label)
-      GROUP BY ALL)
-SELECT plan_id, cell_id FROM n WHERE n < target_share * sample_size OR n < min_rows""",
+    "p2_found": _CELLS + "SELECT plan_id, cell_id FROM n WHERE n < target_share * sample_size OR n < min_rows",
+    "p2_report": _CELLS + "SELECT plan_id, cell_id, CAST(n AS BIGINT) AS available, n < target_share * sample_size OR n < min_rows AS short FROM n",
+    "p2_quotas": "SELECT plan_id, count(*) AS cells, CAST(greatest(max(sample_size), sum(min_rows)) AS BIGINT) AS quota, true AS adds_up FROM sample_targets GROUP BY plan_id",
     "p3_found": _FORMS + "SELECT first AS seed_id, seed_id AS copy_seed_id FROM firsts WHERE first <> seed_id",
     "p3_collapsed": _FORMS + "SELECT first AS seed_id, count(*) AS copies FROM firsts GROUP BY first",
     "p5_found": _TIED + "SELECT first AS seed_id, seed_id AS linked_seed_id FROM tied WHERE first <> seed_id",

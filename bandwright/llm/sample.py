@@ -1,15 +1,18 @@
 """Samples whose cells match target proportions.
 
-Rows are counted by cross cell (domain, axis, label), in which every value that no target names is one value, so the
-counts are bounded by the targets. In each plan a min-cost flow carries rows from the target cells to the cross cells
-that fit them: an arc per cell for its floor, one for the rest of its quota, an arc per cross cell with the rows there
-are, and a slack arc per cell that takes what can't be met and so exposes the shortfall. The quotas of cross cells that
-fit one target cell only are then drawn at random (multivariate hypergeometric), which makes every row of the cell equally likely.
+Rows are counted by cross cell (domain, axis, label), in which every value that no target names is one value, so there are no
+more than the named values' products. Cross cells that the same targets can draw from are one class. In each plan a min-cost flow
+carries rows from the target cells to the classes: an arc per cell for its floor, one for the rest of its quota, an arc per
+class with the rows there are, and a slack arc per cell that takes what can't be met and so exposes the shortfall. Arcs to
+classes are cheaper up to an amount drawn at random in proportion to the rows, so every row of a cell is as likely as any other
+where the flow is free, and targets that share nothing are solved apart. A cell falls short if the slack arc of
+its own demand takes anything when the cell stands alone. The amounts of a class are dealt to its cross cells at random, whoever
+draws from it: whole numbers that are in proportion but for a random rounding, so every row is equally likely.
 Rows are drawn by their rank in a hash order, by sums on two levels, so a cell of any size is spread over tasks.
 
 Cases: cells compare without regard to letter case and surrounding blanks; a null (or blank) attribute of a row fits only
 cells that leave the attribute open; floors go before shares when a sample can't hold both; a target whose size is 0 or
-null draws nothing; empty tables give empty results; the columns of the rows other than the attributes don't matter.
+null draws nothing; a null plan_id is a plan of its own; empty tables give empty results; the columns of the rows other than the attributes don't matter.
 """
 
 from __future__ import annotations
@@ -92,43 +95,110 @@ def quotas(shares: list[float], floors: list[int], size: int) -> list[int]:
     return got
 
 
+def dealt(n: int, counts: list[int], rng: np.random.Generator) -> list[int]:
+    """``n`` of the counted rows in whole numbers: each count's proportion, rounded up or down at random so that every row is equally likely."""
+    whole, got = sum(counts), [0] * len(counts)
+    if not n:
+        return got
+    shift, run, before = int(rng.integers(0, 1 << 62)) * whole >> 62, 0, 0
+    for j in rng.permutation(len(counts)).tolist():
+        run += counts[j]
+        upto = (n * run + shift) // whole
+        got[j], before = upto - before, upto
+    return got
+
+
+def _fitting(cells: list[tuple], counts: dict[tuple, int]) -> list[list[tuple]]:
+    """Of each target cell the cross cells that fit it, by a lookup of the attributes that it names."""
+    found: dict = {}
+    for named in {tuple(v is not None for v in c) for c in cells}:
+        by = found.setdefault(named, defaultdict(list))
+        for x in counts:
+            by[tuple(v for v, n in zip(x, named, strict=True) if n)].append(x)
+    return [found[tuple(v is not None for v in c)][tuple(v for v in c if v is not None)] for c in cells]
+
+
+def _connected(holders: list[tuple[int, ...]], n: int) -> list[list[int]]:
+    """Targets 0..n-1 in groups that share no class."""
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for h in holders:
+        for i in h[1:]:
+            up[root(i)] = root(h[0])
+    groups = defaultdict(list)
+    for i in range(n):
+        groups[root(i)].append(i)
+    return list(groups.values())
+
+
+def _lacking(need: int, rows: dict) -> int:
+    """What the slack arc takes of a demand that has ``rows`` for itself."""
+    net = Flow()
+    net.arc("s", "cell", need)
+    slack = net.arc("cell", "t", need, 100)
+    for c, n in rows.items():
+        net.arc("cell", ("class", c), n, 1)
+        net.arc(("class", c), "t", n)
+    net.run("s", "t")
+    return net.flow(slack)
+
+
 def solve(targets: list[dict], counts: dict[tuple, int], seed: int) -> tuple[list[dict], list[dict]]:
     """Of one plan: a report per cell, and quotas (cell_id, attributes of the cross cell, first rank, last rank)."""
     size = targets[0]["sample_size"] or 0
     shares, floors = [t["target_share"] or 0.0 for t in targets], [t["min_rows"] or 0 for t in targets]
     want = quotas(shares, floors, size) if size else [0] * len(targets)
-    fits = [[x for x in counts if all(v is None or v == w for v, w in zip(t["cell"], x, strict=True))] for t in targets]
-    net, arcs, slack = Flow(), {}, []
-    for i, t in enumerate(targets):
-        low = min(floors[i], want[i])
-        net.arc("s", ("floor", i), low, 0)
-        net.arc("s", ("rest", i), want[i] - low, 0)
-        net.arc(("floor", i), ("cell", i), low, 0)
-        net.arc(("rest", i), ("cell", i), want[i] - low, 0)
-        slack.append((net.arc(("floor", i), "t", low, 1000), net.arc(("rest", i), "t", want[i] - low, 100)))
-        for x in fits[i]:
-            arcs[i, x] = net.arc(("cell", i), ("cross", x), want[i], 1)
-    for x, n in counts.items():
-        net.arc(("cross", x), "t", n, 0)
-    net.run("s", "t")
+    fits = _fitting([t["cell"] for t in targets], counts)
     holders: dict = defaultdict(list)
-    for i, x in arcs:
-        holders[x].append(i)
-    rng, take = np.random.default_rng(seed), {k: net.flow(a) for k, a in arcs.items()}
-    for i in range(len(targets)):
-        own = sorted((x for x in fits[i] if holders[x] == [i]), key=str)
-        if own and (n := sum(take[i, x] for x in own)):
-            drawn = rng.multivariate_hypergeometric([counts[x] for x in own], n, method="marginals")
-            take |= {(i, x): int(d) for x, d in zip(own, drawn, strict=True)}
+    for i, own in enumerate(fits):
+        for x in own:
+            holders[x].append(i)
+    classes: dict = defaultdict(list)
+    for x in sorted(holders, key=str):
+        classes[tuple(holders[x])].append(x)
+    rows = {c: sum(counts[x] for x in xs) for c, xs in classes.items()}
+    of: dict = defaultdict(list)
+    for c in classes:
+        for i in c:
+            of[i].append(c)
+    rng, take, slack = np.random.default_rng(seed), {}, {}
+    for group in _connected(list(classes), len(targets)):
+        net, arcs, spare = Flow(), defaultdict(list), {}
+        for i in group:
+            low = min(floors[i], want[i])
+            net.arc("s", ("floor", i), low, 0)
+            net.arc("s", ("rest", i), want[i] - low, 0)
+            net.arc(("floor", i), ("cell", i), low, 0)
+            net.arc(("rest", i), ("cell", i), want[i] - low, 0)
+            spare[i] = (net.arc(("floor", i), "t", low, 1000), net.arc(("rest", i), "t", want[i] - low, 100))
+            there = [rows[c] for c in of[i]]
+            for c, n in zip(of[i], dealt(min(want[i], sum(there)), there, rng), strict=True):
+                arcs[i, c] += [net.arc(("cell", i), ("class", c), n, 1), net.arc(("cell", i), ("class", c), want[i] - n, 2)]
+        for c in {c for i in group for c in of[i]}:
+            net.arc(("class", c), "t", rows[c], 0)
+        net.run("s", "t")
+        take |= {k: sum(map(net.flow, a)) for k, a in arcs.items()}
+        slack |= {i: sum(map(net.flow, a)) for i, a in spare.items()}
     draws, used = [], defaultdict(int)
-    for (i, x), n in sorted(take.items(), key=str):
-        if n:
-            draws.append({"cell_id": targets[i]["cell_id"], "cross": x, "first": used[x], "last": used[x] + n - 1})
-            used[x] += n
+    for c, xs in classes.items():
+        left = [counts[x] for x in xs]
+        for i in rng.permutation(len(c)).tolist():
+            got = dealt(take[c[i], c], left, rng)
+            left = [n - g for n, g in zip(left, got, strict=True)]
+            for x, g in zip(xs, got, strict=True):
+                if g:
+                    draws.append({"cell_id": targets[c[i]]["cell_id"], "cross": x, "first": used[x], "last": used[x] + g - 1})
+                    used[x] += g
     report = []
     for i, t in enumerate(targets):
-        there, drawn = sum(counts[x] for x in fits[i]), sum(take[i, x] for x in fits[i])
-        report.append({"cell_id": t["cell_id"], "available": there, "quota": want[i], "drawn": drawn, "shortfall": sum(net.flow(a) for a in slack[i]), "short": there < shares[i] * size or there < floors[i]})
+        need = max(math.ceil(shares[i] * size), floors[i])
+        report.append({"cell_id": t["cell_id"], "available": sum(rows[c] for c in of[i]), "quota": want[i], "drawn": sum(take[i, c] for c in of[i]), "shortfall": slack[i], "short": _lacking(need, {c: rows[c] for c in of[i]}) > 0})
     return report, draws
 
 
@@ -141,11 +211,11 @@ def plan(rows: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame
     named = {a: sorted({t[a] for t in spec} - {None}) for a in ATTRIBUTES}
     counts = {tuple(r[a] for a in ATTRIBUTES): r["n"] for r in crossed(rows, named).groupBy(*ATTRIBUTES).agg(F.count(F.lit(1)).alias("n")).collect()}
     plans: dict = defaultdict(list)
-    for t in sorted(spec, key=lambda t: (t["plan_id"], t["cell_id"])):
+    for t in sorted(spec, key=lambda t: (t["plan_id"] is not None, t["plan_id"] or 0, t["cell_id"] is not None, t["cell_id"] or 0)):
         plans[t["plan_id"]].append(t.asDict() | {"cell": tuple(t[a] for a in ATTRIBUTES)})
     reports, draws = [], []
     for p, cells in plans.items():
-        report, quota = solve(cells, counts, seed + p)
+        report, quota = solve(cells, counts, (seed << 33) + (1 << 32) + (p or 0) if p is not None else seed)
         reports += [(p, x["cell_id"], x["available"], x["quota"], x["drawn"], x["shortfall"], bool(x["short"])) for x in report]
         draws += [(p, x["cell_id"], *x["cross"], x["first"], x["last"]) for x in quota]
     ints, strings = T.IntegerType(), T.StringType()

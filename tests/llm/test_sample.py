@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from bandwright.llm import sample
 
 ROWS = "id string, domain string, axis string, expected_label string, rank int"
@@ -54,3 +56,37 @@ def test_quotas():
     assert sample.quotas([0.9, 0.1], [0, 30], 100) == [70, 30]
     assert sample.quotas([0.5, 0.5], [80, 80], 100) == [80, 80]
     assert sample.quotas([0.0, 0.0], [0, 0], 10) == [0, 0]
+
+
+def test_every_row_is_equally_likely():
+    """Cross cells that two targets share, and one that only the first fits: over many seeds each row is drawn as often as the others of its kind."""
+    counts = {("a", "p1", None): 10, ("a", "p2", None): 30, ("a", "p3", None): 5, ("b", "p1", None): 40}
+    targets = [{"cell_id": 1, "cell": ("a", None, None), "target_share": 0.5, "min_rows": 0, "sample_size": 18}, {"cell_id": 2, "cell": (None, "p1", None), "target_share": 0.5, "min_rows": 0, "sample_size": 18}]
+    got, rounds = Counter(), 3000
+    for seed in range(rounds):
+        report, draws = sample.solve(targets, counts, seed)
+        assert [r["drawn"] for r in report] == [9, 9] and not any(r["short"] for r in report)
+        for d in draws:
+            got[d["cell_id"], d["cross"]] += d["last"] - d["first"] + 1
+    per = {k: n / rounds / counts[k[1]] for k, n in got.items()}
+    first, second = [v for (c, _), v in per.items() if c == 1], [v for (c, _), v in per.items() if c == 2]
+    assert len(first) == 3 and len(second) == 2
+    assert all(abs(v - 9 / 45) < 0.02 for v in first) and all(abs(v - 9 / 50) < 0.02 for v in second)
+
+
+def test_random_rounding():
+    rng = np.random.default_rng(1)
+    got = np.array([sample.dealt(7, [3, 50, 10**12, 1], rng) for _ in range(200)])
+    assert (got.sum(axis=1) == 7).all() and (got <= [3, 50, 10**12, 1]).all()
+    mean = np.mean([sample.dealt(5, [1, 4, 5], rng) for _ in range(4000)], axis=0)
+    assert np.allclose(mean, [0.5, 2, 2.5], atol=0.05) and sample.dealt(0, [], rng) == [] and sample.dealt(10, [1, 4, 5], rng) == [1, 4, 5]
+
+
+def test_many_disjoint_targets_and_a_null_plan(spark):
+    counts = {(f"d{i}", "p1", None): 20 for i in range(5000)}
+    targets = [{"cell_id": i, "cell": (f"d{i}", None, None), "target_share": 1 / 5000, "min_rows": 30 if i == 7 else 0, "sample_size": 50_000} for i in range(5000)]
+    report, _ = sample.solve(targets, counts, 1)
+    assert [r["cell_id"] for r in report if r["short"]] == [7] and sum(r["quota"] for r in report) == 50_000
+    t = spark.createDataFrame([(None, 1, "a", None, None, 1.0, 0, 4), (1, 1, "a", None, None, 1.0, 0, 4)], TARGETS)
+    got = Counter(r.plan_id for r in sample.draw(make(spark, random.Random(1), 90), t).collect())
+    assert got == {None: 4, 1: 4}
