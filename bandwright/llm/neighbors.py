@@ -114,10 +114,7 @@ def _stretches(h: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.nda
 
 
 def levels(ranked: DataFrame, n: int, enough: int, size: int, bits: int) -> DataFrame:
-    """(id, level, at array<struct<tree, rank, hash>>) from (tree, hash, id, rank): the longest prefix length at which the id's stretches hold ``enough`` others in all trees.
-
-    Of every entry each level's growth of its stretch is noted, level and growth in one number, until the one tree has enough.
-    """
+    """(id, notes, at array<struct<tree, rank, hash>>) from (tree, hash, id, rank): of every tree each level's growth of the id's stretch, level and growth in one number, until the one tree has enough."""
 
     def growth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_piece(batches):
@@ -140,11 +137,21 @@ def levels(ranked: DataFrame, n: int, enough: int, size: int, bits: int) -> Data
 
     dealt = _pieces(ranked, n, size, min(enough, size)).select("piece", "hash", "id", "tree", "rank", "core").repartition("piece").sortWithinPartitions("piece", "rank")
     noted = dealt.mapInArrow(growth, "id bigint, tree int, rank bigint, hash bigint, notes array<bigint>")
-    per = noted.groupBy("id").agg(F.flatten(F.collect_list("notes")).alias("notes"), F.collect_list(F.struct("tree", "rank", "hash")).alias("at"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("up"))
-    step = lambda s, e: F.when((s["n"] >= enough) & (F.shiftright(e, 32) > s["up"]), s).otherwise(F.struct((s["n"] + e.bitwiseAND((1 << 32) - 1)).alias("n"), F.shiftright(e, 32).alias("up")))
-    level = F.aggregate(F.array_sort("notes"), start, step, lambda s: F.when(s["n"] >= enough, bits - s["up"]).otherwise(0))
-    return per.select("id", level.cast("int").alias("level"), "at")
+    return noted.groupBy("id").agg(F.flatten(F.collect_list("notes")).alias("notes"), F.collect_list(F.struct("tree", "rank", "hash")).alias("at"))
+
+
+def ascended(notes: pa.Array, enough: int, bits: int) -> np.ndarray:
+    """Of every row the longest prefix length at which the stretches of all trees hold ``enough`` others; 0 if none does."""
+    counts = np.diff(notes.offsets.to_numpy())
+    values, rows = notes.flatten().to_numpy(), np.repeat(np.arange(len(notes)), counts)
+    order = np.lexsort((values, rows))
+    values, run = values[order], np.cumsum((values[order] & ((1 << 32) - 1)))
+    starts = np.cumsum(counts) - counts
+    before = np.append(0, run)[starts]
+    met = np.flatnonzero(run - np.repeat(before, counts) >= enough)
+    level = np.zeros(len(notes), np.int32)
+    level[rows[met[::-1]]] = (bits - (values[met[::-1]] >> 32)).astype(np.int32)  # the first that meets it is written last
+    return level
 
 
 def _best(x: np.ndarray, x32: np.ndarray, rows_at: np.ndarray, los: np.ndarray, his: np.ndarray, k: int, floor: float, digits: int):
@@ -169,8 +176,8 @@ def _best(x: np.ndarray, x32: np.ndarray, rows_at: np.ndarray, los: np.ndarray,
         yield r, c, np.round(np.einsum("ij,ij->i", x[r], x[c]), digits)
 
 
-def candidates(placed: DataFrame, vectors: DataFrame, n: int, dimension: int, k: int, floor: float, enough: int, size: int, bits: int, digits: int = DIGITS) -> DataFrame:
-    """(id, other, sim) of (id, level, at) and (id, vec): of every tree the k best at least ``floor``; ids with a stretch beyond the piece also have a row without other and sim."""
+def candidates(noted: DataFrame, vectors: DataFrame, n: int, dimension: int, k: int, floor: float, enough: int, size: int, bits: int, digits: int = DIGITS) -> DataFrame:
+    """(id, other, sim) of (id, notes, at) and (id, vec): of every tree the k best at least ``floor``; ids with a stretch beyond the piece also have a row without other and sim."""
     names = ["id", "other", "sim"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +210,26 @@ def candidates(placed: DataFrame, vectors: DataFrame, n: int, dimension: int, k:
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(o[keep]), pa.array(v[keep])], names=names)
 
-    entries = placed.join(vectors.select("id", "vec"), "id").select("id", "level", "vec", F.explode("at").alias("e")).select("id", "level", "vec", "e.*")
-    dealt = _pieces(entries, n, size, min(enough, size)).select("piece", "hash", "id", "level", "rank", "core", "vec").repartition("piece").sortWithinPartitions("piece", "rank")
+    per, halo = max(1, -(-n // size)), min(enough, size)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            level, at = ascended(batch.column(1), enough, bits), batch.column(2)
+            rows = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy()))
+            tree, rank, hash_ = (c.to_numpy() for c in at.flatten().flatten())
+            own, inside = rank // size, rank % size
+            back, on = np.flatnonzero((inside < halo) & (own > 0)), np.flatnonzero((inside >= size - halo) & (own < per - 1))
+            which = np.concatenate([np.arange(len(rows)), back, on])
+            piece = tree[which].astype(np.int64) * per + np.concatenate([own, own[back] - 1, own[on] + 1])
+            for p in range(0, len(which), 10_000):
+                w = which[p : p + 10_000]
+                r = pa.array(rows[w])
+                yield pa.RecordBatch.from_arrays([pa.array(piece[p : p + 10_000]), pa.array(hash_[w]), batch.column(0).take(r), pa.array(level[rows[w]]), pa.array(rank[w]), pa.array(np.arange(p, p + len(w)) < len(rows)), batch.column(3).take(r)], names=["piece", "hash", "id", "level", "rank", "core", "vec"])
+
+    entries = noted.join(vectors.select("id", "vec"), "id").select("id", "notes", "at", "vec")
+    dealt = entries.mapInArrow(spread, "piece bigint, hash bigint, id bigint, level int, rank bigint, core boolean, vec array<float>").repartition("piece").sortWithinPartitions("piece", "rank")
     return dealt.mapInArrow(scan, "id bigint, other bigint, sim double")
 
 
@@ -363,8 +388,8 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, id_col: str = "v
     reps = valid.join(members.filter("id <> rep").select("id"), "id", "left_anti")
     ranked = number_rows(hashed(reps, dimension, trees, BITS, seed), [F.col("tree"), F.col("hash"), F.col("id")], "rank")
     n = reps.count()
-    placed = levels(ranked.withColumn("rank", F.col("rank") - F.col("tree") * F.lit(n)), n, enough, piece, BITS)
-    found = candidates(placed, reps, n, dimension, k, floor, enough, piece, BITS).distinct()
+    noted = levels(ranked.withColumn("rank", F.col("rank") - F.col("tree") * F.lit(n)), n, enough, piece, BITS)
+    found = candidates(noted, reps, n, dimension, k, floor, enough, piece, BITS).distinct()
     w = Window.partitionBy("id").orderBy(F.desc_nulls_first("sim"), "other")
     best = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r"))  # one more, as the row of a crowded one is first
     crowded = best.filter("other IS NULL").select("id")

@@ -56,7 +56,8 @@ def test_levels(spark):
     ids = [rng.permutation(300) for _ in range(2)]
     rows = [(t, int(codes[t][r]), int(ids[t][r]), r) for t in range(2) for r in range(300)]
     of = {(t, i): h for t, h, i, _ in rows}
-    got = {r.id: r.level for r in neighbors.levels(spark.createDataFrame(rows, "tree int, hash bigint, id bigint, rank bigint"), 300, 20, 128, 62).collect()}
+    noted = neighbors.levels(spark.createDataFrame(rows, "tree int, hash bigint, id bigint, rank bigint"), 300, 20, 128, 62).toArrow().combine_chunks()
+    got = dict(zip(noted["id"].to_pylist(), neighbors.ascended(noted["notes"].combine_chunks(), 20, 62).tolist(), strict=True))
     for i in range(0, 300, 17):
         sizes = [sum(int(((codes[t] >> (62 - v)) == (of[t, i] >> (62 - v))).sum()) - 1 for t in range(2)) for v in range(63)]
         assert got[i] == max(v for v in range(63) if sizes[v] >= 20)
