@@ -4,7 +4,7 @@ Every tree gives each vector a long string of BITS signs on random orthogonal di
 array. The entries that share a prefix with a vector are a stretch of the array around it; its longest match is where a descent
 ends. All trees then ascend together, one level of prefix length at a time, until the stretches of a level hold ENOUGH
 entries in all. Which level that is comes from the strings alone; the vectors travel once, with their level, and
-are compared with every entry of their stretches, in blocks; each tree gives on its k best; the k best of all trees are
+are compared with every entry of their stretches (and of those of the entries beside them), in blocks; each tree gives on its k best; the k best of all trees are
 ranked exactly (cosine in double precision, rounded, ties to the smaller id).
 
 The arrays are cut into pieces by rank, PIECE entries with those next to them on either side (ENOUGH), whatever the number of
@@ -38,7 +38,7 @@ from bandwright.session import cut
 TREES = 12
 BITS = 62
 #: Entries, over all trees, at which the ascent ends.
-ENOUGH = 8192
+ENOUGH = 6144
 #: Entries of a piece of a sorted array; it sets the work's shape, not the result.
 PIECE = 65536
 DIGITS = 6
@@ -155,11 +155,10 @@ def ascended(notes: pa.Array, enough: int, bits: int) -> np.ndarray:
 
 
 def _best(x: np.ndarray, x32: np.ndarray, rows_at: np.ndarray, los: np.ndarray, his: np.ndarray, k: int, floor: float, digits: int):
-    """Of the unit vectors ``x`` at ``rows_at``, those among rows los..his that can be of the k most similar, as (row, other, sim)."""
+    """Of the unit vectors ``x`` at ``rows_at``, those that can be of the k most similar among the rows of all their stretches los..his, as (row, other, sim)."""
     a, b = int(los.min()), int(his.max())
     s = x32[rows_at] @ x32[a:b].T
-    cols = np.arange(a, b)
-    s[(cols < los[:, None]) | (cols >= his[:, None]) | (cols == rows_at[:, None])] = -2
+    s[np.arange(len(rows_at)), rows_at - a] = -2
     hits = np.flatnonzero(s.ravel() >= np.float32(floor - 1e-4))
     if not len(hits):
         return
