@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandwright.functions.text import fold
 from bandwright.llm import bpe, consensus, formats, mixing, neighbors, sample, spans, splits, topn
 from bandwright.session import cut, load
 
@@ -102,7 +103,12 @@ def p7_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_consensus(spark, d).filter("2 * n_false > n_votes").select("id")
+    """Ids that the expectation-maximisation begins with as false: its first posterior is the share of the votes."""
+    return consensus.fit(_judgments(spark, d))[0].filter("p_start < 0.5").select("id")
+
+
+def p7_votes(spark: SparkSession, d: str) -> DataFrame:
+    return p7_consensus(spark, d).select("id", "n_votes", "n_false")
 
 
 def p7_judges(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +132,19 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.reach(_sizes(spark, d), load(spark, d, "mix_targets")).filter("short").select("mix_id", "source")
+    return mixing.lacking(mixing.reach(_sizes(spark, d), load(spark, d, "mix_targets")))
+
+
+def p9_letters(spark: SparkSession, d: str) -> DataFrame:
+    """p9_found with sizes in code points in place of tokens, which SQL can count too."""
+    counted = load(spark, d, "documents").select("doc_id", fold(F.col("source")).alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+    return mixing.lacking(mixing.reach(counted, load(spark, d, "mix_targets")))
+
+
+def p9_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of each mix and source in the schedule, and the tokens they want, rounded."""
+    rows = mixing.slots(mixing.reach(_sizes(spark, d), load(spark, d, "mix_targets")))
+    return rows.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("wanted"), 3).alias("wanted"), (F.max("slot") >= F.count(F.lit(1)) - 1).alias("in_turn"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_scores, p2_found, p2_report, p2_quotas, p2_sample, p3_found, p3_collapsed, p5_found, p5_splits, p5_shares, p5_sets, p6_found,
-        p6_neighbors, p7_found, p7_consensus, p7_judges, p7_agreement, p8_ids, p8_counts, p9_found, p9_mix, p9_shares, p10_found, p10_shared,
+        p6_neighbors, p7_found, p7_consensus, p7_votes, p7_judges, p7_agreement, p8_ids, p8_counts, p9_found, p9_letters, p9_blocks, p9_mix, p9_shares, p10_found, p10_shared,
     )
 }
 
@@ -212,6 +230,14 @@ s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM s WHERE sim >= 0.9)
 SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5""",
     "p7_found": _VOTES + "SELECT id FROM votes GROUP BY id HAVING 2 * count(*) FILTER (WHERE NOT axis_ok) > count(*)",
+    "p9_letters": f"""
+WITH n AS (SELECT {_FOLD.format("source")} AS s, sum(length(coalesce(text, ''))) AS n FROM documents GROUP BY 1)
+SELECT mix_id, source FROM mix_targets m LEFT JOIN n ON n.s = {_FOLD.format("m.source")}
+WHERE coalesce(n.n, 0) * coalesce(max_uses, 1) < coalesce(target_weight, 0) * coalesce(budget_tokens, 0)""",
+    "p9_blocks": f"""
+SELECT mix_id, source, CAST(ceil(target_weight * budget_tokens / {mixing.BLOCK}) AS BIGINT) AS blocks, round(target_weight * budget_tokens, 3) AS wanted, true AS in_turn
+FROM mix_targets WHERE target_weight * budget_tokens > 0""",
+    "p7_votes": _VOTES + "SELECT id, count(*) AS n_votes, count(*) FILTER (WHERE NOT axis_ok) AS n_false FROM votes GROUP BY id",
     "p7_agreement": _VOTES
     + """, items AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE NOT axis_ok) AS f FROM votes GROUP BY id HAVING count(*) > 1),
 s AS (SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_votes, CAST(sum(f) AS DOUBLE) AS f, sum(2.0 * f * (n - f) / (n - 1)) AS d FROM items)
