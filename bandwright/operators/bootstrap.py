@@ -1,30 +1,32 @@
 """Cluster bootstrap: whole clusters are drawn with replacement, from counts taken once per cluster.
 
-Draw j of replicate r is the cluster whose rank is floor(u * n), u from the md5 of "r:j", so every engine draws alike. Draws
-are first counted per (replicate, cluster), then joined with the clusters' counts and summed per replicate; only sums leave the tasks.
+How often a cluster is in a replicate is drawn where its counts are: a Poisson number of mean 1 from the md5 of "replicate:cluster",
+which is what drawing as many clusters as there are comes to, and needs no numbering and no join. Only sums per replicate leave the tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.draws import uniform
-from bandwright.operators.windows import number_rows
-from bandwright.session import cut
+
+#: Chances of less than k + 1 draws, as far as a 32-bit number can tell.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
 def replicates(clusters: DataFrame, key: str, counts: list[str], reps: int, keys: list[str] | None = None) -> DataFrame:
-    """(rep, keys, sums of counts) of ``reps`` resamples of the clusters; clusters are numbered in order of ``key``."""
+    """(rep, keys, sums of counts) of ``reps`` resamples of the clusters; a cluster has a row per value of the keys."""
     keys = keys or []
-    names = cut(number_rows(clusters.select(key).distinct(), [F.col(key)], "__i"))
-    n = names.count()
-    spark = clusters.sparkSession
-    grid = spark.range(reps * n).select((F.col("id") / F.lit(max(n, 1))).cast("int").alias("rep"), F.pmod("id", F.lit(max(n, 1))).alias("j"))
-    drawn = grid.select("rep", F.floor(uniform(F.col("rep").cast("string"), F.col("j").cast("string")) * n).cast("bigint").alias("__i"))
-    weights = drawn.groupBy("rep", "__i").agg(F.count(F.lit(1)).alias("__w"))
-    weighed = weights.join(names, "__i").join(clusters.select(key, *keys, *counts), key)
-    return weighed.groupBy("rep", *keys).agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in counts])
+    rows = clusters.groupBy(key).agg(F.collect_list(F.struct(*keys, *counts)).alias("__rows"))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    u = uniform(F.col("rep").cast("string"), F.col(key))
+    each = each.withColumn("__u", F.explode(F.array(u)))  # a generator's output is computed once, whatever is asked of it
+    drawn = each.withColumn("__w", sum((F.col("__u") >= p).cast("int") for p in POISSON)).filter("__w > 0")
+    long = drawn.select("rep", "__w", F.inline("__rows"))
+    return long.groupBy("rep", *keys).agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in counts])
 
 
 def percentile_interval(rows: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:

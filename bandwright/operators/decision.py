@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.functions.taxonomy import HALF_BAND, TAUS
+from bandwright.operators.overlap import quantiles
+from bandwright.session import cut
 
 RHOS = sorted({round(10 ** (3 * i / 24)) for i in range(25)})
 
@@ -85,7 +87,7 @@ def fold_parameters(rows: DataFrame, k: int = 5) -> DataFrame:
     """(fold, tau, t_ce, domain_taus) tuned on the other folds.
 
     Grid counts are taken per fold in one pass, and a fold's tuning counts are the sum of the others', so no row is copied
-    for tau. t_ce is the best of the 19 quantiles of the cross score among the tuning rows in the band.
+    for tau; of the rows, only those in a band of another fold go on. t_ce is the best of the 19 quantiles of the cross score among the tuning rows in the band.
     """
     sums = ["above_hit", "above_miss", "all_hit", "all_miss"]
 
@@ -95,11 +97,13 @@ def fold_parameters(rows: DataFrame, k: int = 5) -> DataFrame:
 
     tau = tuned([]).select("tune", "tau")
     per = tuned(["domain"]).filter("domain IS NOT NULL").groupBy("tune").agg(F.map_from_entries(F.collect_list(F.struct("domain", "tau"))).alias("domain_taus"))
-    band = _others(rows.select("fold", "sim", "ce", "hit"), k).join(F.broadcast(tau), "tune")  # one row per fold
-    band = band.filter(F.col("sim").between(F.col("tau") - F.lit(HALF_BAND), F.col("tau") + F.lit(HALF_BAND)))
-    grid = F.array(*[F.lit(round(0.05 * i, 2)) for i in range(1, 20)])
-    cands = band.groupBy("tune").agg(F.percentile("ce", grid).alias("q")).select("tune", F.explode("q").alias("t")).distinct()
-    per_score = band.groupBy("tune", "ce").agg(F.sum("hit").alias("h"), F.sum(1 - F.col("hit")).alias("m"))
+    tau = cut(tau)
+    band = {r.tune: r.tau for r in tau.collect()}  # one row per fold
+    tunes = F.array_compact(F.array(*[F.when((F.col("fold") != f) & F.col("sim").between(F.lit(t) - F.lit(HALF_BAND), F.lit(t) + F.lit(HALF_BAND)), F.lit(f)) for f, t in sorted(band.items())])) if band else F.array().cast("array<int>")
+    per_score = rows.select(F.explode(tunes).alias("tune"), "ce", "hit").groupBy("tune", "ce").agg(F.sum("hit").alias("h"), F.sum(1 - F.col("hit")).alias("m"))
+    per_score = cut(per_score.withColumn("n", F.col("h") + F.col("m")))
+    grid = [round(0.05 * i, 2) for i in range(1, 20)]
+    cands = quantiles(per_score, ["tune"], "ce", "n", grid).select("tune", F.explode("q").alias("t")).distinct()
     each = per_score.join(F.broadcast(cands), "tune").groupBy("tune", "t")  # 19 candidates a fold
     above = lambda c: F.sum(F.when(F.col("ce") > F.col("t"), F.col(c)).otherwise(0))
     ce = each.agg(above("h").alias("above_hit"), above("m").alias("above_miss"), F.sum("h").alias("all_hit"), F.sum("m").alias("all_miss"))

@@ -45,6 +45,25 @@ def prefix_sums(df: DataFrame, group: list[str], order: Column, value: Column, o
     return summed.drop(o, b, v, off)
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """``df`` with run_x, the sum of x over the rows of the keys up to and including the row, and all_x, over all of them; ``order`` is total within the keys.
+
+    Sorted ranges of (keys, order) take the place of a window per key, so one key may hold all rows: sums per range, offsets from
+    the few ranges of a key, and a running sum within the range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = fresh(df, "__range")
+    ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn(at, F.spark_partition_id()))
+    ranged = ranged.withColumn(at, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(keys)], F.col(at).alias("r")))
+    per = ranged.groupBy(at).agg(*[F.sum(x).alias(f"__{x}") for x in sums])
+    group = Window.partitionBy(*[F.col(f"{at}.g{i}") for i in range(len(keys))])  # no more rows than ranges
+    before = group.orderBy(f"{at}.r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(at, *[F.coalesce(F.sum(f"__{x}").over(before), F.lit(0)).alias(f"__{x}") for x in sums], *[F.sum(f"__{x}").over(group).alias(f"all_{x}") for x in sums])
+    inner = Window.partitionBy(at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(per, at)
+    return out.select(*df.columns, *[(F.col(f"__{x}") + F.sum(x).over(inner)).alias(f"run_{x}") for x in sums], *[f"all_{x}" for x in sums])
+
+
 def one_row_each(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) with one row per key, the smallest value of a repeated one.
 

@@ -14,9 +14,8 @@ from bandwright.plans.base import SCORED, kept, pairs, r6, scored, with_
 from bandwright.session import cut
 
 FOLDS = 5
-#: Replicates of cluster_bootstrap, which its SQL draws too, and the reference's number.
-REPS = 200
-C4_REPS = 2000
+#: Replicates of the cluster bootstraps.
+REPS = 2000
 FEATURES = ["sim", "ce", "gap", "same_numbers", "same_acronyms"]
 
 
@@ -161,7 +160,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def c4_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Share of replicates in which the cliff reduction exceeds the slope reduction, and the gap's interval."""
-    reps = cut(_replicates(spark, d, C4_REPS))
+    reps = cut(_replicates(spark, d, REPS))
     rate = lambda g: F.try_divide(f"false_{g}", g)
     r = reps.select("rep", "config", rate("slope").alias("s"), rate("cliff").alias("c"))
     base = r.filter("config = 'A'").select("rep", F.col("s").alias("bs"), F.col("c").alias("bc"))
@@ -238,11 +237,10 @@ def _sql(x: str) -> str:
 
 _COUNTS = "counts AS (SELECT config, seed_id, " + ", ".join(f"CAST(sum({_sql(x)}) AS BIGINT) AS {c}" for c, x in decision.COUNTS.items()) + " FROM long GROUP BY config, seed_id)"
 _RATIOS = ", ".join(f"CASE WHEN sum({b}) = 0 THEN NULL ELSE round(sum({a}) / CAST(sum({b}) AS DOUBLE), 6) END AS {x}" for x, (a, b) in decision.RATIOS.items())
-_REPS = f"""names AS (SELECT seed_id, row_number() OVER (ORDER BY seed_id) - 1 AS i FROM (SELECT DISTINCT seed_id FROM counts)),
-nn AS (SELECT count(*) AS n FROM names),
-draws AS (SELECT rep, CAST(floor(CAST(('0x' || substring(md5(rep || ':' || j), 1, 8)) AS BIGINT) / 4294967296e0 * n) AS BIGINT) AS i FROM nn, range(0, {REPS}) a(rep), range(0, n) b(j)),
-wt AS (SELECT rep, i, count(*) AS w FROM draws GROUP BY 1, 2),
-reps AS (SELECT rep, config, {", ".join(f"sum({c} * w) AS {c}" for c in decision.COUNTS)} FROM wt JOIN names USING (i) JOIN counts USING (seed_id) GROUP BY rep, config)"""
+_REPS = f"""seeds AS (SELECT DISTINCT seed_id FROM counts),
+draws AS (SELECT rep, seed_id, CAST(('0x' || substring(md5(rep || ':' || seed_id), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM seeds, range(0, {REPS}) a(rep)),
+wt AS (SELECT rep, seed_id, {" + ".join(f"CAST(u >= {p!r}e0 AS INT)" for p in bootstrap.POISSON)} AS w FROM draws),
+reps AS (SELECT rep, config, {", ".join(f"sum({c} * w) AS {c}" for c in decision.COUNTS)} FROM wt JOIN counts USING (seed_id) WHERE w > 0 GROUP BY rep, config)"""
 
 ORACLES = {
     "threshold_sweep": with_(SCORED, _GRID) + """SELECT tau, round(coalesce(avg(CASE WHEN hit = 0 THEN CAST(sim > tau AS INT) END), 0), 6) AS false_hit, round(coalesce(avg(CASE WHEN hit = 1 THEN CAST(sim <= tau AS INT) END), 0), 6) AS false_miss,
@@ -269,4 +267,10 @@ round(coalesce(avg(CASE WHEN axis_group = 'slope' THEN CAST(sim > tau AS INT) EN
     + "SELECT tau, count(*) AS n, round(coalesce(avg(CASE WHEN hit = 0 THEN CAST(sim > tau AS INT) END), 0), 6) AS false_hit, round(coalesce(avg(CASE WHEN hit = 1 THEN CAST(sim <= tau AS INT) END), 0), 6) AS false_miss FROM x, t WHERE parity = 1 GROUP BY tau",
     "cluster_bootstrap": with_(PREDICTED, _LONG, _COUNTS, _REPS, "m AS (" + " UNION ALL ".join(f"SELECT config, '{x}' AS metric, CASE WHEN {b} = 0 THEN NULL ELSE ({a}) / CAST({b} AS DOUBLE) END AS v FROM reps" for x, (a, b) in decision.RATIOS.items()) + ")")
     + "SELECT config, metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM m WHERE v IS NOT NULL GROUP BY config, metric",
+    "c4_bootstrap": with_(PREDICTED, _LONG, _COUNTS, _REPS, "r AS (SELECT rep, config, false_slope / nullif(CAST(slope AS DOUBLE), 0) AS s, false_cliff / nullif(CAST(cliff AS DOUBLE), 0) AS c FROM reps)",
+        "g AS (SELECT r.config, (b.c - r.c) / nullif(b.c, 0) - (b.s - r.s) / nullif(b.s, 0) AS gap FROM r JOIN r b ON r.rep = b.rep AND b.config = 'A' WHERE r.config <> 'A')")
+    + "SELECT config, round(avg(CAST(gap > 0 AS INT)), 6) AS positive, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM g GROUP BY config",
+    "nearest_rho": with_(SCORED, _GRID, _RHO, "c AS (SELECT domain, tau, count(*) FILTER (WHERE hit = 1 AND sim > tau) AS th, count(*) FILTER (WHERE hit = 0 AND sim > tau) AS fh, count(*) FILTER (WHERE hit = 1 AND sim <= tau) AS fm, count(*) AS n FROM scored, grid WHERE domain IS NOT NULL GROUP BY 1, 2)",
+        "u AS (SELECT domain, CAST(rho AS INT) AS rho, tau, (th - rho * fh - fm) / CAST(n AS DOUBLE) AS u FROM c, rhos)", "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, rho ORDER BY u DESC, tau) AS r FROM u) WHERE r = 1)",
+        "w AS (SELECT unnest([2e0, 12e0, 90e0, 700e0]) AS wanted)", "n AS (SELECT domain, wanted, rho, tau, row_number() OVER (PARTITION BY domain, wanted ORDER BY abs(rho - wanted), rho) AS r FROM t, w)") + "SELECT domain, wanted, rho, tau FROM n WHERE r = 1",
 }

@@ -9,7 +9,7 @@ from bandwright.functions.text import fold
 from bandwright.operators import graph, overlap
 from bandwright.operators.pairs import embed
 from bandwright.plans.base import PAIRS, SCORED, pairs, r6, scored, with_
-from bandwright.session import load
+from bandwright.session import cut, load
 
 TAU = 0.25
 
@@ -36,6 +36,10 @@ def _io(rows: DataFrame, *keys: str) -> DataFrame:
     return overlap.irreducible_overlap(rows, list(keys)).select(*keys, *r6("io", "tau_star"), "n_hit", "n_miss")
 
 
+def _scores(rows: DataFrame, *keys: str) -> DataFrame:
+    return overlap.class_counts(rows, list(keys))
+
+
 def io_per_axis(spark: SparkSession, d: str) -> DataFrame:
     return _io(overlap.against_hits(scored(spark, d), "axis"), "axis")
 
@@ -49,7 +53,7 @@ def io_per_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def io_overall(spark: SparkSession, d: str) -> DataFrame:
-    return _io(scored(spark, d).withColumn("model", F.lit("trigram")), "model")
+    return _io(_scores(scored(spark, d).withColumn("model", F.lit("trigram")), "model"), "model")
 
 
 def danger_zone(spark: SparkSession, d: str) -> DataFrame:
@@ -84,16 +88,16 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transitivity(spark: SparkSession, d: str) -> DataFrame:
-    return graph.transitivity(graph.edges(load(spark, d, "embeddings"), TAU)).select("triples", "violations", *r6("share"))
+    return graph.transitivity(cut(graph.edges(load(spark, d, "embeddings"), TAU))).select("triples", "violations", *r6("share"))
 
 
 def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nearest(graph.edges(load(spark, d, "embeddings"), -1.0)).select("id", "nearest", *r6("sim"))
+    return graph.nearest(load(spark, d, "embeddings")).select("id", "nearest", *r6("sim"))
 
 
 def transitivity_verdict(spark: SparkSession, d: str) -> DataFrame:
     """weak if few triples are open, strong if many, else middle, at three thresholds."""
-    e = graph.edges(load(spark, d, "embeddings"), 0.2)
+    e = cut(graph.edges(load(spark, d, "embeddings"), 0.2))
     out = None
     for tau in (0.2, 0.25, 0.3):
         t = graph.transitivity(e.filter(F.col("sim") > tau)).select(F.lit(tau).alias("tau"), "triples", "violations", "share")

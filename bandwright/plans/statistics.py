@@ -55,7 +55,7 @@ def cliques(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_domain(spark: SparkSession, d: str) -> DataFrame:
     def make():
-        io = overlap.irreducible_overlap(_long(spark, d, "domain").filter("domain IS NOT NULL"), ["domain", "encoder"])
+        io = overlap.irreducible_overlap(overlap.class_counts(_long(spark, d, "domain").filter("domain IS NOT NULL"), ["domain", "encoder"]), ["domain", "encoder"])
         return io.select("domain", "encoder", F.round("io", 6).alias("value"))
 
     return kept(spark, d, "domain_io", make)

@@ -71,7 +71,7 @@ def test_irreducible_overlap_against_loop(spark):
     rng = random.Random(3)
     for ties in (True, False):
         data = [("m", round(rng.random(), 1 if ties else 9), rng.randrange(2)) for _ in range(200)] + [("one class", 0.5, 1)]
-        got = {r.model: r for r in overlap.irreducible_overlap(spark.createDataFrame(data, "model string, sim double, hit int"), ["model"]).collect()}
+        got = {r.model: r for r in overlap.irreducible_overlap(overlap.class_counts(spark.createDataFrame(data, "model string, sim double, hit int"), ["model"]), ["model"]).collect()}
         hits, misses = [s for m, s, h in data if m == "m" and h], [s for m, s, h in data if m == "m" and not h]
         cands = sorted({c for s in hits + misses for c in (s - 1e-9, s + 1e-9)})
         ba = [(sum(s > t for s in hits) / len(hits) + sum(s <= t for s in misses) / len(misses)) / 2 for t in cands]
@@ -79,6 +79,21 @@ def test_irreducible_overlap_against_loop(spark):
         assert 0 <= got["m"].io <= 0.5
 
 
+def test_running_sums_and_quantiles_of_one_hot_key(spark):
+    rng = random.Random(8)
+    data = [(None if k % 50 == 0 else "hot", rng.choice([0.1, 0.2, rng.random()]), 1) for k in range(2000)] + [("one", 0.7, 1)]
+    df = spark.createDataFrame(data, "g string, v double, n int").groupBy("g", "v").agg(F.sum("n").alias("n"))
+    values = defaultdict(list)
+    for g, v, _ in data:
+        values[g].append(v)
+    for r in skew.running_sums(df, ["g"], ["v"], ["n"]).collect():
+        assert r.all_n == len(values[r.g]) and r.run_n == sum(x <= r.v for x in values[r.g])
+    for r in overlap.quantiles(df, ["g"], "v", "n", [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert np.allclose(r.q, np.quantile(values[r.g], [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert overlap.quantiles(df.limit(0), ["g"], "v", "n", [0.5]).count() == 0
+    assert np.allclose(overlap.quantiles(df.groupBy("v").agg(F.sum("n").alias("n")), [], "v", "n", [0.5]).first().q, [np.median([v for _, v, _ in data])])
+
+
 def test_ks_and_summary(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, 80).round(2), rng.normal(0.5, 1, 70).round(2)
@@ -108,7 +123,11 @@ def test_ratios_are_nan_where_empty(spark):
 def test_bootstrap_of_one_cluster_is_that_cluster(spark):
     df = spark.createDataFrame([("s", 3, 10)], "seed_id string, k int, n int")
     reps = bootstrap.replicates(df, "seed_id", ["k", "n"], 20)
-    assert {(r.k, r.n) for r in reps.collect()} == {(3, 10)}
+    drawn = [(r.k, r.n) for r in reps.collect()]
+    assert all(k * 10 == n * 3 and k % 3 == 0 for k, n in drawn) and 5 < len(drawn) < 20  # in a third of the replicates it isn't drawn
+    many = spark.createDataFrame([(f"s{i}", i % 2, 1) for i in range(300)], "seed_id string, k int, n int")
+    shares = [r.k / r.n for r in bootstrap.replicates(many, "seed_id", ["k", "n"], 400).collect()]
+    assert abs(np.mean(shares) - 0.5) < 0.01 and abs(np.std(shares) - math.sqrt(0.25 / 300)) < 0.005
     long = spark.createDataFrame([("m", float(i)) for i in range(100)] + [("m", float("nan"))], "metric string, value double")
     assert tuple(bootstrap.percentile_interval(long, ["metric"], "value").first())[1:] == pytest.approx((2.475, 96.525))
     assert tuple(bootstrap.order_interval(long.filter("NOT isnan(value)"), ["metric"], "value", 100).first())[1:] == (2.0, 96.0)
@@ -164,8 +183,11 @@ def test_edges_over_blocks_and_triples(spark):
     paths = [(a, b, c) for b in adj for a in adj[b] for c in adj[b] if a < c]
     r = graph.transitivity(e).first()
     assert (r.triples, r.violations) == (len(paths), sum((a, c) not in want for a, _, c in paths))
+    hub = spark.createDataFrame([(0, k, 1.0) for k in range(1, 400)] + [(1, 2, 1.0)], "i bigint, j bigint, sim double")
+    r = graph.transitivity(hub).first()
+    assert (r.triples, r.violations) == (399 * 398 // 2 + 2, 399 * 398 // 2 + 2 - 3)
     np.fill_diagonal(s, -2)
-    near = {r.id: r.nearest for r in graph.nearest(graph.edges(df, -1.5)).collect()}
+    near = {r.id: r.nearest for r in graph.nearest(df, block=7).collect()}
     assert near == {i: int(s[i].argmax()) for i in range(90)}
     assert graph.edges(df.limit(0), 0.5).count() == 0
 
