@@ -1,18 +1,25 @@
 """Near-duplicate rows by character shingles: MinHash-LSH with collision semantics, and exact Jaccard.
 
-Both drop rows greedily in order of id: a row falls if it meets a smaller row that stays, and a row that fell drops none. The
+Shingles are the distinct trigrams of the lower-case text, held as numbers (three code points of 21 bits, so no two are alike); a
+shorter text is a shingle of its own. They are made where they are needed, in Arrow batches, and never travel: texts do. Null
+texts take no part: each such row is a class of its own. Both drop rows greedily in order of id: a row falls if it meets a smaller row that stays, and a row that fell drops none. The
 order is total, so the greedy result is found in rounds over tables: rows that are the smallest still open at all
 their keys stay, rows that share a key with one that stays fall, until none is open.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from bandwright.functions.text import shingles
-from bandwright.operators.windows import number_rows
-from bandwright.session import cut
+from bandwright.operators.skew import lookup_join
+from bandwright.session import cut, release
 
 PERMUTATIONS = 64
 #: Bands and rows that the LSH parameter search gives for 64 permutations and threshold 0.9.
@@ -31,14 +38,56 @@ def _coefficients(n: int, seed: int = 1) -> list[tuple[int, int]]:
     return out
 
 
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the texts' distinct shingles, in order of both."""
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    starts = np.cumsum(lens) - lens
+    row = np.repeat(np.arange(len(texts)), lens)
+    whole = np.arange(len(points)) < (starts + lens - 2)[row] if len(points) else np.zeros(0, bool)
+    at = np.flatnonzero(whole)
+    found = points[at] | points[at + 1] << 21 | points[at + 2] << 42
+    short = np.flatnonzero(lens < 3)
+    few = np.array([-1 - sum(ord(c) + 1 << 21 * k for k, c in enumerate(texts[i])) for i in short], dtype=np.int64)
+    row, found = np.concatenate([row[at], short]), np.concatenate([found, few])
+    order = np.lexsort((found, row))
+    row, found = row[order], found[order]
+    new = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+    return row[new], found[new]
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64 well-mixed bits of each number."""
+    h = x.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    return h ^ h >> np.uint64(31)
+
+
+def _texts(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("text")).filter("text IS NOT NULL")
+
+
 def band_keys(rows: DataFrame, id_col: str, text: str, permutations: int = PERMUTATIONS, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """(id, key): the band keys of each row's signature over its distinct character trigrams; minima are plain aggregates."""
-    grams = rows.repartition(id_col).select(F.col(id_col).alias("id"), F.explode(shingles(F.col(text))).alias("g"))
-    hashed = grams.select("id", F.pmod(F.xxhash64("g"), F.lit(PRIME)).alias("h"))
-    mins = [F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(_coefficients(permutations))]
-    signatures = hashed.groupBy("id").agg(*mins)
-    keys = [F.xxhash64(F.lit(k), *[F.col(f"m{k * per + r}") for r in range(per)]) for k in range(bands)]
-    return signatures.select("id", F.explode(F.array(*keys)).alias("key"))
+    """(id, key): the band keys of each row's MinHash signature, made row by row within the batch: nothing is shuffled."""
+    source = _texts(rows, id_col, text)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, found = codes(batch.column(1).to_pylist())
+            h = (_mixed(found, 0) % np.uint64(PRIME)).astype(np.int64)
+            starts = np.searchsorted(row, np.arange(len(batch)))
+            keys = [np.full(len(batch), k, np.uint64) for k in range(bands)]
+            for i, (a, b) in enumerate(_coefficients(permutations)[: bands * per]):
+                least = np.minimum.reduceat((h * a + b) % PRIME, starts)
+                keys[i // per] = _mixed(keys[i // per] * np.uint64(31) + least.astype(np.uint64), 1)
+            flat = pa.array(np.stack(keys, axis=1).ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(batch) + 1, bands, dtype=np.int32)), flat)], names=["id", "keys"])
+
+    signed = source.mapInArrow(sign, StructType([source.schema["id"], *StructType.fromDDL("keys array<bigint>").fields]))
+    return signed.select("id", F.explode("keys").alias("key"))
 
 
 def greedy(keys: DataFrame) -> DataFrame:
@@ -68,64 +117,232 @@ def classes(rows: DataFrame, id_col: str, fallen: DataFrame) -> DataFrame:
 
 def lsh(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, class_id) under LSH: sharing a band key is enough, similarity isn't verified."""
-    return classes(rows, id_col, greedy(band_keys(rows, id_col, text)))
+    return classes(rows, id_col, greedy(cut(band_keys(rows, id_col, text))))
+
+
+#: Classes that shingles are counted by; the counts give an order of shingles, rare ones first, and bound what is broadcast.
+COUNTERS = 1 << 16
+#: Rows of one shingle that one task compares; more are split into blocks, and each two blocks are compared apart.
+SPLIT = 4096
 
 
-def similar_sets(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every row (rows with equal shingle sets share the smallest id as rep) and (a, b) of all pairs of reps with Jaccard >= threshold, exactly.
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (_mixed(found, 2) >> np.uint64(48)).astype(np.int64)
 
-    Prefix filter: two sets that similar share a token among the |x| - ceil(t |x|) + 1 rarest of each, so sets meet only on rare
-    tokens; sizes must fit. All shared tokens up to the end of one of the prefixes are seen there, so too few of them rule a
-    pair out by counting alone; what is left is verified on whole sets.
+
+def classes_of_sets(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of every row with a text, rows with equal shingle sets sharing the smallest id as rep, and (id, text, w) of the reps with the number of their rows."""
+    source = _texts(rows, id_col, text)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                row, found = codes(batch.column(1).to_pylist())
+                starts = np.searchsorted(row, np.arange(len(batch)))
+                sums = [np.add.reduceat(_mixed(found, salt), starts).view(np.int64) for salt in (3, 4)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), batch.column(1)], names=["id", "x", "y", "text"])
+
+    marked = source.mapInArrow(digest, StructType([source.schema["id"], *StructType.fromDDL("x bigint, y bigint, text string").fields]))
+    keyed = cut(marked.select("id", F.struct("x", "y").alias("digest"), "text"))
+    sets = cut(keyed.groupBy("digest").agg(F.min(F.struct("id", "text")).alias("first"), F.count(F.lit(1)).alias("w")))
+    members = lookup_join(keyed.select("id", "digest"), sets.select("digest", F.col("first.id").alias("rep"), "w"), "digest", "w", keyed.count())
+    return cut(members.select("id", "rep")), cut(sets.select("first.id", "first.text", "w"))
+
+
+def postings(reps: DataFrame, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """(t, x, y, b, n, pos, id, text, w), and the counts that order shingles: a row's prefix, its rarest n - ceil(threshold n) + 1 shingles, of which two sets that similar have one in common.
+
+    Shingles that many rows have in their prefix come once for each two blocks (x, y) of these rows; b is the row's own block.
     """
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text)), lambda g: F.xxhash64(g))).alias("set"))
-    keyed = cut(sets.withColumn("digest", F.struct(F.xxhash64("set").alias("a"), F.xxhash64(F.lit(7), "set").alias("b"))))
-    reps = cut(keyed.groupBy("digest").agg(F.min("id").alias("rep")))
-    members = keyed.select("id", "digest").join(reps, "digest").select("id", "rep")
-    whole = number_rows(keyed.join(reps, "digest").filter("id = rep").select("id", "set"), [F.col("id")])
-    whole = cut(whole.select("id", F.col("n").alias("k"), "set"))  # numbers in order of id: the pairs below are of numbers
-    tokens = whole.select("k", F.size("set").alias("n"), F.explode("set").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("k").orderBy("c", "t")
-    prefix = tokens.join(counts, "t").withColumn("p", F.row_number().over(w)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("c > 1")
-    prefix = cut(prefix.select("k", "n", "t"))
-    left, right = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "t")
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    rest = F.ceil(F.greatest("na", "nb") * threshold - 1e-9) - 1  # what the sets can share behind the shorter-reaching prefix
-    met = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max((need - rest).cast("int")).alias("least")).filter("c >= least").select("a", "b")
-    sa, sb = whole.select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("set").alias("sa")), whole.select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("set").alias("sb"))
-    both = met.join(sa, "a").join(sb, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return members, both.filter(shared >= (F.size("sa") + F.size("sb") - shared) * threshold - 1e-9).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    spark = reps.sparkSession
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(codes(batch.column(0).to_pylist())[1]), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in reps.select("text").mapInArrow(tally, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
+        counts[r.c] = r.n
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, t, c, pos, n = _ordered(batch.column(1).to_pylist(), shared.value)
+            keep = np.flatnonzero((pos < (n - np.ceil(n * threshold - 1e-9) + 1)[row]) & (c > 1))
+            for p in range(0, len(keep), 10_000):
+                k = keep[p : p + 10_000]
+                r = pa.array(row[k])
+                yield pa.RecordBatch.from_arrays([pa.array(t[k]), pa.array(n[row[k]].astype(np.int32)), pa.array(pos[k].astype(np.int32)), batch.column(0).take(r), batch.column(1).take(r), batch.column(2).take(r)], names=["t", "n", "pos", "id", "text", "w"])
+
+    fields = StructType.fromDDL("t bigint, n int, pos int").fields
+    made = cut(reps.select("id", "text", "w").mapInArrow(prefixes, StructType([*fields, *reps.select("id", "text", "w").schema.fields])))
+    per = cut(made.groupBy("t").agg(F.count(F.lit(1)).alias("c")))
+    many = per.filter(F.col("c") > SPLIT).select("t", "c", F.ceil(F.col("c") / SPLIT).cast("int").alias("blocks"))
+    split = lookup_join(made, many, "t", "c", made.count(), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = cut(each.select("t", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "n", "pos", "id", "text", "w"))
+    release(made, per)
+    return out, shared
+
+
+def _ordered(texts: list[str], counts: np.ndarray):
+    """(row, shingle, count, position, sizes): shingles of each text in the order of their counts, equal ones by number."""
+    row, found = codes(texts)
+    c = counts[_counter(found)]
+    order = np.lexsort((found, c, row))
+    row, found, c = row[order], found[order], c[order]
+    n = np.bincount(row, minlength=len(texts))
+    return row, found, c, np.arange(len(row)) - (np.cumsum(n) - n)[row], n
+
+
+class _Sets:
+    """Rows as 0/1 vectors over the numbers that at least two rows have, in blocks."""
+
+    def __init__(self, row: np.ndarray, value: np.ndarray, rows: int) -> None:
+        _, at, n = np.unique(value, return_inverse=True, return_counts=True)
+        kept = n > 1
+        self.at, self.row, self.wide = (np.cumsum(kept) - 1)[at][kept[at]], row[kept[at]], int(kept.sum())
+        self.starts = np.searchsorted(self.row, np.arange(rows + 1))
+
+    def block(self, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, self.wide), np.float32)
+        a, b = self.starts[lo], self.starts[hi]
+        out[self.row[a:b] - lo, self.at[a:b]] = 1
+        return out
+
+
+def similar_within(texts: list[str], n: np.ndarray, pos: np.ndarray, own: np.ndarray | None, counts: np.ndarray, threshold: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of rows of one shingle, in order of ``n``, whose sets are similar and have no rarer shingle of both prefixes in common (there they meet as well); of two
+    ``own`` blocks if given. Whole blocks are compared as matrix products."""
+    reach = np.searchsorted(n, n / threshold + 1e-6, side="right")
+    if not (reach > np.arange(len(n)) + 1).any():
+        return
+    row, found, _, at, _ = _ordered(texts, counts)
+    before = at < pos[row]
+    sets, earlier = _Sets(row, found, len(n)), _Sets(row[before], found[before], len(n))
+    for lo in range(0, len(n), block):
+        hi = min(len(n), lo + block)
+        a, ea, top = sets.block(lo, hi), earlier.block(lo, hi), int(reach[lo:hi].max())
+        for left in range(lo, top, block):
+            right = min(top, left + block)
+            both = a @ sets.block(left, right).T
+            ok = both >= (n[lo:hi, None] + n[None, left:right] - both) * threshold - 1e-4
+            i, j = np.nonzero(ok)
+            keep = i + lo < j + left
+            if own is not None:
+                keep &= own[i + lo] != own[j + left]
+            i, j = i[keep], j[keep]
+            if len(i):
+                first = np.einsum("ij,ij->i", ea[i], earlier.block(left, right)[j]) == 0 if earlier.wide else np.ones(len(i), bool)
+                exact = both[i, j].astype(np.int64) >= (n[i + lo] + n[j + left] - both[i, j].astype(np.int64)) * threshold - 1e-9
+                yield (i + lo)[first & exact], (j + left)[first & exact]
+
+
+def _meetings(posted: DataFrame, shared: Broadcast, threshold: float, each, out: StructType) -> DataFrame:
+    """What ``each(ids, w, side, i, j)`` gives of the similar pairs of every shingle; ``posted`` has a column ``side``."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def done():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            n, own = rows["n"].to_numpy().astype(np.int64), rows["b"].to_numpy()
+            if len(n) < 2:
+                return
+            pairs = list(similar_within(rows["text"].to_pylist(), n, rows["pos"].to_numpy(), own if last[1] != last[2] else None, shared.value, threshold))
+            if pairs and sum(len(i) for i, _ in pairs):
+                yield from each(rows["id"].to_numpy(zero_copy_only=False), rows["w"].to_numpy(), rows["side"].to_numpy(), *map(np.concatenate, zip(*pairs, strict=True)))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            change = np.zeros(len(batch) - 1, bool)
+            for k in keys:
+                change |= k[1:] != k[:-1]
+            ends = np.append(np.flatnonzero(change) + 1, len(batch))
+            s = 0
+            for e in ends:
+                key = tuple(int(k[s]) for k in keys)
+                if held and key != last:
+                    yield from done()
+                    held = []
+                last = key
+                held.append(batch.slice(s, e - s))
+                s = e
+        if held:
+            yield from done()
+
+    ordered = posted.select("t", "x", "y", "b", "n", "pos", "id", "text", "w", "side").repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "n", "id")
+    return ordered.mapInArrow(scan, out)
+
+
+def _open(posted: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
+    """(id, links, least): of every row that is similar to another of ``posted``, the rows that it is similar to and the smallest of their ids."""
+    kind = posted.schema["id"]
+
+    def each(ids, w, side, i, j):
+        a, b = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.lexsort((ids[b], a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(np.add.reduceat(w[b], first)), pa.array(ids[b[first]])], names=["id", "links", "least"])
+
+    out = StructType([kind, StructField("links", LongType()), StructField("least", kind.dataType)])
+    return _meetings(posted.withColumn("side", F.lit(0)), shared, threshold, each, out).groupBy("id").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+
+
+def _kept(posted: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
+    """(id, keeper): of every row of side 0 that is similar to a smaller one of side 1, the smallest of these."""
+    kind = posted.schema["id"]
+
+    def each(ids, w, side, i, j):
+        a, b = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+        ok = (side[a] == 0) & (side[b] == 1) & (ids[b] < ids[a])
+        a, b = a[ok], b[ok]
+        if len(a):
+            order = np.lexsort((ids[b], a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], names=["id", "keeper"])
+
+    return _meetings(posted, shared, threshold, each, StructType([kind, StructField("keeper", kind.dataType)])).groupBy("id").agg(F.min("keeper").alias("keeper"))
 
 
 def jaccard(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """(id, class_id, links): greedy classes under true Jaccard, and how many other rows each row is similar to."""
-    members, found = similar_sets(rows, id_col, text, threshold)
-    members, found = cut(members), cut(found)
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("w"))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("more"))
-    fallen = greedy_links(found)
-    out = members.join(sizes, "rep").join(near, "rep", "left").join(fallen.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("id", F.coalesce("keeper", "rep").alias("class_id"), (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-
-
-def greedy_links(links: DataFrame) -> DataFrame:
-    """(id, keeper) of rows that fall, from links (a, b) with a < b."""
-    spark = links.sparkSession
-    fallen = spark.createDataFrame([], links.select(F.col("a").alias("id"), F.col("b").alias("keeper")).schema)
-    while not links.isEmpty():
-        blocked = links.select(F.col("b").alias("id")).distinct()
-        stay = cut(links.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti"))
-        drop = cut(links.join(stay.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("keeper")))
-        fallen = fallen.unionByName(drop)
-        gone = stay.unionByName(drop.select("id"))
-        links = cut(links.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
-    return fallen
-
-
-def expected_collision(similarity: float, bands: int = BANDS, per: int = ROWS) -> float:
-    return 1 - (1 - similarity**per) ** bands
+    """(id, class_id, links): greedy classes under true Jaccard, and how many other rows each row is similar to.
 
+    Pairs are met where a shingle's rows are, and only counts, smallest neighbours and keepers leave the task, never the pairs, so a
+    family of m near-copies gives m rows. A round settles the rows that have no smaller open neighbour (they stay) and their neighbours (they fall).
+    """
+    members, reps = classes_of_sets(rows, id_col, text)
+    posted, shared = postings(reps, threshold)
+    met = cut(_open(posted, shared, threshold))
+    whole, posted = posted, cut(posted.join(met.select("id"), "id"))  # what the rounds are about
+    release(whole)
+    some = lambda of: posted.join(of, "id")
+    open_, near = met.select("id"), met
+    staying = None
+    while not open_.isEmpty():
+        stay = cut(open_.join(near.select("id", "least"), "id", "left").filter("least IS NULL OR least > id").select("id"))
+        staying = stay if staying is None else staying.unionByName(stay)
+        rest = open_.join(stay, "id", "left_anti")
+        sides = stay.withColumn("side", F.lit(1)).unionByName(rest.withColumn("side", F.lit(0)))
+        fall = _kept(some(sides), shared, threshold).select("id")
+        open_ = cut(rest.join(fall, "id", "left_anti"))
+        near = cut(_open(some(open_), shared, threshold))
+    if staying is None:
+        keeper = met.select("id", F.col("least").alias("keeper"))
+    else:
+        sides = met.select("id").join(staying, "id", "left_anti").withColumn("side", F.lit(0)).unionByName(staying.withColumn("side", F.lit(1)))
+        keeper = cut(_kept(some(sides), shared, threshold))
+    facts = reps.select(F.col("id").alias("rep"), "w").join(met.select(F.col("id").alias("rep"), "links"), "rep", "left").join(keeper.withColumnRenamed("id", "rep"), "rep", "left")
+    out = lookup_join(members, facts.withColumn("size", F.col("w")), "rep", "w", members.count())
+    some_text = out.select("id", F.coalesce("keeper", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    none = rows.filter(F.col(text).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    return some_text.unionByName(none)

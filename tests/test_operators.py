@@ -27,10 +27,9 @@ def test_jaccard_classes_against_brute_force(spark):
     df = spark.createDataFrame(data, "id string, text string")
     sets = {i: grams(t) for i, t in data}
     near = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.9 - 1e-12}
-    members, found = dedupe.similar_sets(df, "id", "text")
+    members, reps = dedupe.classes_of_sets(df, "id", "text")
     rep = {r.id: r.rep for r in members.collect()}
-    assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
-    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a, b in near if rep[a] == a and rep[b] == b}
+    assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets} and {r.id: r.w for r in reps.collect()} == Counter(rep.values())
     stay, keeper = [], {}
     for i in sorted(sets):
         k = [j for j in stay if (j, i) in near]
@@ -43,6 +42,18 @@ def test_jaccard_classes_against_brute_force(spark):
     assert all(r.links == sum(i in p for p in near) for i, r in got.items())
 
 
+def test_a_family_of_near_copies_gives_no_pairs(spark, monkeypatch):
+    """Many texts that are all alike, some of them equal, in blocks; and null, empty and short texts."""
+    monkeypatch.setattr(dedupe, "SPLIT", 300)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    data = [(i, base[: i % 197] + rng.choice("XYZ") + base[i % 197 + 1 :]) for i in range(1000)]
+    data += [(2000, None), (2001, ""), (2002, ""), (2003, "ab"), (2004, "AB"), (2005, "\x00a"), (2006, None)]
+    got = {r.id: r for r in dedupe.jaccard(spark.createDataFrame(data, "id bigint, text string").withColumn("t", F.lit(1)), "id", "text").collect()}
+    assert len(got) == len(data) and all(got[i].class_id == 0 and got[i].links == 999 for i in range(1000))
+    assert {i: (got[i].class_id, got[i].links) for i in range(2000, 2007)} == {2000: (2000, 0), 2001: (2001, 1), 2002: (2001, 1), 2003: (2003, 1), 2004: (2003, 1), 2005: (2005, 0), 2006: (2006, 0)}
+
+
 def test_greedy_equals_sequential(spark):
     rng = random.Random(2)
     keys = [(i, f"k{rng.randrange(60)}") for i in range(150) for _ in range(3)]
