@@ -1,6 +1,7 @@
 """Arrival-order simulations of a similarity cache.
 
-A simulation is sequential by nature, so one (setting, order) is one task's work and settings and orders are what is spread.
+A simulation is sequential by nature, so one (setting, order) is one task's work and settings and orders are what is spread. What
+can be served to an item is the same in all orders, so each task makes these lists once and a step looks up which of them are stored.
 The workload is a sample of whole families of at most MAX_ITEMS items (checked), so it is broadcast once and
 not repeated per setting; each task walks its orders and gives one row per arrival. What is served is then classified and counted by joins.
 """
@@ -8,6 +9,7 @@ not repeated per setting; each task walks its orders and gives one row per arriv
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,41 +34,74 @@ def zipf(order_id: int, n: int, alpha: float, length: int) -> list[int]:
     return [items[r] for r in np.minimum(np.searchsorted(cdf / cdf[-1], u, side="right"), n - 1)]
 
 
-def walk(x: np.ndarray, arrivals: list[int], tau: float, accept=None, policy: str = "none", capacity: int = 0) -> Iterator[tuple[int, int, int, float]]:
+class Near:
+    """Of each unit vector those more similar than ``floor``, itself among them, the most similar first; made block by block when asked for."""
+
+    HELD = 20_000_000
+
+    def __init__(self, x: np.ndarray, floor: float, block: int = 256) -> None:
+        self.x, self.floor, self.block, self.lists, self.size = x, floor, block, {}, 0
+
+    def of(self, i: int) -> tuple[list[int], list[float]]:
+        if i not in self.lists:
+            if self.size > self.HELD:  # made anew when asked for again
+                self.lists, self.size = {}, 0
+            lo = i - i % self.block
+            s = self.x[lo : lo + self.block] @ self.x.T
+            rows, cols = np.nonzero(s > self.floor)
+            sims = s[rows, cols]
+            order = np.lexsort((-sims, rows))
+            cols, sims, ends = cols[order], sims[order], np.cumsum(np.bincount(rows, minlength=len(s)))
+            for r, e in enumerate(ends):
+                b = ends[r - 1] if r else 0
+                self.lists[lo + r] = (cols[b:e].tolist(), sims[b:e].tolist())
+            self.size += len(cols)
+        return self.lists[i]
+
+
+def walk(x: np.ndarray, arrivals: list[int], tau: float, accept=None, policy: str = "none", capacity: int = 0, near: Near | None = None) -> Iterator[tuple[int, int, int, float | None]]:
     """(pos, item, stored or -1, sim): the most similar stored entry (ties to the earliest stored) is served if it is more similar
-    than ``tau`` and ``accept(item, stored, sim)`` says so; a miss is stored unless it is; beyond ``capacity`` the entry stored
-    first (fifo) or used longest ago (lru; storing and serving are uses) goes."""
-    kept = np.empty_like(x) if not capacity else np.empty((capacity + 1, x.shape[1]))
-    stored: list[int] = []
-    inside: set[int] = set()
-    used: dict[int, int] = {}
+    than ``tau``, or if ``accept(item, stored, sim)`` says so where that is given; a miss is stored unless it is; beyond ``capacity`` the
+    entry stored first (fifo) or used longest ago (lru; storing and serving are uses) goes. Entries below the floor of ``near`` are
+    taken not to be accepted; sim is None where there is none above it."""
+    near = near or Near(x, tau if accept is None else -2.0)
+    stored: dict[int, int] = {}
+    used: OrderedDict[int, None] = OrderedDict()
     for t, i in enumerate(arrivals):
-        served, best = -1, -1.0
-        if stored:
-            sims = kept[: len(stored)] @ x[i]
-            b = int(np.argmax(sims))
-            best = float(sims[b])
-            if (accept is None and best > tau) or (accept is not None and accept(i, stored[b], best)):
-                served = stored[b]
-                used[served] = t
-        if served < 0 and i not in inside:
-            kept[len(stored)] = x[i]
-            stored.append(i)
-            inside.add(i)
-            used[i] = t
+        served, best = -1, None
+        others, sims = near.of(i)
+        for k, j in enumerate(others):
+            if j in stored:
+                best = sims[k]
+                for m in range(k + 1, len(others)):
+                    if sims[m] < best:
+                        break
+                    if others[m] in stored and stored[others[m]] < stored[j]:
+                        j = others[m]
+                if best > tau if accept is None else accept(i, j, best):
+                    served = j
+                    used.move_to_end(j)
+                break
+        if served < 0 and i not in stored:
+            stored[i] = t
+            used[i] = None
             if capacity and len(stored) > capacity:
-                out = min(range(len(stored)), key=lambda k: used[stored[k]]) if policy == "lru" else 0
-                inside.discard(stored.pop(out))
-                kept[out : len(stored)] = kept[out + 1 : len(stored) + 1].copy()
+                out = next(iter(used if policy == "lru" else stored))
+                del stored[out], used[out]
         yield t, i, served, best
 
 
-def simulate(items: DataFrame, grid: DataFrame, half_band: float = 0.06) -> DataFrame:
+#: A verifier's fixture: the keys are equal, but for a sixteenth of the pairs in which it errs.
+def verified(i: int, j: int, keys: list) -> bool:
+    return (keys[i] == keys[j]) != (hashlib.md5(f"verify:{i}:{j}".encode()).hexdigest()[0] == "0")
+
+
+def simulate(items: DataFrame, grid: DataFrame, half_band: float = 0.06, cross: float = 0.5) -> DataFrame:
     """Rows of SERVED for every setting of ``grid`` (tau, rule, policy, capacity, alpha, length, order_id) over ``items`` (item 0..n-1, vec, and for
-    rules B and D: words, slots); ``stored`` is null on a miss.
+    rules B and D: words, slots; for rule V: key); ``stored`` is null on a miss, ``sim`` too where no entry could be served.
 
-    Rule A: similarity above tau; B: within the band the cross score (word Jaccard) above 0.5, outside above the band; D: above tau with equal
-    slots. alpha null: every item once, in the order's permutation; else ``length`` Zipf draws.
+    Rule A: similarity above tau; B: within the band the cross score (word Jaccard) above ``cross``, outside above the band; D: above tau with equal
+    slots; V: above tau, and the verifier says so, which is asked there only. alpha null: every item once, in the order's permutation; else ``length`` Zipf draws.
     """
     spark = items.sparkSession
     rows = items.orderBy("item").limit(MAX_ITEMS + 1).toPandas()
@@ -76,13 +111,13 @@ def simulate(items: DataFrame, grid: DataFrame, half_band: float = 0.06) -> Data
     norms = np.sqrt((x * x).sum(axis=1))
     x /= np.where(norms == 0, 1, norms)[:, None]
     words = [frozenset(w) for w in rows["words"]] if "words" in rows else None
-    slots = rows["slots"].tolist() if "slots" in rows else None
-    data = spark.sparkContext.broadcast((x, words, slots))
+    slots, keys = (rows[c].tolist() if c in rows else None for c in ("slots", "key"))
+    data = spark.sparkContext.broadcast((x, words, slots, keys))
     width = half_band
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, words, slots = data.value
-        n = len(x)
+        x, words, slots, keys = data.value
+        n, near = len(x), Near(x, 2.0)
         for batch in batches:
             for g in batch.itertuples(index=False):
                 alpha = None if pd.isna(g.alpha) else g.alpha
@@ -90,11 +125,15 @@ def simulate(items: DataFrame, grid: DataFrame, half_band: float = 0.06) -> Data
 
                 def crossed(i, j, s, tau=g.tau):
                     if tau - width <= s <= tau + width:
-                        return len(words[i] & words[j]) / max(1, len(words[i] | words[j])) > 0.5
+                        return len(words[i] & words[j]) / max(1, len(words[i] | words[j])) > cross
                     return s > tau + width
 
-                accept = {"A": None, "B": crossed, "D": lambda i, j, s, tau=g.tau: s > tau and slots[i] == slots[j]}[g.rule]
-                out = pd.DataFrame(list(walk(x, arrivals, g.tau, accept, g.policy, g.capacity)), columns=["pos", "item", "stored", "sim"])
+                accept = {"A": None, "B": crossed, "D": lambda i, j, s, tau=g.tau: s > tau and slots[i] == slots[j], "V": lambda i, j, s, tau=g.tau: s > tau and verified(i, j, keys)}[g.rule]
+                floor = g.tau - width - 1e-9 if g.rule == "B" else g.tau
+                if near.floor != floor:
+                    near = Near(x, floor)
+                out = pd.DataFrame(list(walk(x, arrivals, g.tau, accept, g.policy, g.capacity, near)), columns=["pos", "item", "stored", "sim"])
+                out["sim"] = out["sim"].astype(float)
                 for c in ("tau", "rule", "policy", "capacity", "alpha", "order_id"):
                     out[c] = getattr(g, c)
                 out["alpha"] = out["alpha"].astype(float)
@@ -102,7 +141,8 @@ def simulate(items: DataFrame, grid: DataFrame, half_band: float = 0.06) -> Data
                 yield out[["tau", "rule", "policy", "capacity", "alpha", "order_id", "pos", "item", "stored", "sim"]]
 
     n = grid.count()
-    return grid.repartition(max(1, n)).mapInPandas(run, SERVED)
+    tasks = max(1, min(n, 2 * spark.sparkContext.defaultParallelism))
+    return grid.repartition(tasks).sortWithinPartitions("tau", "rule").mapInPandas(run, SERVED)
 
 
 def settings(spark, taus: list[float], orders: int, rules=("A",), policies=(("none", 0),), alphas=(None,), length: int = 0) -> DataFrame:

@@ -99,10 +99,19 @@ def config_metrics(spark: SparkSession, d: str) -> DataFrame:
     return decision.ratios(decision.seed_counts(predicted(spark, d)), ["config"]).select("config", *r6(*decision.RATIOS))
 
 
+def tuned_on_all(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the parameters tuned on all pairs, as one pseudo-fold 0."""
+
+    def make():
+        return decision.fold_parameters(verified(spark, d).withColumn("fold", F.lit(1)), 2).filter("fold = 0")  # of fold 0, the others are all rows
+
+    return kept(spark, d, "tuned_on_all", make)
+
+
 def in_sample_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The same configurations, and the learned one (E), tuned and scored on all pairs: one pseudo-fold, tuned on itself."""
     rows = verified(spark, d)
-    tuned = cut(decision.fold_parameters(rows.withColumn("fold", F.lit(1)), 2).filter("fold = 0"))  # of fold 0, the others are all rows
+    tuned = tuned_on_all(spark, d)
     one = rows.withColumn("fold", F.lit(0))
     p = _learned(decision.configurations(one, tuned), 1)
     return decision.ratios(decision.seed_counts(p, (*decision.CONFIGS, "E")), ["config"]).select("config", *r6(*decision.RATIOS))

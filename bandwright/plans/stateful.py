@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.text import acronym_slots, normalise_answer, number_slots, word_set
 from bandwright.operators import cachesim, windows
+from bandwright.plans.decision import tuned_on_all
 from bandwright.plans.base import kept, pairs, r6, with_
 from bandwright.session import cut, load
+from bandwright.streaming import events
 
 TAUS = [0.2, 0.25, 0.3]
 TEXT_TAUS = [0.85, 0.9, 0.95]
@@ -16,8 +18,11 @@ TEXT_TAUS = [0.85, 0.9, 0.95]
 ORDERS = 3
 #: The reference's numbers of orders: of the text workload (RQ3b), of the pilot, of sweeps and architectures.
 TEXT_ORDERS, PILOT_ORDERS, SWEEP_ORDERS = 500, 200, 50
+CAPACITIES = [(p, c) for p in ("fifo", "lru") for c in (50, 150, 300)]
 SIZES = (100, 500, 1000, 2500, 5231)
 WORKLOAD = 5000
+#: A threshold at which other families' entries are served.
+CONFUSING = 0.3
 SETTING = ["tau", "rule", "policy", "capacity", "alpha"]
 
 
@@ -77,8 +82,20 @@ def index_keyed_sim(spark: SparkSession, d: str) -> DataFrame:
     return _rates(cachesim.simulate(items, cachesim.settings(spark, TAUS, PILOT_ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
 
 
+def cache_sim_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """Every arrival with bounded caches: the entry stored first or used longest ago goes."""
+    served = cachesim.simulate(vectors(spark, d), cachesim.settings(spark, [0.25], ORDERS, policies=CAPACITIES))
+    return served.select("policy", "capacity", "order_id", "pos", "item", "stored")
+
+
+def cache_sim_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Every arrival with a verifier that is asked about an entry more similar than tau."""
+    served = cachesim.simulate(vectors(spark, d), cachesim.settings(spark, TAUS, ORDERS, rules=["V"]))
+    return served.select("tau", "order_id", "pos", "item", "stored")
+
+
 def cache_sim_eviction(spark: SparkSession, d: str) -> DataFrame:
-    policies = [("none", 0), *[(p, c) for p in ("fifo", "lru") for c in (50, 150, 300)]]
+    policies = [("none", 0), *CAPACITIES]
     items = vectors(spark, d)
     return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.25], SWEEP_ORDERS, policies=policies)), items).drop("rule", "alpha")
 
@@ -105,8 +122,10 @@ def cache_sim_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arch_rules(spark: SparkSession, d: str) -> DataFrame:
-    items = workload(spark, d)
-    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.9], SWEEP_ORDERS, rules=["A", "B", "D"])), items).drop("policy", "capacity", "alpha")
+    """Threshold, cross scorer with its tuned threshold, and slots, over the same orders."""
+    items, tuned = workload(spark, d), tuned_on_all(spark, d).first()
+    cross = 0.5 if tuned is None or tuned.t_ce is None else tuned.t_ce
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.9], SWEEP_ORDERS, rules=["A", "B", "D"]), cross=cross), items).drop("policy", "capacity", "alpha")
 
 
 def serve_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -122,24 +141,24 @@ def answer_text_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Families that are served each other's answers, at a threshold low enough for that to happen."""
     items = workload(spark, d)
-    served = cachesim.simulate(items, cachesim.settings(spark, [0.6], TEXT_ORDERS))
+    served = cachesim.simulate(items, cachesim.settings(spark, [CONFUSING], TEXT_ORDERS))
     return cachesim.confusion(cachesim.classify(served, items))
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events by type in tumbling hours."""
-    return load(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "value")
+    return events.tumbling(load(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 def event_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "users")
+    return events.sliding(load(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "users")
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a user: events less than 30 minutes apart."""
-    s = load(spark, d, "events").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+    return events.sessions(load(spark, d, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
 def event_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +171,7 @@ def event_gaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cache_sim, order_sensitivity, index_keyed_sim, cache_sim_eviction, cache_sim_zipf, cache_sim_size, cache_sim_text, arch_rules, serve_classes,
+        cache_sim, cache_sim_capacity, cache_sim_verified, order_sensitivity, index_keyed_sim, cache_sim_eviction, cache_sim_zipf, cache_sim_size, cache_sim_text, arch_rules, serve_classes,
         answer_text_keys, seed_confusion, event_windows, event_sliding, event_sessions, event_gaps,
     )
 }
@@ -169,7 +188,42 @@ step AS (
         FROM step s JOIN arr a ON a.o = s.o AND a.pos = s.pos + 1, m))),
 served AS (SELECT tau, o AS order_id, pos, s.item, s.stored, a.key AS own, coalesce(b.key, a.key) AS got FROM step s JOIN items a ON s.item = a.item LEFT JOIN items b ON s.stored = b.item WHERE pos >= 0)"""
 
+#: The same with what the cache does at a step left open: the state after it, and whether the entry is served.
+def _steps(grid: str, keep: str, serve: str, keys: str, orders: int = ORDERS) -> str:
+    k = keys.split(", ")
+    return f"""WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS item, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS VARCHAR) AS key FROM embeddings),
+m AS (SELECT list(x ORDER BY item) AS xs, list(key ORDER BY item) AS keys FROM items), g AS (SELECT {keys}, o FROM {grid} CROSS JOIN range(0, {orders}) r(o)),
+arr AS (SELECT o, item, x, row_number() OVER (PARTITION BY o ORDER BY substring(md5(o || ':' || item), 1, 15), item) - 1 AS pos FROM items CROSS JOIN range(0, {orders}) r(o)),
+step AS (
+  SELECT {keys}, o, CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS st, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS stored FROM g
+  UNION ALL
+  SELECT {keys}, o, pos, CASE WHEN yes THEN {keep} ELSE {{miss}} END, item, CASE WHEN yes THEN j END FROM (
+    SELECT *, coalesce({serve}, false) AS yes FROM (
+      SELECT *, list_max(sims) AS best, st[list_position(sims, list_max(sims))] AS j FROM (
+        SELECT {", ".join(f"s.{c}" for c in k)}, s.o, a.pos, s.st, a.item, m.keys, list_transform(s.st, lambda j: list_dot_product(a.x, m.xs[j + 1])) AS sims FROM step s JOIN arr a ON a.o = s.o AND a.pos = s.pos + 1, m))))
+SELECT {keys}, CAST(o AS INT) AS order_id, CAST(pos AS INT) AS pos, CAST(item AS INT) AS item, CAST(stored AS INT) AS stored FROM step WHERE pos >= 0"""
+
+
+def _rates_sql(steps: str, keys: str, own: str = "i.key", got: str = "j.key") -> str:
+    """The rates of the steps by their keys."""
+    k = keys.split(", ")
+    return f"""{steps[: steps.rindex("SELECT ")]}, out AS ({steps[steps.rindex("SELECT ") :]}),
+s AS (SELECT {", ".join(f"t.{c}" for c in k)}, t.order_id, t.item, t.stored, {own} AS own, coalesce({got}, {own}) AS got FROM out t JOIN items i ON t.item = i.item LEFT JOIN items j ON t.stored = j.item),
+per AS (SELECT {keys}, order_id, count(*) AS n, avg(CAST(stored IS NOT NULL AS INT)) AS h, avg(CAST(own <> got AS INT)) AS w FROM s GROUP BY ALL),
+u AS (SELECT {keys}, avg(CAST(c > 1 AS INT)) AS sensitivity FROM (SELECT {keys}, item, count(DISTINCT got) AS c FROM s GROUP BY ALL) GROUP BY {keys})
+SELECT {", ".join(f"p.{c}" for c in k)}, CAST(sum(n) AS BIGINT) AS arrivals, round(avg(h), 6) AS hit, round(stddev_pop(h), 6) AS hit_std, round(avg(w), 6) AS wrong, round(any_value(u.sensitivity), 6) AS sensitivity
+FROM per p JOIN u ON {" AND ".join(f"p.{c} = u.{c}" for c in k)} GROUP BY {", ".join(f"p.{c}" for c in k)}"""
+
+
+_TAU_GRID = f"(SELECT unnest([{', '.join(f'{t!r}e0' for t in TAUS)}]) AS tau)"
+_CAPS = "(VALUES " + ", ".join(f"('{p}', CAST({c} AS INT){{0}})" for p, c in CAPACITIES) + ") v(policy, capacity)"
+_USED, _ROOM = "CASE policy WHEN 'lru' THEN list_append(list_filter(st, lambda y: y <> j), j) ELSE st END", "list_append(CASE WHEN capacity > 0 AND len(st) >= capacity THEN st[2:] ELSE st END, item)"
+
 ORACLES = {
+    "cache_sim_capacity": _steps(_CAPS.format(""), _USED, "best > 0.25e0", "policy, capacity").replace("{miss}", _ROOM),
+    "cache_sim_eviction": _rates_sql(_steps(_CAPS.format("").replace("(VALUES ", "(VALUES ('none', CAST(0 AS INT)), "), _USED, "best > 0.25e0", "policy, capacity", SWEEP_ORDERS).replace("{miss}", _ROOM), "policy, capacity").replace("SELECT p.policy, p.capacity,", "SELECT 0.25e0 AS tau, p.policy, p.capacity,"),
+    "cache_sim_verified": _steps(_TAU_GRID, "st", "best > tau AND (keys[item + 1] = keys[j + 1]) <> (substring(md5('verify:' || item || ':' || j), 1, 1) = '0')", "tau").replace("{miss}", "list_append(st, item)"),
+    "index_keyed_sim": _rates_sql(_steps(_TAU_GRID, "st", "best > tau", "tau", PILOT_ORDERS).replace("{miss}", "list_append(st, item)"), "tau", "CAST(i.item AS VARCHAR)", "CAST(j.item AS VARCHAR)"),
     "cache_sim": _SIM + "SELECT tau, CAST(order_id AS INT) AS order_id, CAST(pos AS INT) AS pos, CAST(item AS INT) AS item, CAST(stored AS INT) AS stored FROM served",
     "order_sensitivity": _SIM + """, per AS (SELECT tau, order_id, count(*) AS n, avg(CAST(stored IS NOT NULL AS INT)) AS h, avg(CAST(own <> got AS INT)) AS w FROM served GROUP BY ALL),
 k AS (SELECT tau, avg(CAST(c > 1 AS INT)) AS sensitivity FROM (SELECT tau, item, count(DISTINCT got) AS c FROM served GROUP BY ALL) GROUP BY tau)
