@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bandwright.functions.text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,8 +18,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return bind(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

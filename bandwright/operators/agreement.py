@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.functions.stats import wilson
+from bandwright.operators.validate import require_equal
 
 DEFINITE = ("SAME", "DIFFERENT")
 
@@ -72,6 +73,16 @@ def krippendorff(rows: DataFrame, a: str, b: str, keys: list[str] | None = None)
     return t.select(*keys, "n", (F.col("same") / n).alias("agreement"), (1 - F.try_divide(observed, expected)).alias("alpha"), (F.col("ta") / n).alias("rate_a"), (F.col("tb") / n).alias("rate_b"))
 
 
+def joined_raters(pairs: DataFrame, sheets: dict[str, DataFrame], key: str = "gid") -> DataFrame:
+    """``pairs`` with a column of labels per rater; ValueError unless every sheet (key, label) has the same keys. Keys without a pair are left out."""
+    first, *rest = sheets
+    for r in rest:
+        require_equal(sheets[first], sheets[r], key, f"raters {first} and {r}")
+    for r, sheet in sheets.items():
+        pairs = pairs.join(sheet.select(key, F.col("label").alias(r)), key)
+    return pairs
+
+
 def agrees(gold: Column, hit: Column) -> Column:
     """1 where the gold label says what the pair's label says."""
     return F.coalesce((gold == F.when(hit == 1, "SAME").otherwise("DIFFERENT")).cast("int"), F.lit(0))

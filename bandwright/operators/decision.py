@@ -128,6 +128,13 @@ def configurations(rows: DataFrame, parameters: DataFrame, half: float = HALF_BA
     )
 
 
+def decided(pairs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (id) with the verifier's ``decision`` of those that have one, and one row: joined and total decisions."""
+    rows = pairs.join(decisions.select(F.col("pair_id").alias("id"), "decision"), "id")
+    known = decisions.select(F.col("pair_id").alias("id")).join(pairs.select("id", F.lit(1).alias("__there")), "id", "left")
+    return rows, known.agg(F.count("__there").alias("joined"), F.count(F.lit(1)).alias("total"))
+
+
 CONFIGS = ("A", "B", "C", "C_fallback", "D", "adaptive")
 
 

@@ -46,6 +46,18 @@ def number_rows(rows: DataFrame, order: list, name: str = "n") -> DataFrame:
     return joined.withColumn(name, F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__before")
 
 
+def continued(rows: DataFrame, existing: DataFrame, group: str, order: list, name: str = "k") -> DataFrame:
+    """Numbers within the group that go on from as many as ``existing`` has of it."""
+    there = existing.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    new = running_index(rows, [group], order, name).join(there, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return new.withColumn(name, (F.col(name) + F.coalesce("__n", F.lit(0))).cast("int")).drop("__g", "__n")
+
+
+def capped_sample(rows: DataFrame, key: str, n: int, salt: str = "cap") -> DataFrame:
+    """All rows if there are no more than ``n``, else the first ``n`` in a hash order."""
+    return rows.orderBy(order_key(F.lit(salt), F.col(key)), key).limit(n)
+
+
 def batches(rows: DataFrame, order: list, per: int) -> DataFrame:
     """Batch numbers from 0, ``per`` rows each."""
     return number_rows(rows, order, "__n").withColumn("batch", F.floor(F.col("__n") / per).cast("bigint")).drop("__n")
@@ -87,14 +99,3 @@ def mid_ranks(rows: DataFrame, keys: list[str], value: str, name: str = "mid_ran
     w = Window.partitionBy(*keys)
     tie = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
     return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (tie - 1) / 2)
-
-
-def zipf_draw(n: int, alpha: float, u: Column) -> Column:
-    """An item 0..n-1 by inverse CDF of weights 1 / rank**alpha."""
-    total = sum(1 / (i + 1) ** alpha for i in range(n))
-    cdf, steps = 0.0, []
-    for i in range(n):
-        cdf += 1 / (i + 1) ** alpha / total
-        steps.append(cdf)
-    bounds = F.array(*[F.lit(x) for x in steps])
-    return F.least(F.size(F.filter(bounds, lambda b: b <= u)), F.lit(n - 1))

@@ -61,9 +61,9 @@ def question_loader(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of at least 200 characters, cut at 60, in order of key."""
-    rows = load(spark, d, "documents").filter(F.length("text") >= 200)
-    return rows.select("doc_key", F.substring("text", 1, 60).alias("text"))
+    """Documents of at least 200 characters, cut at 7,000, in order of key."""
+    rows = load(spark, d, "documents").select(F.col("doc_key").alias("name"), "text")
+    return documents.scan(rows, 200, 7000).withColumnRenamed("name", "doc_key")
 
 
 def doc_quota(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ ORACLES = {
     "salvage_rows": f"SELECT id, axis_ok, conf FROM ({_H}) WHERE h NOT IN ('1', '2', '3', '5') AND axis_ok IS NOT NULL AND conf BETWEEN 0 AND 1",
     "route_rows": f"WITH x AS (SELECT 'fact' AS t, doc_id, unnest(fact_ids) AS x FROM t02_seeds UNION ALL SELECT 'seed', doc_id, seed_id FROM t02_seeds), y AS (SELECT t, {_PREFIX} AS domain FROM x) SELECT CASE WHEN domain IS NULL THEN 'rest' ELSE t END AS kind, domain, count(*) AS n FROM y GROUP BY 1, 2",
     "question_loader": f"WITH x AS (SELECT id, 0 AS k, nullif({strip_sql('variation')}, '') AS q FROM t05_final UNION ALL SELECT id, 1, nullif({strip_sql('seed_question')}, '') FROM t05_final) SELECT id, q AS question FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id, k) AS r FROM x WHERE q IS NOT NULL) WHERE r = 1",
-    "doc_scan": "SELECT doc_key, substring(text, 1, 60) AS text FROM documents WHERE length(text) >= 200",
+    "doc_scan": "SELECT doc_key, substring(text, 1, 7000) AS text FROM documents WHERE length(text) >= 200",
     "doc_quota": "SELECT doc_id, source, source || '_' || doc_id AS key FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL AND length(text) >= 3000) WHERE r <= 5",
     "sections_until": "WITH p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS l FROM documents)), c AS (SELECT doc_id, s, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT doc_id, CAST(count(*) AS INT) AS parts, CAST(sum(length(s)) AS INT) AS chars FROM c WHERE b <= 1500 GROUP BY doc_id",
     "provenance_last": with_(_PROV) + "SELECT doc_id, url, editor, license FROM prov",

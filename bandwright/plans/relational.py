@@ -10,6 +10,7 @@ from bandwright.functions.text import strip
 from bandwright.operators import freeze, ledger, validate, windows
 from bandwright.plans.base import PAIRS, TAXONOMY, pairs, strip_sql, with_
 from bandwright.session import load
+from bandwright.sources import reports
 
 SAMPLE = 5000
 
@@ -26,9 +27,7 @@ def axis_weakest(spark: SparkSession, d: str) -> DataFrame:
 def composition_report(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for c in ("axis", "axis_group", "expected_label", "domain", "lang"):
-        counts = pairs(spark, d).groupBy(F.coalesce(c, F.lit("?")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        line = counts.agg(F.concat_ws("  ", F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: F.concat_ws(":", x["k"], x["n"].cast("string")))).alias("report"))
-        line = line.select(F.lit(c).alias("field"), "report")
+        line = reports.distribution(pairs(spark, d), c).select(F.lit(c).alias("field"), "report")
         out = line if out is None else out.unionByName(line)
     return out
 
@@ -248,7 +247,7 @@ _SEEDS = f"s AS (SELECT *, {_DOMAIN('seed_id')} AS dom FROM t02_seeds)"
 
 
 def _first_missing(fields: list[str]) -> str:
-    return "coalesce(" + ", ".join(f"CASE WHEN {f} IS NULL OR {f} = '' THEN 'missing {f}' END" for f in fields) + ")"
+    return "coalesce(" + ", ".join(f"CASE WHEN {f} IS NULL OR {f} = '' THEN '{f} is absent or empty' END" for f in fields) + ")"
 
 
 def _report(table: str, fields: list[str], checks: list[tuple[str, str]]) -> str:
@@ -291,12 +290,12 @@ SELECT seed_id || '_' || axis || '_v' || row_number() OVER (PARTITION BY seed_id
     "batch_assign": "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 60) AS BIGINT) AS batch FROM t05_final",
     "line_slice": "SELECT id, axis FROM (SELECT id, axis, row_number() OVER (ORDER BY id) AS r FROM t05_final) WHERE r BETWEEN 101 AND 340",
     "contract_deviation": f"WITH {TAXONOMY}, s AS (SELECT DISTINCT seed_id FROM t05_final), c AS (SELECT seed_id, axis, count(*) AS n FROM t05_final GROUP BY ALL) SELECT s.seed_id, t.axis, t.expected, coalesce(c.n, 0) AS actual FROM s CROSS JOIN tax t LEFT JOIN c ON s.seed_id = c.seed_id AND t.axis = c.axis WHERE coalesce(c.n, 0) <> t.expected",
-    "validate_seeds": _report("t02_seeds", ["seed_id", "domain", "question", "answer"], [("NOT regexp_full_match(seed_id, 'd[1-5]_s[0-9]{4,}')", "bad seed_id"), ("domain NOT IN (" + ", ".join(f"'{n}'" for _, n in DOMAINS) + ")", "unknown domain")]),
+    "validate_seeds": _report("t02_seeds", ["seed_id", "domain", "question", "answer"], [("NOT regexp_full_match(seed_id, 'd[1-5]_s[0-9]{4,}')", "seed_id has another form"), ("domain NOT IN (" + ", ".join(f"'{n}'" for _, n in DOMAINS) + ")", "domain is not one of the five")]),
     "validate_variations": _report("t03_variations", ["id", "seed_id", "variation", "axis", "axis_group", "expected_label", "generator_model", "batch_id"], [
-        ("NOT regexp_full_match(id, 'd[1-5]_s[0-9]{4,}_(P[1-3]|N[1-6])_v[0-9]+')", "bad id"), (f"NOT {_KNOWN}", "unknown axis"),
-        ("EXISTS (SELECT 1 FROM tax t WHERE t.axis = g.axis AND t.axis_group <> g.axis_group)", "axis_group inconsistent"), ("EXISTS (SELECT 1 FROM tax t WHERE t.axis = g.axis AND t.label <> g.expected_label)", "expected_label inconsistent"),
-        (f"{_KNOWN} AND starts_with(axis, 'N') AND coalesce(delta, '') = ''", "missing delta")]),
-    "validate_judgments": _report("t04a_judgments_b1", ["id", "judge_model", "batch_id"], [("axis_ok IS NULL", "axis_ok must be boolean"), ("NOT coalesce(conf BETWEEN 0 AND 1, false)", "conf must be in [0,1]")]),
+        ("NOT regexp_full_match(id, 'd[1-5]_s[0-9]{4,}_(P[1-3]|N[1-6])_v[0-9]+')", "id has another form"), (f"NOT {_KNOWN}", "axis is not in the taxonomy"),
+        ("EXISTS (SELECT 1 FROM tax t WHERE t.axis = g.axis AND t.axis_group <> g.axis_group)", "axis_group is another axis'' group"), ("EXISTS (SELECT 1 FROM tax t WHERE t.axis = g.axis AND t.label <> g.expected_label)", "expected_label is not the axis'' label"),
+        (f"{_KNOWN} AND starts_with(axis, 'N') AND coalesce(delta, '') = ''", "a change axis needs a delta")]),
+    "validate_judgments": _report("t04a_judgments_b1", ["id", "judge_model", "batch_id"], [("axis_ok IS NULL", "no verdict"), ("NOT coalesce(conf BETWEEN 0 AND 1, false)", "confidence outside 0 to 1")]),
     "quality_gates": with_(PAIRS, "c AS (SELECT axis, count(*) AS n FROM pairs GROUP BY axis)", "g AS (SELECT 'compliance t04a_judgments_b1' AS gate, avg(CAST(axis_ok AS INT)) AS v, 0.8e0 AS need FROM t04a_judgments_b1 UNION ALL SELECT 'compliance t04b_judgments_b2', avg(CAST(axis_ok AS INT)), 0.8e0 FROM t04b_judgments_b2 UNION ALL SELECT 'weakest axis', min(n) / CAST(sum(n) AS DOUBLE), 0.08e0 FROM c)") + "SELECT gate, round(v, 6) AS value, v >= need AS ok FROM g",
     "judged_both": "SELECT id FROM t04a_judgments_b1 INTERSECT SELECT id FROM t04b_judgments_b2",
     "judged_once": "(SELECT id, 'a' AS side FROM (SELECT id FROM t04a_judgments_b1 EXCEPT SELECT id FROM t04b_judgments_b2)) UNION ALL (SELECT id, 'b' FROM (SELECT id FROM t04b_judgments_b2 EXCEPT SELECT id FROM t04a_judgments_b1))",

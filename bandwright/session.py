@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,44 @@ def versions(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str):
+    """Holds ``path``/lock, which only one writer can make; RuntimeError if another has it."""
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+    _, lock = _path(spark, f"{path}/lock")
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"another writer holds {path}")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def newest(spark: SparkSession, path: str) -> str | None:
+    """The last version that ``publish`` put in place."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    done = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return f"{path}/v{done[-1]}" if done else None
+
+
+def publish(spark: SparkSession, path: str, write) -> str:
+    """A new version of ``path``: ``write`` fills a folder beside it, which a rename puts in place; the version before the last goes."""
+    last = newest(spark, path)
+    n = int(last.rsplit("/v", 1)[1]) + 1 if last else 0
+    beside, to = f"{path}/next-{uuid.uuid4().hex}", f"{path}/v{n}"
+    write(beside)
+    fs, p = _path(spark, beside)
+    if not fs.rename(p, _path(spark, to)[1]):
+        raise RuntimeError(f"{to} could not be put in place")
+    if n > 1:
+        remove(spark, f"{path}/v{n - 2}")
+    return to
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -89,6 +128,11 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing is at yet, removed when the driver ends."""
+    return f"{_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: the lineage ends here and lost executors lose nothing.
 

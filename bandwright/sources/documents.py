@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.text import strip
-from bandwright.operators.windows import first_wins, last_wins
+from bandwright.operators.windows import first_wins, last_wins, number_rows
 
 #: Elements whose content is no text of the page; fixed values.
 DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
@@ -17,11 +21,16 @@ DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 ARTICLE = r"(?m)^(?=Điều \d+\.)"
 
 
+def scan(rows: DataFrame, least: int, most: int, n: int | None = None) -> DataFrame:
+    """(name, text) in order of name: texts of at least ``least`` characters, cut at ``most``, the first ``n``."""
+    kept = rows.select("name", "text").filter(F.length("text") >= least).withColumn("text", F.substring("text", 1, most)).orderBy("name")
+    return kept if n is None else kept.limit(n)
+
+
 def read_folder(spark: SparkSession, path: str, least: int, most: int, n: int | None = None) -> DataFrame:
-    """(name, text) of the files of a folder in order of name: texts of at least ``least`` characters, cut at ``most``, the first ``n``."""
+    """``scan`` of the files of a folder."""
     rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    kept = rows.filter(F.length("text") >= least).withColumn("text", F.substring("text", 1, most)).orderBy("name")
-    return kept if n is None else kept.limit(n)
+    return scan(rows, least, most, n)
 
 
 def quota(rows: DataFrame, source: str, order: str, n: int, sources: int = 2, text: str = "text", least: int = 3000) -> DataFrame:
@@ -50,10 +59,30 @@ def until(parts: Column, most: int) -> Column:
 
 
 def explode_archive(rows: DataFrame, entries: str, position: str) -> DataFrame:
-    """(key, value, n) of map columns of several files: the later file's value of a key wins; keys are numbered in order."""
+    """(key, value, n) of map columns of several files: the later file's value of a key wins; keys are numbered in order, from 1."""
     each = rows.select(F.col(position).alias("__at"), F.explode(entries).alias("key", "value"))
     last = last_wins(each, ["key"], "__at").drop("__at")
-    return last.withColumn("n", F.row_number().over(Window.orderBy("key")))
+    return number_rows(last, [F.col("key")], "n").withColumn("n", (F.col("n") + 1).cast("int"))
+
+
+def read_archive(spark: SparkSession, path: str, value: str, suffix: str = ".json") -> DataFrame:
+    """(archive, file, entries map<string, value>) of the JSON objects in tar archives, compressed or not; members that aren't JSON objects are skipped.
+
+    A task reads one archive at a time and gives on a member at a time.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content.as_buffer()), mode="r:*") as archive:
+                    for m in archive:
+                        if m.isfile() and m.name.endswith(suffix):
+                            text = archive.extractfile(m).read().decode("utf-8", "replace")
+                            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (name, m.name, text)], names=["archive", "file", "text"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("archive"), "content")
+    texts = files.mapInArrow(members, "archive string, file string, text string")
+    return texts.select("archive", "file", F.from_json("text", f"map<string,{value}>").alias("entries")).filter("entries IS NOT NULL")
 
 
 class _Text(HTMLParser):
@@ -112,10 +141,24 @@ def questions(rows: DataFrame, position: str, columns: tuple[str, ...] = ("quest
     return first_wins(each, ["question"], [F.col("position"), F.col("k")]).select("position", "question")
 
 
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """``questions`` of a file whose lines are JSON records or plain questions; a broken record is skipped."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), strip(F.col("value")).alias("value")).filter("value <> ''")
+    record = F.from_json("value", "question string, q1 string, text string, variation string, q2 string")
+    plain = ~F.startswith(F.col("value"), F.lit("{"))
+    rows = lines.withColumn("r", record).select("line", F.when(plain, F.col("value")).otherwise(F.col("r.question")).alias("question"), "r.q1", "r.text", "r.variation", "r.q2")
+    return questions(rows, "line")
+
+
+def numbered(files: DataFrame, license_: str) -> DataFrame:
+    """(n, file, license, retrieved) of (path, retrieved), numbered from 1 in order of path."""
+    rows = number_rows(files.select("path", "retrieved"), [F.col("path")], "n")
+    return rows.select((F.col("n") + 1).cast("int").alias("n"), F.substring_index("path", "/", -1).alias("file"), F.lit(license_).alias("license"), "retrieved")
+
+
 def provenance(spark: SparkSession, path: str, license_: str) -> DataFrame:
-    """(n, file, license, retrieved): the files of a folder, numbered in order of path."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("retrieved"))
-    return files.select(F.row_number().over(Window.orderBy("path")).alias("n"), F.substring_index("path", "/", -1).alias("file"), F.lit(license_).alias("license"), "retrieved")
+    """``numbered`` files of a folder."""
+    return numbered(spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("retrieved")), license_)
 
 
 def read_sheet(spark: SparkSession, path: str, key: str, label: str, allowed: tuple[str, ...]) -> DataFrame:

@@ -287,10 +287,10 @@ def test_validators(spark):
         "id string, seed_id string, variation string, axis string, axis_group string, expected_label string, delta string, generator_model string, batch_id string",
     )
     got = {(r.id, r.problem) for r in validate.problems(v, validate.variations(), ["id"]).collect()}
-    assert got == {("d1_s0001_N1_v1", "missing delta"), ("bad", "bad id"), ("bad", "unknown axis"), ("d1_s0001_P1_v1", "missing variation")}
+    assert got == {("d1_s0001_N1_v1", "a change axis needs a delta"), ("bad", "id has another form"), ("bad", "axis is not in the taxonomy"), ("d1_s0001_P1_v1", "variation is absent or empty")}
     r = spark.createDataFrame([("1", "I", "P1", "en", " a", "a ", "HIT"), ("2", "IV", "P1", "en", "a", "b", "HIT"), ("3", "II", "P1", "fr", "a", "b", "HIT"), (None, "I", "P1", "en", "a", "b", "HIT")], "pair_id string, group string, axis string, lang string, q1 string, q2 string, expected string")
     got = Counter((x.pair_id, x.problem) for x in validate.problems(r, validate.risk_pairs(), ["pair_id"]).collect())
-    assert got == Counter([("1", "q1 == q2"), ("2", "group must be I/II/III"), ("3", "axis not in group"), ("3", "expected inconsistent"), ("3", "lang must be en|vi"), (None, "missing pair_id")])
+    assert got == Counter([("1", "both questions are the same"), ("2", "group is not a Roman one to three"), ("3", "axis lies in another group"), ("3", "expected is not the group's label"), ("3", "language is neither en nor vi"), (None, "pair_id is absent or empty")])
     with pytest.raises(ValueError):
         validate.require(v, 4, "variations")
     assert validate.require(v, 3, "variations").count() == 3

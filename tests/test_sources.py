@@ -106,3 +106,63 @@ def test_reports_and_encoders(spark):
 def test_cut_keeps_clashing_names(spark):
     df = spark.range(3).selectExpr("id AS a", "id AS A", "id + 1 AS b").toDF("a", "a", "b")
     assert cut(df).columns == ["a", "a", "b"] and sorted(r[2] for r in cut(df).collect()) == [1, 2, 3]
+
+
+def test_archives_and_mixed_questions(spark, tmp_path):
+    import io
+    import json
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, content in (("1.json", {"k": "first", "x": "only"}), ("2.json", {"k": "later"}), ("3.txt", {"k": "no"}), ("4.json", [1])):
+            data = json.dumps(content).encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    got = documents.explode_archive(documents.read_archive(spark, str(tmp_path / "a.tar.gz"), "string"), "entries", "file").collect()
+    assert sorted((r.key, r.value, r.n) for r in got) == [("k", "later", 1), ("x", "only", 2)]
+    (tmp_path / "q.jsonl").write_text('{"q1": "one", "q2": "two"}\nplain question\n\n{"variation": "one"}\n{"broken\n{"question": "", "text": " three "}\n', encoding="utf-8")
+    assert sorted(r.question for r in documents.read_questions(spark, str(tmp_path / "q.jsonl")).collect()) == ["one", "plain question", "three", "two"]
+    (tmp_path / "m.yaml").write_text("models:\n  - {name: a, dim: 3}\n  - {name: b, dim: 4}\n")
+    assert sorted(tuple(r) for r in documents.read_dimension(spark, str(tmp_path / "m.yaml"), "models").collect()) == [("a", 3), ("b", 4)]
+
+
+def test_raters_must_have_equal_sets(spark):
+    from bandwright.operators import agreement
+
+    pairs = spark.createDataFrame([("g1",), ("g2",)], "gid string")
+    sheet = lambda *ids: spark.createDataFrame([(i, "SAME") for i in ids], "gid string, label string")
+    got = agreement.joined_raters(pairs, {"a": sheet("g1", "g2"), "b": sheet("g2", "g1")}).collect()
+    assert sorted(tuple(r) for r in got) == [("g1", "SAME", "SAME"), ("g2", "SAME", "SAME")]
+    with pytest.raises(ValueError):
+        agreement.joined_raters(pairs, {"a": sheet("g1", "g2"), "b": sheet("g2")})
+
+
+def test_ledger_is_replaced_as_a_whole(spark, tmp_path):
+    from bandwright.operators import ledger
+    from bandwright.session import locked
+
+    rows, path = spark.createDataFrame([("s", "b1", "pending")], "stage string, batch_id string, status string"), str(tmp_path / "ledger")
+    assert ledger.read(spark, path, rows.schema).isEmpty()
+    for _ in range(3):
+        ledger.save(rows, path)
+    assert sorted(p.name for p in (tmp_path / "ledger").iterdir() if not p.name.startswith(".")) == ["v1", "v2"]
+    with locked(spark, path), pytest.raises(RuntimeError):
+        ledger.save(rows, path)
+    ledger.save(ledger.read(spark, path, rows.schema).unionByName(rows), path)
+    assert ledger.read(spark, path, rows.schema).count() == 2
+    import datetime
+
+    at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
+    events = [("s", "b1", at(m), x) for m, x in enumerate(("done", "running", "failed", "done", "running", "done", "running"))]
+    got = ledger.advance(rows, spark.createDataFrame(events, "stage string, batch_id string, at timestamp, status string")).first()
+    assert (got.status, got.moves, got.refused) == ("done", 4, 3)
+
+
+def test_capped_sample_and_continued_numbers(spark):
+    from bandwright.operators import windows
+
+    rows = spark.createDataFrame([(f"k{i}", "ab"[i % 2]) for i in range(20)] + [("n", None)], "k string, g string")
+    assert windows.capped_sample(rows, "k", 50).count() == 21 and windows.capped_sample(rows, "k", 5).count() == 5
+    got = windows.continued(rows, rows.filter("g = 'a'"), "g", ["k"], "n").collect()
+    assert sorted(r.n for r in got if r.g == "a") == list(range(11, 21)) and sorted(r.n for r in got if r.g == "b") == list(range(1, 11)) and [r.n for r in got if r.g is None] == [1]
