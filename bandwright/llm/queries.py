@@ -162,7 +162,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     documents = load(spark, d, "documents")
-    return spans.coverage(spans.Shared(documents).stretches(), documents).withColumnRenamed("id", "doc_id")
+    shared = spans.coverage(spans.parse(spans.Shared(documents).matches()), documents)
+    return shared.select(F.col("id").alias("doc_id"), "chars", "shared_chars", F.round("share", 6).alias("share"))
 
 
 QUERIES = {
@@ -212,7 +213,16 @@ reach AS (SELECT doc_id AS s, doc_id AS x FROM start UNION SELECT r.s, n.y FROM
 tied AS (SELECT o.seed_id, min(p.seed_id) AS first FROM own o JOIN reach r ON r.s = o.doc_id JOIN own p ON p.doc_id = r.x GROUP BY o.seed_id)
 """
 
+_STRETCHES = f"""
+WITH g AS (SELECT doc_id, i, md5(substring(text, i, {spans.LENGTH})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {spans.LENGTH - 2})) AS i FROM documents WHERE length(text) >= {spans.LENGTH})),
+k AS (SELECT h, doc_id FROM g GROUP BY ALL), s AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1)
+"""
+
 ORACLES = {
+    "p10_found": _STRETCHES + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id WHERE a.h IN (SELECT h FROM s)",
+    "p10_shared": _STRETCHES + f""", c AS (SELECT doc_id, least({spans.LENGTH}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {spans.LENGTH})) AS n FROM g WHERE h IN (SELECT h FROM s)),
+t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS chars, CAST(coalesce(t.n, 0) AS BIGINT) AS shared_chars, round(coalesce(t.n, 0) / nullif(CAST(length(coalesce(text, '')) AS DOUBLE), 0), 6) AS share FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
     "p1_found": _BEST + "SELECT seed_id, axis, id FROM ranked WHERE r <= 2",
     "p1_scores": _BEST + "SELECT seed_id, axis, id, conf FROM ranked WHERE r <= 2",
     "p2_found": _CELLS + "SELECT plan_id, cell_id FROM n WHERE n < target_share * sample_size OR n < min_rows",

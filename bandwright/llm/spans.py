@@ -2,14 +2,15 @@
 
 Every record is a reference for every other. Records are indexed by blocks: BLOCK-grams whose hash is the least in some
 window of ``length`` - BLOCK + 1 grams, so any stretch of ``length`` characters has at least one block, and two records
-that share the stretch have the same one there. A record is factored against each reference block it has in common with
-another record: the factor is the longest exact match from the block to the right, and at its left boundary it is
-checked how far the match goes back, so a stretch that begins inside another factor isn't lost. Factors of ``length`` or
-more are shared stretches. Only the ``length`` - BLOCK characters on either side of a block matter to decide this, so
-only these travel, and equal surroundings are one class however many records have them. Classes are compared character
-for character; where more than CROWD classes share a block, every ``length``-gram over the block is a class of its own,
-and equal grams are met by a grouping instead of by comparing pairs. Sets of records that several blocks give are expanded to
-pairs once.
+that share the stretch have the same one there. Against each reference block that another record has too, the match is taken
+to the right and, as the left boundary is checked, to the left. Only the ``length`` - BLOCK characters on either side
+of a block matter to decide whether a stretch of ``length`` is there, so only these travel, and equal surroundings
+are one class however many records have them. Classes are compared character for character; where more than CROWD
+classes share a block, every ``length``-gram over the block is a class of its own, and equal grams are met by a grouping
+instead of by comparing pairs. A record is then parsed from left to right: from where it stands, the match that reaches
+furthest is its next factor, and it goes on from that factor's end; a match that begins inside the factor before is checked back, so
+nothing is lost at a border. A greedy parse alone keeps one source per position; which records share a stretch needs all, so
+the operator's output is sets of records with the same stretch and links between sets, and only ``pairs`` expands them.
 
 Cases: null texts and texts shorter than ``length`` share nothing; equal texts of at least ``length`` characters share
 all; a stretch repeated within one record only isn't shared; characters are code points, compared without any
@@ -33,6 +34,8 @@ from bandwright.session import cut
 LENGTH = 200
 BLOCK = 80
 CROWD = 64
+#: Records of a set that meet those of another at once.
+PART = 1024
 PIECE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -226,34 +229,89 @@ class Shared:
         return cut(members), links
 
     def pairs(self) -> DataFrame:
-        """(a, b): pairs of records that share a stretch."""
+        """(a, b): pairs of records that share a stretch.
+
+        Sets are cut into parts of some PART records, and each two parts of linked sets (and of a set itself) meet apart, so a set with a
+        third of all records is spread over many tasks.
+        """
         members, links = self.sets()
-        left, right = members.filter("n > 1").select("set", F.col("id").alias("a")), members.filter("n > 1").select("set", F.col("id").alias("b"))
-        within = left.join(right, "set").filter("a < b").select("a", "b")
-        one, other = members.select(F.col("set").alias("one_set"), F.col("id").alias("x")), members.select(F.col("set").alias("other_set"), F.col("id").alias("y"))
-        between = links.join(one, "one_set").join(other, "other_set").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return within.unionByName(between).distinct()
-
-    def stretches(self) -> DataFrame:
-        """(id, lo, hi): stretches of records, end exclusive, that stand in another record too; they may overlap."""
+        sized = members.filter("n > 1").select("set", "n").distinct()
+        linked = links.unionByName(sized.select(F.col("set").alias("one_set"), F.col("set").alias("other_set")))
+        parts = members.select("set", F.ceil(F.col("n") / PART).cast("int").alias("parts")).distinct()
+        of = lambda c: parts.select(F.col("set").alias(f"{c}_set"), F.col("parts").alias(f"{c}_parts"))
+        each = linked.join(of("one"), "one_set").join(of("other"), "other_set")
+        for c in ("one", "other"):
+            each = each.withColumn(f"{c}_part", F.explode(F.sequence(F.lit(0), F.col(f"{c}_parts") - 1)))
+        each = each.filter("one_set <> other_set OR one_part <= other_part").select("one_set", "one_part", "other_set", "other_part").distinct()
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int")
+        rows = cut(members.select("set", part.alias("part"), "id"))
+        side = lambda c, x: rows.select(F.col("set").alias(f"{c}_set"), F.col("part").alias(f"{c}_part"), F.col("id").alias(x))
+        both = each.join(side("one", "x"), ["one_set", "one_part"]).join(side("other", "y"), ["other_set", "other_part"])
+        inside = (F.col("one_set") == F.col("other_set")) & (F.col("one_part") == F.col("other_part"))
+        both = both.filter((F.col("x") < F.col("y")) | (~inside & (F.col("x") > F.col("y"))))
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def matches(self) -> DataFrame:
+        """(id, lo, hi): stretches of records, end exclusive, that stand in another record too; of those with one beginning the longest.
+
+        What a class shares is counted from its block and made once; its records look it up, with heavy classes apart.
+        """
         length = self.length
-        owners = self.places.groupBy("cls").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        both = cut(self.links.select(F.col("one").alias("cls"), F.col("other").alias("with"), "back", "forth").unionByName(self.links.select(F.col("other").alias("cls"), F.col("one").alias("with"), "back", "forth")))
-        rival = both.join(owners.withColumnRenamed("cls", "with"), "with").select("cls", "back", "forth", "a", "b")
-        linked = self.places.join(rival, "cls").filter("a <> id OR b <> id").select("id", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") + F.col("forth")).alias("hi"))
-        same = self.places.join(owners.filter("a < b").select("cls"), "cls", "left_semi")
-        equal = same.select("id", (F.col("pos") - F.col("off")).alias("lo"), (F.col("pos") - F.col("off") + F.col("size")).alias("hi"))
-        grams = self.crowded.join(owners, "cls").groupBy("gram").agg(F.min("a").alias("ga"), F.max("b").alias("gb")).filter("ga < gb").select("gram")
-        crowd = self.places.join(self.crowded.join(grams, "gram", "left_semi").select("cls", "s"), "cls")
-        crowd = crowd.select("id", (F.col("pos") - F.col("off") + F.col("s")).alias("lo"), (F.col("pos") - F.col("off") + F.col("s") + length).alias("hi"))
-        return linked.unionByName(equal).unionByName(crowd).distinct()
-
-
-def coverage(stretches: DataFrame, records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        owners = cut(self.places.groupBy("cls").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("w"), F.first("off").alias("off"), F.first("size").alias("size")))
+        both = self.links.select(F.col("one").alias("cls"), F.col("other").alias("with"), "back", "forth").unionByName(self.links.select(F.col("other").alias("cls"), F.col("one").alias("with"), "back", "forth"))
+        rival = both.join(owners.select(F.col("cls").alias("with"), "a", "b"), "with").groupBy("cls", (-F.col("back")).alias("lo"), F.col("forth").alias("hi")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        equal = owners.filter("a < b").select("cls", (-F.col("off")).alias("lo"), (F.col("size") - F.col("off")).alias("hi"), "a", "b")
+        grams = self.crowded.join(owners.select("cls", "a", "b"), "cls")
+        shared = grams.groupBy("gram").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("w")).filter("a < b")
+        crowd = lookup_join(cut(grams.select("cls", "gram", (F.col("s") - F.col("off")).alias("lo"))), cut(shared), "gram", "w", self.crowded.count())
+        crowd = crowd.select("cls", "lo", (F.col("lo") + length).alias("hi"), "a", "b")
+        spans = rival.unionByName(equal).unionByName(crowd).groupBy("cls").agg(F.collect_list(F.struct("lo", "hi", "a", "b")).alias("spans"))  # at most CROWD, or a gram for each beginning
+        total = owners.agg(F.sum("w")).first()[0] or 0
+        met = lookup_join(self.places.select("cls", "id", "pos"), cut(spans.join(owners.select("cls", "w"), "cls")), "cls", "w", total)
+        each = met.select("id", "pos", F.inline("spans")).filter("a <> id OR b <> id")
+        return each.groupBy("id", (F.col("pos") + F.col("lo")).alias("lo")).agg(F.max(F.col("pos") + F.col("hi")).alias("hi"))
+
+
+def parse(matches: DataFrame) -> DataFrame:
+    """(id, lo, hi, new): the factors of each record, from left to right; ``new`` is how many of its characters the factor before doesn't have.
+
+    From where the record stands, the match that reaches furthest is next; if none goes on from there, the next one to begin is.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, end, best = None, 0, None  # record, where its last factor ends, and the match that reaches furthest from there
+
+        def batch_of(found):
+            cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "lo", "hi", "new"])
+
+        for batch in batches:
+            found = []
+
+            def take():
+                nonlocal end, best
+                if best is not None:
+                    found.append((at, *best, best[1] - max(end, best[0])))
+                    end, best = best[1], None
+
+            for i, lo, hi in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if i != at:
+                    take()
+                    at, end = i, 0
+                if best is not None and lo > end and (best[0] <= end or lo > best[0]):
+                    take()
+                if hi > end and (best is None or hi > best[1]):
+                    best = (lo, hi)
+            yield batch_of(found)
+        if best is not None:
+            yield batch_of([(at, *best, best[1] - max(end, best[0]))])
+
+    return matches.select("id", "lo", "hi").repartition("id").sortWithinPartitions("id", "lo").mapInArrow(scan, "id bigint, lo bigint, hi bigint, new bigint")
+
+
+def coverage(factors: DataFrame, records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chars, shared_chars, share) of every record; the share of an empty text is null."""
-    w = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    new = stretches.withColumn("reach", F.max("hi").over(w)).select("id", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce("reach", "lo"))).alias("n"))
-    sums = new.groupBy("id").agg(F.sum("n").alias("shared_chars"))
+    sums = factors.groupBy("id").agg(F.sum("new").alias("shared_chars"))
     all_ = records.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(F.coalesce(F.length(text_col), F.lit(0))).cast("bigint").alias("chars"))
     joined = all_.join(sums, "id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     return joined.select("id", "chars", "shared_chars", F.try_divide("shared_chars", "chars").alias("share"))

@@ -51,7 +51,7 @@ def test_against_brute_force(spark, crowd):
         df = spark.createDataFrame(data, SCHEMA)
         shared = spans.Shared(df, length=L, block=B, crowd=crowd)
         assert {(r.a, r.b) for r in shared.pairs().collect()} == pairs
-        got = {r.id: r for r in spans.coverage(shared.stretches(), df).collect()}
+        got = {r.id: r for r in spans.coverage(spans.parse(shared.matches()), df).collect()}
         assert {i: r.shared_chars for i, r in got.items()} == cover
         assert all(r.chars == len(data[i][1] or "") for i, r in got.items())
 
@@ -74,8 +74,24 @@ def test_repeated_id_and_empty(spark):
     want, _ = brute([(5, min(text, other)), (6, other), (7, text[: L + 2])], L)
     assert {(r.a, r.b) for r in spans.Shared(both, length=L, block=B).pairs().collect()} == want
     assert spans.Shared(df.limit(0), length=L, block=B).pairs().count() == 0
-    assert spans.coverage(spans.Shared(df.limit(0), length=L, block=B).stretches(), df).count() == 1
+    assert spans.coverage(spans.parse(spans.Shared(df.limit(0), length=L, block=B).matches()), df).count() == 1
 
 
 def test_common():
     assert spans.common("abc", "abd") == 2 and spans.common("", "a") == 0 and spans.common("aa", "aaa") == 2 and spans.common("b", "a") == 0
+
+
+def test_parse_goes_on_from_the_end_of_a_factor(spark):
+    matches = [(1, 0, 50), (1, 10, 90), (1, 20, 70), (1, 80, 130), (1, 95, 135), (1, 300, 340), (2, 5, 45)]
+    got = sorted(tuple(r) for r in spans.parse(spark.createDataFrame(matches, "id bigint, lo bigint, hi bigint")).collect())
+    assert got == [(1, 0, 50, 50), (1, 10, 90, 40), (1, 80, 130, 40), (1, 95, 135, 5), (1, 300, 340, 40), (2, 5, 45, 40)]
+
+
+def test_large_sets_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PART", 3)
+    rng = random.Random(4)
+    note, other = words(rng, L + 20), words(rng, L + 5)
+    docs = [words(rng, rng.randrange(9)) + note for _ in range(15)] + [note + other] * 7 + [other + words(rng, 9) for _ in range(8)]
+    data = [(i, t, "k", 1) for i, t in enumerate(docs)]
+    got = [(r.a, r.b) for r in spans.Shared(spark.createDataFrame(data, SCHEMA), length=L, block=B).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data, L)[0]
