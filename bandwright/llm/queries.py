@@ -213,6 +213,11 @@ reach AS (SELECT doc_id AS s, doc_id AS x FROM start UNION SELECT r.s, n.y FROM
 tied AS (SELECT o.seed_id, min(p.seed_id) AS first FROM own o JOIN reach r ON r.s = o.doc_id JOIN own p ON p.doc_id = r.x GROUP BY o.seed_id)
 """
 
+_NEAREST = """
+WITH v AS (SELECT vec_id, CAST(vec AS DOUBLE[]) AS vec FROM pair_vectors WHERE vec IS NOT NULL AND list_sum(list_transform(vec, lambda x: x * x)) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM s WHERE sim >= 0.9)
+"""
 _STRETCHES = f"""
 WITH g AS (SELECT doc_id, i, md5(substring(text, i, {spans.LENGTH})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {spans.LENGTH - 2})) AS i FROM documents WHERE length(text) >= {spans.LENGTH})),
 k AS (SELECT h, doc_id FROM g GROUP BY ALL), s AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1)
@@ -234,11 +239,8 @@ SELECT d.doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS chars, CAST(coale
     "p5_sets": _TIED + """, n AS (SELECT seed_id, count(*) AS n FROM t05_final WHERE seed_id IS NOT NULL GROUP BY seed_id)
 SELECT coalesce(t.first, n.seed_id) AS seed_id, count(*) AS seeds, CAST(sum(n) AS BIGINT) AS records, CAST(1 AS BIGINT) AS splits FROM n LEFT JOIN tied t ON n.seed_id = t.seed_id GROUP BY 1""",
     "p5_shares": f"SELECT {_FOLD.format('domain')} AS domain, count(*) AS records, true AS near FROM t05_final GROUP BY 1",
-    "p6_found": """
-WITH v AS (SELECT vec_id, CAST(vec AS DOUBLE[]) AS vec FROM pair_vectors WHERE vec IS NOT NULL AND list_sum(list_transform(vec, lambda x: x * x)) > 0),
-s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM s WHERE sim >= 0.9)
-SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5""",
+    "p6_found": _NEAREST + "SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5",
+    "p6_neighbors": _NEAREST + "SELECT a AS vec_id, b AS other_vec_id, sim FROM r WHERE k <= 5",
     "p7_found": _VOTES + "SELECT id FROM votes GROUP BY id HAVING 2 * count(*) FILTER (WHERE NOT axis_ok) > count(*)",
     "p9_letters": f"""
 WITH n AS (SELECT {_FOLD.format("source")} AS s, sum(length(coalesce(text, ''))) AS n FROM documents GROUP BY 1)
