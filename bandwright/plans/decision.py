@@ -10,7 +10,7 @@ from bandwright.functions.taxonomy import TAUS, domain_of
 from bandwright.functions.text import acronym_slots, jaccard, length_gap, number_slots, slots_equal, word_set
 from bandwright.operators import bootstrap, decision
 from bandwright.operators.windows import folds, number_rows
-from bandwright.plans.base import SCORED, kept, pairs, r6, scored, with_
+from bandwright.plans.base import PAIRS, SCORED, kept, pairs, r6, scored, with_
 from bandwright.session import cut
 
 FOLDS = 5
@@ -117,6 +117,12 @@ def in_sample_metrics(spark: SparkSession, d: str) -> DataFrame:
     return decision.ratios(decision.seed_counts(p, (*decision.CONFIGS, "E")), ["config"]).select("config", *r6(*decision.RATIOS))
 
 
+def in_sample_configs(spark: SparkSession, d: str) -> DataFrame:
+    """in_sample_metrics without the learned configuration, which SQL can't fit."""
+    p = decision.configurations(verified(spark, d).withColumn("fold", F.lit(0)), tuned_on_all(spark, d))
+    return decision.ratios(decision.seed_counts(p), ["config"]).select("config", *r6(*decision.RATIOS))
+
+
 def _learned(predicted: DataFrame, k: int) -> DataFrame:
     """``predicted`` with the decision E: served where the logistic regression says so."""
     return decision.logistic(predicted, FEATURES, k).withColumn("E", F.coalesce(F.col("p") > 0.5, F.lit(False)))
@@ -184,12 +190,18 @@ def logistic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("axis_group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(served), 4).alias("served"))
 
 
+def logistic_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on all pairs, the probabilities add up to the hits, as the intercept isn't penalised."""
+    rows = decision.logistic(verified(spark, d).withColumn("fold", F.lit(0)), FEATURES, 1)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("bigint").alias("hits"), F.round(F.sum("p"), 0).cast("bigint").alias("expected"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         threshold_sweep, balanced_accuracy, best_tau, domain_tau, utility_tau_star, nearest_rho, slot_guard, pair_features, seed_folds, fold_parameters,
-        config_predictions, config_metrics, in_sample_metrics, seed_counts, c4_reduction, c_residual, band_oracle, verifier_in_band, split_half,
-        cluster_bootstrap, c4_bootstrap, logistic_pairs, learned_metrics,
+        config_predictions, config_metrics, in_sample_metrics, in_sample_configs, seed_counts, c4_reduction, c_residual, band_oracle, verifier_in_band, split_half,
+        cluster_bootstrap, c4_bootstrap, logistic_pairs, logistic_balance, learned_metrics,
     )
 }
 
@@ -265,6 +277,8 @@ round(coalesce(avg(CASE WHEN axis_group = 'slope' THEN CAST(sim > tau AS INT) EN
     "fold_parameters": with_(PARAMS) + "SELECT CAST(t.tune AS INT) AS fold, t.tau, round(c.tau, 6) AS t_ce, d.domain, d.tau AS domain_tau FROM tau t JOIN tce c ON t.tune = c.tune JOIN dtau d ON t.tune = d.tune",
     "config_predictions": with_(PREDICTED) + "SELECT id, in_band, A, B, C, C_fallback, D, adaptive FROM predicted",
     "config_metrics": with_(PREDICTED, _LONG, _COUNTS) + f"SELECT config, {_RATIOS} FROM counts GROUP BY config",
+    "in_sample_configs": with_(PREDICTED.replace("FROM verified v JOIN {0} k ON v.fold <> k.fold".format(_FS), "FROM verified v JOIN (SELECT 0 AS fold) k ON true").replace("v.fold = t.tune", "true").replace("v.fold = c.tune", "true").replace("v.fold = dt.tune", "true"), _LONG, _COUNTS) + f"SELECT config, {_RATIOS} FROM counts GROUP BY config",
+    "logistic_balance": with_(PAIRS) + "SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(hit) AS BIGINT) AS expected FROM pairs",
     "seed_counts": with_(PREDICTED, _LONG, _COUNTS) + "SELECT * FROM counts",
     "c_residual": with_(PREDICTED) + "SELECT axis_group, count(*) AS false_hits, count(*) FILTER (WHERE NOT in_band) AS outside, round(count(*) FILTER (WHERE NOT in_band) / CAST(count(*) AS DOUBLE), 6) AS share FROM predicted WHERE C AND hit = 0 GROUP BY axis_group",
     "c4_reduction": with_(PREDICTED, _LONG, _COUNTS, "r AS (SELECT config, sum(false_slope) / CAST(sum(slope) AS DOUBLE) AS s, sum(false_cliff) / CAST(sum(cliff) AS DOUBLE) AS c FROM counts GROUP BY config)",

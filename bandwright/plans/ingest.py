@@ -16,7 +16,7 @@ from bandwright.schemas import RAW_JUDGMENT
 from bandwright.sources import documents, salvage
 from bandwright.session import load
 
-SECTION = r"(?m)^(?=[A-Z][a-z]+ \d+$)"
+SECTION = r"(?md)^(?=[A-Z][a-z]+ \d+$)"
 
 
 def raw_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +176,10 @@ ORACLES = {
     "doc_scan": "SELECT doc_key, substring(text, 1, 7000) AS text FROM documents WHERE length(text) >= 200",
     "doc_quota": "SELECT doc_id, source, source || '_' || doc_id AS key FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL AND length(text) >= 3000) WHERE r <= 5",
     "sections_until": "WITH p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS l FROM documents)), c AS (SELECT doc_id, s, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT doc_id, CAST(count(*) AS INT) AS parts, CAST(sum(length(s)) AS INT) AS chars FROM c WHERE b <= 1500 GROUP BY doc_id",
+    "chunk_articles": rf"""WITH p AS (SELECT doc_id, title, string_split(regexp_replace(text, '(?m)^([A-Z][a-z]+ \d+)$', chr(1) || '\1', 'g'), chr(1)) AS l FROM documents),
+a AS (SELECT doc_id, title, list_filter(l, lambda y: regexp_matches(y, '(?m)^[A-Z][a-z]+ \d+$')) AS l FROM p), e AS (SELECT doc_id, title, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS y FROM a WHERE len(l) >= 2),
+c AS (SELECT doc_id, title, CAST(floor(i / 2) AS INT) AS chunk, string_agg(y, '' ORDER BY i) AS body FROM e GROUP BY ALL),
+t AS (SELECT doc_id, chunk, concat_ws(chr(10) || chr(10), title, {strip_sql('body')}) AS text FROM c) SELECT doc_id, chunk, CAST(length(text) AS INT) AS chars FROM t WHERE length(text) >= 300""",
     "provenance_last": with_(_PROV) + "SELECT doc_id, url, editor, license FROM prov",
     "provenance_index": with_(_PROV, "d AS (SELECT doc_key, string_split(doc_key, '_')[1] AS prefix FROM documents)") + "SELECT d.doc_key, prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY d.doc_key) AS INT) AS n, url FROM d LEFT JOIN prov ON d.doc_key = prov.doc_id",
     "table_digest": "SELECT axis, count(*) AS n, CAST(sum(CAST('0x' || substring(md5(id), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM t05_final WHERE axis IN ('P1', 'P2', 'P3', 'N1', 'N2', 'N3', 'N4', 'N5', 'N6') GROUP BY axis",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.text import acronym_slots, normalise_answer, number_slots, word_set
 from bandwright.operators import cachesim, windows
-from bandwright.plans.decision import tuned_on_all
-from bandwright.plans.base import kept, pairs, r6, with_
+from bandwright.plans.base import PAIRS, kept, pairs, r6, strip_sql, with_
+from bandwright.plans.decision import _ACR, _NUM, tuned_on_all
 from bandwright.session import cut, load
 from bandwright.streaming import events
 
@@ -147,6 +147,31 @@ def seed_confusion(spark: SparkSession, d: str) -> DataFrame:
     return cachesim.confusion(cachesim.classify(served, items))
 
 
+def served_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of what is served in three orders, at a threshold at which families mix and at one at which they don't."""
+    items = workload(spark, d)
+    served = cachesim.simulate(items, cachesim.settings(spark, [CONFUSING, 0.85], ORDERS))
+    return cachesim.serve_counts(cachesim.classify(served, items)).drop("rule", "policy", "capacity", "alpha")
+
+
+def served_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of families that are served each other's answers in three orders."""
+    items = workload(spark, d)
+    return cachesim.confusion(cachesim.classify(cachesim.simulate(items, cachesim.settings(spark, [CONFUSING], ORDERS)), items))
+
+
+def served_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Rates keyed by normalised answer text, in three orders."""
+    items = workload(spark, d).withColumn("key", F.coalesce("ans", "key"))
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [CONFUSING, 0.85], ORDERS)), items).drop("rule", "policy", "capacity", "alpha")
+
+
+def served_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of threshold alone and of threshold with equal slots, over the same three orders."""
+    items = workload(spark, d)
+    return _rates(cachesim.simulate(items, cachesim.settings(spark, [0.85], ORDERS, rules=["A", "D"])), items).drop("policy", "capacity", "alpha")
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events by type in tumbling hours."""
     return events.tumbling(load(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
@@ -172,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cache_sim, cache_sim_capacity, cache_sim_verified, order_sensitivity, index_keyed_sim, cache_sim_eviction, cache_sim_zipf, cache_sim_size, cache_sim_text, arch_rules, serve_classes,
-        answer_text_keys, seed_confusion, event_windows, event_sliding, event_sessions, event_gaps,
+        answer_text_keys, seed_confusion, served_classes, served_confusion, served_answers, served_rules, event_windows, event_sliding, event_sessions, event_gaps,
     )
 }
 
@@ -189,10 +214,13 @@ step AS (
 served AS (SELECT tau, o AS order_id, pos, s.item, s.stored, a.key AS own, coalesce(b.key, a.key) AS got FROM step s JOIN items a ON s.item = a.item LEFT JOIN items b ON s.stored = b.item WHERE pos >= 0)"""
 
 #: The same with what the cache does at a step left open: the state after it, and whether the entry is served.
-def _steps(grid: str, keep: str, serve: str, keys: str, orders: int = ORDERS) -> str:
+_EMBEDDED = "items AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS item, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS VARCHAR) AS key, '' AS slots FROM embeddings)"
+
+
+def _steps(grid: str, keep: str, serve: str, keys: str, orders: int = ORDERS, items: str = _EMBEDDED) -> str:
     k = keys.split(", ")
-    return f"""WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS item, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS VARCHAR) AS key FROM embeddings),
-m AS (SELECT list(x ORDER BY item) AS xs, list(key ORDER BY item) AS keys FROM items), g AS (SELECT {keys}, o FROM {grid} CROSS JOIN range(0, {orders}) r(o)),
+    return f"""WITH RECURSIVE {items},
+m AS (SELECT list(x ORDER BY item) AS xs, list(key ORDER BY item) AS keys, list(slots ORDER BY item) AS slots FROM items), g AS (SELECT {keys}, o FROM {grid} CROSS JOIN range(0, {orders}) r(o)),
 arr AS (SELECT o, item, x, row_number() OVER (PARTITION BY o ORDER BY substring(md5(o || ':' || item), 1, 15), item) - 1 AS pos FROM items CROSS JOIN range(0, {orders}) r(o)),
 step AS (
   SELECT {keys}, o, CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS st, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS stored FROM g
@@ -200,7 +228,7 @@ step AS (
   SELECT {keys}, o, pos, CASE WHEN yes THEN {keep} ELSE {{miss}} END, item, CASE WHEN yes THEN j END FROM (
     SELECT *, coalesce({serve}, false) AS yes FROM (
       SELECT *, list_max(sims) AS best, st[list_position(sims, list_max(sims))] AS j FROM (
-        SELECT {", ".join(f"s.{c}" for c in k)}, s.o, a.pos, s.st, a.item, m.keys, list_transform(s.st, lambda j: list_dot_product(a.x, m.xs[j + 1])) AS sims FROM step s JOIN arr a ON a.o = s.o AND a.pos = s.pos + 1, m))))
+        SELECT {", ".join(f"s.{c}" for c in k)}, s.o, a.pos, s.st, a.item, m.keys, m.slots, list_transform(s.st, lambda j: list_dot_product(a.x, m.xs[j + 1])) AS sims FROM step s JOIN arr a ON a.o = s.o AND a.pos = s.pos + 1, m))))
 SELECT {keys}, CAST(o AS INT) AS order_id, CAST(pos AS INT) AS pos, CAST(item AS INT) AS item, CAST(stored AS INT) AS stored FROM step WHERE pos >= 0"""
 
 
@@ -219,7 +247,42 @@ _TAU_GRID = f"(SELECT unnest([{', '.join(f'{t!r}e0' for t in TAUS)}]) AS tau)"
 _CAPS = "(VALUES " + ", ".join(f"('{p}', CAST({c} AS INT){{0}})" for p, c in CAPACITIES) + ") v(policy, capacity)"
 _USED, _ROOM = "CASE policy WHEN 'lru' THEN list_append(list_filter(st, lambda y: y <> j), j) ELSE st END", "list_append(CASE WHEN capacity > 0 AND len(st) >= capacity THEN st[2:] ELSE st END, item)"
 
+_ANS = strip_sql(rf"regexp_replace(regexp_replace(lower(answer), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s\p{{Z}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')")
+_SLOTS = "array_to_string(" + _NUM("text") + ", ',') || '|' || array_to_string(" + _ACR("text") + ", ',')"
+_WORKLOAD = f"""{PAIRS},
+v AS (SELECT * FROM pair_vectors WHERE list_sum(list_transform(vec, lambda y: abs(y))) > 0),
+asked AS (SELECT id, min(vec) AS vec FROM v WHERE field = 'variation' AND id IS NOT NULL GROUP BY id), asking AS (SELECT seed_id, min(vec) AS vec FROM v WHERE field = 'seed_question' AND seed_id IS NOT NULL GROUP BY seed_id),
+base AS (SELECT p.*, a.vec FROM pairs p JOIN asked a ON p.id = a.id WHERE p.seed_id IN (SELECT seed_id FROM asking)),
+size AS (SELECT seed_id, count(*) AS n FROM base GROUP BY seed_id), before AS (SELECT seed_id, coalesce(sum(n) OVER (ORDER BY substring(md5('family:' || seed_id), 1, 15) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM size),
+drawn AS (SELECT * FROM base WHERE seed_id IN (SELECT seed_id FROM before WHERE b < {WORKLOAD})),
+doc AS (SELECT seed_id, min(doc_id) AS doc FROM t02_seeds GROUP BY seed_id),
+rows AS (SELECT seed_id, id, coalesce(variation, '') AS text, vec, axis, CASE WHEN hit = 1 THEN 'HIT' ELSE 'MISS' END AS kind, CASE WHEN hit = 1 THEN {_ANS} END AS ans FROM drawn
+  UNION ALL SELECT d.seed_id, '', coalesce(seed_question, ''), a.vec, 'seed', 'seed', {_ANS} FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY id) AS r FROM drawn) d JOIN asking a ON d.seed_id = a.seed_id WHERE r = 1),
+items AS (SELECT row_number() OVER (ORDER BY r.seed_id, id) - 1 AS item, list_transform(vec, lambda y: CAST(y AS DOUBLE) / sqrt(list_sum(list_transform(vec, lambda z: CAST(z AS DOUBLE) * z)))) AS x, CASE WHEN kind = 'MISS' THEN id ELSE r.seed_id END AS key,
+  r.seed_id AS family, kind, axis, doc.doc, ans, {_SLOTS} AS slots FROM rows r LEFT JOIN doc ON r.seed_id = doc.seed_id)"""
+_LOW_HIGH = f"(SELECT unnest([{CONFUSING!r}e0, 0.85e0]) AS tau)"
+_CLASSED = """, out AS ({0}), c AS (SELECT t.tau, i.family AS fi, j.family AS fj, i.kind AS ki, j.kind AS kj, j.axis AS aj, i.doc IS NOT DISTINCT FROM j.doc AS doc, CASE WHEN i.key = j.key THEN 'right'
+  WHEN i.family = j.family THEN CASE WHEN i.kind = 'MISS' AND j.kind = 'MISS' THEN CASE WHEN i.axis = j.axis THEN 'miss_miss_same_axis' ELSE 'miss_miss_other_axis' END ELSE 'within_label' END
+  WHEN i.ans IS NULL OR j.ans IS NULL THEN 'cross_unverified' WHEN i.ans = j.ans THEN 'cross_verified_same' ELSE 'cross_verified_other' END AS class FROM out t JOIN items i ON t.item = i.item JOIN items j ON t.stored = j.item)
+"""
+
+
+def _classed(grid: str) -> str:
+    steps = _steps(grid, "st", "best > tau", "tau", ORDERS, _WORKLOAD).replace("{miss}", "list_append(st, item)")
+    at = steps.rindex("SELECT ")
+    return steps[:at] + _CLASSED.format(steps[at:])
+
+
+_SIZED = _steps(f"(SELECT DISTINCT least(n, (SELECT count(*) FROM embeddings)) AS items FROM (VALUES {', '.join(f'({n})' for n in SIZES)}) v(n))", "st", "best > 0.25e0", "items", SWEEP_ORDERS).replace("{miss}", "list_append(st, item)")
+_SIZED = _SIZED.replace("arr AS (SELECT o, item, x, row_number() OVER (PARTITION BY o ORDER", "arr AS (SELECT g.items AS of, g.o, item, x, row_number() OVER (PARTITION BY g.items, g.o ORDER").replace(f"substring(md5(o || ':' || item), 1, 15), item) - 1 AS pos FROM items CROSS JOIN range(0, {SWEEP_ORDERS}) r(o))", "substring(md5(g.o || ':' || item), 1, 15), item) - 1 AS pos FROM items JOIN g ON item < g.items)").replace("ON a.o = s.o AND a.pos", "ON a.of = s.items AND a.o = s.o AND a.pos")
+
 ORACLES = {
+    "cache_sim_size": _rates_sql(_SIZED, "items").replace("SELECT p.items,", "SELECT CAST(p.items AS INT) AS items, 0.25e0 AS tau,"),
+    "served_classes": _classed(_LOW_HIGH) + """SELECT tau, class, count(*) AS serves, count(*) FILTER (WHERE fi <> fj AND doc) AS same_doc, count(*) FILTER (WHERE kj = 'MISS') AS stored_miss,
+count(*) FILTER (WHERE kj = 'MISS' AND aj IN ('N1', 'N2')) AS stored_slope, count(*) FILTER (WHERE ki = 'seed' OR kj = 'seed') AS seed_involved FROM c GROUP BY tau, class""",
+    "served_confusion": _classed(f"(SELECT {CONFUSING!r}e0 AS tau)") + "SELECT least(fi, fj) AS seed_a, greatest(fi, fj) AS seed_b, count(*) AS n FROM c WHERE class = 'cross_verified_other' GROUP BY ALL",
+    "served_answers": _rates_sql(_steps(_LOW_HIGH, "st", "best > tau", "tau", ORDERS, _WORKLOAD).replace("{miss}", "list_append(st, item)"), "tau", "coalesce(i.ans, i.key)", "coalesce(j.ans, j.key)"),
+    "served_rules": _rates_sql(_steps("(VALUES ('A', 0.85e0), ('D', 0.85e0)) v(rule, tau)", "st", "best > tau AND (rule = 'A' OR slots[item + 1] = slots[j + 1])", "rule, tau", ORDERS, _WORKLOAD).replace("{miss}", "list_append(st, item)"), "rule, tau"),
     "cache_sim_capacity": _steps(_CAPS.format(""), _USED, "best > 0.25e0", "policy, capacity").replace("{miss}", _ROOM),
     "cache_sim_eviction": _rates_sql(_steps(_CAPS.format("").replace("(VALUES ", "(VALUES ('none', CAST(0 AS INT)), "), _USED, "best > 0.25e0", "policy, capacity", SWEEP_ORDERS).replace("{miss}", _ROOM), "policy, capacity").replace("SELECT p.policy, p.capacity,", "SELECT 0.25e0 AS tau, p.policy, p.capacity,"),
     "cache_sim_verified": _steps(_TAU_GRID, "st", "best > tau AND (keys[item + 1] = keys[j + 1]) <> (substring(md5('verify:' || item || ':' || j), 1, 1) = '0')", "tau").replace("{miss}", "list_append(st, item)"),

@@ -95,7 +95,17 @@ _R = "r AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY value) + (count(*
 _MR = "mr AS (SELECT encoder, avg(mr) AS m, row_number() OVER (ORDER BY avg(mr), encoder) AS pos FROM r GROUP BY encoder)"
 _GEN = _verified_io("domain, encoder", "SELECT v.domain, l.encoder, l.s AS sim, l.hit FROM long l JOIN verified v ON l.id = v.id WHERE v.domain IS NOT NULL")
 
+_CHI2 = "c2 AS (SELECT k, n, (12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / CAST(n * (k * k * k - k) AS DOUBLE)) AS x FROM k, s, c)"
+_TIES = ("k AS (SELECT count(DISTINCT encoder) AS k, count(DISTINCT block) AS n FROM t)", "s AS (SELECT sum(x * x) AS ss FROM (SELECT sum(mr) AS x FROM r GROUP BY encoder))", "c AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM t GROUP BY block, value))")
+#: The normal distribution function by a series of positive terms, x ** (2 n + 1) / (1 * 3 * ... * (2 n + 1)).
+_PHI = lambda x: f"(0.5 + CASE WHEN ({x}) = 0 THEN 0 ELSE sign({x}) * exp(-({x}) * ({x}) / 2.0) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda m: exp((2 * m + 1) * ln(abs({x})) - (m + 1) * ln(2.0) - lgamma(m + 1.5) + ln(pi()) / 2))) END)"
+
 ORACLES = {
+    "friedman_p": with_(_T, _R, *_TIES, _CHI2)
+    + "SELECT CAST(k AS INT) AS encoders, CAST(n AS INT) AS blocks, CAST(round(x, 6) AS DOUBLE) AS chi2, round(CASE WHEN x <= 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda m: exp(-x / 2 + ((k - 1) / 2.0 + m) * ln(x / 2) - lgamma((k - 1) / 2.0 + m + 1))))) END, 6) AS p FROM c2",
+    "nemenyi": with_(_T, _R, _MR, "k AS (SELECT count(DISTINCT encoder) AS k, count(DISTINCT block) AS n FROM t)", "g AS (SELECT a.encoder AS a, b.encoder AS b, abs(a.m - b.m) AS gap, abs(a.m - b.m) / sqrt(k * (k + 1) / (6.0 * n)) * sqrt(2.0) AS q, k FROM mr a JOIN mr b ON a.encoder < b.encoder, k)",
+        "x AS (SELECT i, -8.0e0 + i * 0.008e0 AS x FROM range(0, 2001) t(i))", f"f AS (SELECT x.i, x.x, {_PHI('x.x')} AS lo FROM x)", f"h AS (SELECT g.*, f.i, f.x, f.lo, {_PHI('f.x + g.q')} AS hi FROM g, f)")
+    + "SELECT a, b, CAST(round(any_value(gap), 6) AS DOUBLE) AS gap, round(least(1, greatest(0, 1 - sum(CASE WHEN i IN (0, 2000) THEN 0.5 ELSE 1.0 END * k * exp(-x * x / 2) / sqrt(2 * pi()) * pow(greatest(hi - lo, 0), k - 1) * 0.008e0))), 6) AS p FROM h GROUP BY a, b",
     "encoder_io": with_(_T) + "SELECT * FROM t",
     "mid_ranks": with_(_T, _R) + "SELECT encoder, CAST(round(avg(mr), 6) AS DOUBLE) AS mean_rank FROM r GROUP BY encoder",
     "friedman": with_(_T, _R, "k AS (SELECT count(DISTINCT encoder) AS k, count(DISTINCT block) AS n FROM t)", "s AS (SELECT sum(x * x) AS ss FROM (SELECT sum(mr) AS x FROM r GROUP BY encoder))", "c AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM t GROUP BY block, value))")
@@ -105,5 +115,9 @@ ORACLES = {
     "kendall_tau": with_(f"g AS (SELECT domain AS gm, encoder AS i, io AS v FROM ({_GEN}))", "b AS (SELECT x.gm AS a, y.gm AS b, x.i, x.v AS x, y.v AS y FROM g x JOIN g y ON x.i = y.i AND x.gm < y.gm)",
         "p AS (SELECT l.a, l.b, sign(l.x - r.x) AS sx, sign(l.y - r.y) AS sy FROM b l JOIN b r ON l.a = r.a AND l.b = r.b AND l.i < r.i)")
     + "SELECT a, b, CAST((1 + sqrt(1 + 8.0 * count(*))) / 2 AS INT) AS n, round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 6) AS tau FROM p GROUP BY a, b",
+    "kendall_p": with_(f"g AS (SELECT domain AS gm, encoder AS i, io AS v FROM ({_GEN}))", "b AS (SELECT x.gm AS a, y.gm AS b, x.i, x.v AS x, y.v AS y FROM g x JOIN g y ON x.i = y.i AND x.gm < y.gm)",
+        "p AS (SELECT l.a, l.b, sign(l.x - r.x) AS sx, sign(l.y - r.y) AS sy FROM b l JOIN b r ON l.a = r.a AND l.b = r.b AND l.i < r.i)", "t AS (SELECT a, b, (1 + sqrt(1 + 8.0 * count(*))) / 2 AS n, CAST(sum(sx * sy) AS DOUBLE) AS s, sqrt(sum(abs(sx)) * sum(abs(sy))) AS d FROM p GROUP BY a, b)",
+        "z AS (SELECT *, CASE WHEN n > 1 THEN abs(s) / sqrt(n * (n - 1) * (2 * n + 5) / 18) ELSE 0 END AS z FROM t)")
+    + f"SELECT a, b, round(s / d, 6) AS tau, round(2 * (1 - {_PHI('z')}), 6) AS p FROM z",
     "batch_durations": "WITH p AS (SELECT judge_model, batch_id, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM t04a_judgments_b1 WHERE batch_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL HAVING count(*) > 1) SELECT judge_model, count(*) AS batches, round_even(quantile_cont(us / 1000.0e0 / n, 0.5), 0) AS ms FROM p GROUP BY judge_model",
 }
