@@ -38,6 +38,39 @@ def test_filters_reach_the_scan(spark, data):
     assert "PushedFilters: [IsNotNull(axis), EqualTo(axis,P1)]" in p and "ReadSchema: struct<id:string,axis:string>" in p
 
 
+def windows_of(p: str) -> list[str]:
+    """What the windows of a plan are partitioned by."""
+    return re.findall(r"windowspecdefinition\(([^,\]]*)", p)
+
+
+SCORED = ["io_overall", "io_per_axis", "io_per_domain", "similarity_ecdf", "ks_slope_cliff", "axis_similarity_stats", "quantile_grid", "danger_zone", "surface_step", "encoder_io"]
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_no_window_over_a_key_and_no_buffered_percentile(spark, data, name):
+    """Running sums are within ranges, so a window's groups are as many as the tasks of a sort, also where all rows have one key."""
+    p = plan(entry.queries()[name](spark, data))
+    assert "percentile(" not in p and "CartesianProduct" not in p
+    over = [w for w in windows_of(p) if "__range" not in w and "_w" not in w]
+    assert not over or name == "danger_zone", over  # without a key the offsets of the ranges, one row each, are in one window
+
+
+def test_the_bootstrap_sums_before_it_shuffles(spark, data):
+    p = plan(entry.queries()["kappa_bootstrap"](spark, data))
+    assert p.index("partial_sum") < p.index("Generate explode")  # a plan is read from below: the sums stand on the draws
+    assert "Exchange" not in p[p.index("partial_sum") : p.index("Generate explode")]
+
+
+def test_similar_sets_leave_no_pairs(spark, data):
+    """What leaves the comparing tasks is one row per row, summed and shuffled by id."""
+    from bandwright.operators import dedupe
+
+    reps = spark.createDataFrame([("a", "some text of a row", 1), ("b", "some text of a rox", 2)], "id string, text string, w bigint")
+    posted, shared = dedupe.postings(reps, 0.5)
+    p = plan(dedupe._open(posted, shared, 0.5))
+    assert "MapInArrow" in p and "partial_min" in p and "Join" not in p
+
+
 RELATIONAL = [n for m in entry._modules() if m.__name__.endswith(("relational", "agreement", "messages")) for n in m.QUERIES]
 
 

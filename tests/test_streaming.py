@@ -66,17 +66,18 @@ def test_windows_equal_batch(spark, data, tmp_path):
             assert {(r.user_id, r.start, r.n) for r in got.collect()} <= {(r.user_id, r.start, r.n) for r in want.collect()}
 
 
-def test_online_cache_equals_walk(spark, tmp_path):
+@pytest.mark.parametrize(("policy", "capacity"), [("none", 0), ("fifo", 7), ("lru", 7)])
+def test_online_cache_equals_walk(spark, tmp_path, policy, capacity):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((60, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    order = cachesim.permutation(0, 60)
-    want = [(t, i, s if s >= 0 else None) for t, i, s, _ in cachesim.walk(x, order, 0.6)]
+    order = cachesim.zipf(0, 60, 0.8, 90) if capacity else cachesim.permutation(0, 60)
+    want = [(t, i, s if s >= 0 else None) for t, i, s, _ in cachesim.walk(x, order, 0.6, policy=policy, capacity=capacity)]
     src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
     for part in range(2):
         rows = [("c", t, i, x[i].tolist()) for t, i in enumerate(order) if (t < 30) == (part == 0)]
         spark.createDataFrame(rows, "cache string, pos int, item int, vec array<double>").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("cache string, pos int, item int, vec array<double>").parquet(src)
-        run(cache.online(stream, 0.6).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), cp)
+        run(cache.online(stream, 0.6, policy, capacity).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), cp)
     got = sorted((r.pos, r.item, r.stored) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == want
