@@ -103,7 +103,9 @@ def greedy(keys: DataFrame) -> DataFrame:
         stay = cut(open_.join(least, "key").groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("s")).filter("s").select("id"))
         taken = open_.join(stay, "id").select("key").distinct()
         gone = open_.join(taken, "key").select("id").distinct()  # those that stay and those that fall
-        open_ = cut(open_.join(gone, "id", "left_anti"))
+        before, open_ = open_, cut(open_.join(gone, "id", "left_anti"))
+        if before is not whole:
+            release(before)
         staying = staying.unionByName(stay)
     holders = whole.join(staying, "id").select("key", F.col("id").alias("keeper"))  # one per key at most
     met = whole.join(staying, "id", "left_anti").join(holders, "key").filter("keeper < id")
@@ -334,8 +336,9 @@ def jaccard(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9) ->
         rest = open_.join(stay, "id", "left_anti")
         sides = stay.withColumn("side", F.lit(1)).unionByName(rest.withColumn("side", F.lit(0)))
         fall = _kept(some(sides), shared, threshold).select("id")
-        open_ = cut(rest.join(fall, "id", "left_anti"))
+        last, open_ = (open_, near), cut(rest.join(fall, "id", "left_anti"))
         near = cut(_open(some(open_), shared, threshold))
+        release(*[t for t in last if t is not met])
     if staying is None:
         keeper = met.select("id", F.col("least").alias("keeper"))
     else:
