@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.text import acronym_slots, normalise_answer, number_slots, word_set
 from bandwright.operators import cachesim, windows
+from bandwright.operators.pairs import embed
 from bandwright.plans.base import PAIRS, kept, pairs, r6, strip_sql, with_
 from bandwright.plans.decision import _ACR, _NUM, tuned_on_all
 from bandwright.session import cut, load
@@ -21,6 +22,7 @@ TEXT_ORDERS, PILOT_ORDERS, SWEEP_ORDERS = 500, 200, 50
 CAPACITIES = [(p, c) for p in ("fifo", "lru") for c in (50, 150, 300)]
 SIZES = (100, 500, 1000, 2500, 5231)
 WORKLOAD = 5000
+ENCODERS = ("table", "trigrams", "words")
 #: A threshold at which other families' entries are served.
 CONFUSING = 0.3
 SETTING = ["tau", "rule", "policy", "capacity", "alpha"]
@@ -56,7 +58,7 @@ def workload(spark: SparkSession, d: str) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
         slots = F.concat_ws("|", F.concat_ws(",", number_slots(text)), F.concat_ws(",", acronym_slots(text)))
         full = items.join(doc, "seed_id", "left").withColumn("key", F.when(F.col("kind") == "MISS", F.col("id")).otherwise(F.col("seed_id")))
-        return full.select("item", "vec", "key", F.col("seed_id").alias("family"), "kind", "axis", "doc", "ans", word_set(text).alias("words"), slots.alias("slots"))
+        return full.select("item", "vec", "key", F.col("seed_id").alias("family"), "kind", "axis", "doc", "ans", text.alias("text"), word_set(text).alias("words"), slots.alias("slots"))
 
     return kept(spark, d, "workload", make)
 
@@ -147,6 +149,32 @@ def seed_confusion(spark: SparkSession, d: str) -> DataFrame:
     return cachesim.confusion(cachesim.classify(served, items))
 
 
+def _encoded(items: DataFrame, encoder: str) -> DataFrame:
+    """``items`` with the vectors of an encoder: the table's own, hashed trigrams, or hashed words."""
+    if encoder == "table":
+        return items
+    if encoder == "trigrams":
+        part = embed(items.select("text")).select("text", F.conv("bucket", 16, 10).cast("int").alias("k"), F.col("v").cast("double").alias("v"))
+    else:
+        words = items.select("text", "words").distinct().select("text", F.explode("words").alias("w"))
+        part = words.groupBy("text", F.pmod(F.xxhash64("w"), F.lit(256)).cast("int").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    by = part.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("by"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0.0)))
+    none = F.create_map().cast("map<int,double>")
+    return items.drop("vec").join(by, "text", "left").withColumn("by", F.coalesce("by", none)).withColumn("vec", vec).drop("by")
+
+
+def cache_sim_encoders(spark: SparkSession, d: str) -> DataFrame:
+    """Rates over thresholds 0.80 to 0.98 with three encoders, on the first 2,500 items of the workload."""
+    items, out = workload(spark, d).filter("item < 2500"), None
+    taus = [round(0.8 + 0.02 * k, 2) for k in range(10)]
+    for encoder in ENCODERS:
+        own = cut(_encoded(items, encoder))
+        r = _rates(cachesim.simulate(own, cachesim.settings(spark, taus, SWEEP_ORDERS)), own).select(F.lit(encoder).alias("encoder"), "tau", "arrivals", "hit", "hit_std", "wrong", "sensitivity")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def served_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of what is served in three orders, at a threshold at which families mix and at one at which they don't."""
     items = workload(spark, d)
@@ -196,7 +224,7 @@ def event_gaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cache_sim, cache_sim_capacity, cache_sim_verified, order_sensitivity, index_keyed_sim, cache_sim_eviction, cache_sim_zipf, cache_sim_size, cache_sim_text, arch_rules, serve_classes,
+        cache_sim, cache_sim_capacity, cache_sim_verified, order_sensitivity, index_keyed_sim, cache_sim_eviction, cache_sim_zipf, cache_sim_size, cache_sim_encoders, cache_sim_text, arch_rules, serve_classes,
         answer_text_keys, seed_confusion, served_classes, served_confusion, served_answers, served_rules, event_windows, event_sliding, event_sessions, event_gaps,
     )
 }

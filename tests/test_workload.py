@@ -41,3 +41,20 @@ def test_rates_against_a_plain_walk(spark):
             keys[i].add((stored if stored >= 0 else i) % 7)
     assert len(got) == 1 and got[0].arrivals == 1200
     assert got[0].hit == round(hits / 1200, 6) and got[0].sensitivity == round(sum(len(k) > 1 for k in keys) / 30, 6)
+
+
+def test_encoders_of_the_sweep(spark):
+    """Hashed trigrams give the same cosine as the pair operator; a text without words is a zero vector."""
+    import numpy as np
+
+    from bandwright.operators.pairs import pair_cosine
+
+    rows = [(0, "where is the office", [1.0]), (1, "where is the new office", [1.0]), (2, "", [1.0])]
+    items = spark.createDataFrame(rows, "item int, text string, vec array<double>").selectExpr("*", "filter(split(text, ' '), w -> w <> '') AS words")
+    got = {r.item: np.array(r.vec) for r in stateful._encoded(items, "trigrams").collect()}
+    pair = spark.createDataFrame([(1, rows[0][1], rows[1][1])], "id int, seed_question string, variation string")
+    want = pair_cosine(pair).first().sim
+    assert abs(got[0] @ got[1] / np.linalg.norm(got[0]) / np.linalg.norm(got[1]) - want) < 1e-12
+    words = {r.item: np.array(r.vec) for r in stateful._encoded(items, "words").collect()}
+    assert words[0].sum() == 4 and words[1].sum() == 5 and not words[2].any() and len(words[2]) == 256
+    assert stateful._encoded(items, "table") is items
