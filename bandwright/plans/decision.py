@@ -184,6 +184,23 @@ def c4_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return red.groupBy("config").agg(F.round(F.avg((F.col("gap") > 0).cast("int")), 6).alias("positive")).join(ci, "config", "left").select("config", "positive", *r6("lo", "hi"))
 
 
+def all_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The nine ratios of all seven configurations, E decided out of fold, with their bootstrap intervals."""
+    configs = (*decision.CONFIGS, "E")
+    counts = cut(decision.seed_counts(_learned(predicted(spark, d), FOLDS), configs))
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in decision.RATIOS])).alias("m")
+    values = decision.ratios(counts, ["config"]).select("config", each).select("config", "m.metric", "m.value")
+    reps = decision.ratios(bootstrap.replicates(counts, "seed_id", list(decision.COUNTS), REPS, ["config"]), ["rep", "config"])
+    limits = bootstrap.percentile_interval(reps.select("config", each).select("config", "m.metric", "m.value"), ["config", "metric"], "value")
+    return values.join(limits, ["config", "metric"], "left").select("config", "metric", *r6("value", "lo", "hi"))
+
+
+def all_reductions(spark: SparkSession, d: str) -> DataFrame:
+    """c4_reduction with the learned configuration."""
+    counts = decision.seed_counts(_learned(predicted(spark, d), FOLDS), (*decision.CONFIGS, "E"))
+    return decision.reduction(counts).select("config", *r6("slope", "cliff", "gap"))
+
+
 def logistic_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = decision.logistic(verified(spark, d), FEATURES, FOLDS)
     served = (F.col("p") > 0.5).cast("int")
@@ -201,7 +218,7 @@ QUERIES = {
     for f in (
         threshold_sweep, balanced_accuracy, best_tau, domain_tau, utility_tau_star, nearest_rho, slot_guard, pair_features, seed_folds, fold_parameters,
         config_predictions, config_metrics, in_sample_metrics, in_sample_configs, seed_counts, c4_reduction, c_residual, band_oracle, verifier_in_band, split_half,
-        cluster_bootstrap, c4_bootstrap, logistic_pairs, logistic_balance, learned_metrics,
+        cluster_bootstrap, c4_bootstrap, logistic_pairs, logistic_balance, learned_metrics, all_metrics, all_reductions,
     )
 }
 

@@ -25,3 +25,13 @@ def test_replicates_of_the_reference(spark, data, monkeypatch):
     monkeypatch.setattr(plans.bootstrap, "replicates", lambda rows, key, counts, reps, keys: asked.append(reps) or made(rows, key, counts, 5, keys))
     plans.c4_bootstrap(spark, data)
     assert asked == [2000]
+
+
+def test_all_metrics_hold_the_others(spark, data):
+    got = {(r.config, r.metric): r for r in plans.all_metrics(spark, data).collect()}
+    assert len(got) == 7 * len(decision.RATIOS)
+    for table in (plans.config_metrics, plans.learned_metrics):
+        for r in table(spark, data).collect():
+            assert all(got[r.config, m].value == r[m] or r[m] != r[m] for m in decision.RATIOS)
+    assert all(r.lo <= r.value <= r.hi for r in got.values() if r.lo is not None and r.value == r.value and r.hi > r.lo)
+    assert {r.config for r in plans.all_reductions(spark, data).collect()} == {*decision.CONFIGS[1:], "E"}
