@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bandwright.functions.taxonomy import derived, language
 from bandwright.functions.text import fold, strip
@@ -34,19 +40,51 @@ def embed(texts: DataFrame, text: str = "text") -> DataFrame:
     return grams.groupBy(text, "bucket").agg(F.sum("sign").alias("v")).filter("v <> 0")
 
 
+class _Signs:
+    """Bucket and sign of trigrams, each hashed once a task; as a vocabulary has few trigrams, that is next to nothing."""
+
+    def __init__(self) -> None:
+        self.codes, self.at, self.sign = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some, back = np.unique(codes, return_inverse=True)
+        new = np.setdiff1d(some, self.codes, assume_unique=True)
+        if len(new):
+            hashes = [hashlib.md5("".join(chr(c >> 21 * k & 0x1FFFFF) for k in range(3)).encode("utf-8", "surrogatepass")).hexdigest() for c in new.tolist()]
+            codes_ = np.concatenate([self.codes, new])
+            order = np.argsort(codes_)
+            self.at = np.concatenate([self.at, [int(h[14:16], 16) for h in hashes]])[order]
+            self.sign = np.concatenate([self.sign, [1 if int(h[13], 16) % 2 else -1 for h in hashes]])[order]
+            self.codes = codes_[order]
+        place = np.searchsorted(self.codes, some)[back]
+        return self.at[place], self.sign[place]
+
+
+def _vectors(texts: list[str], signs: _Signs) -> np.ndarray:
+    """Vectors of padded texts, all of three or more characters."""
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), lens)
+    at = np.flatnonzero(np.arange(len(points)) < (np.cumsum(lens) - 2)[row])
+    bucket, sign = signs.of(points[at] | points[at + 1] << 21 | points[at + 2] << 42)
+    return np.bincount(row[at] * 256 + bucket, weights=sign, minlength=256 * len(texts)).reshape(len(texts), 256)
+
+
 def pair_cosine(pairs: DataFrame, a: str = "seed_question", b: str = "variation", key: str = "id") -> DataFrame:
     """(key, sim): cosine of the trigram vectors of two texts. Sums are whole numbers, so the result is the same on every engine; a null text counts as empty; a zero vector gives 0.
 
-    The rows are spread by key once; both groupings then stand on that partitioning. Positions are exploded rather than
-    trigrams, so cutting and hashing run in generated code.
+    Row by row within Arrow batches, a few thousand texts at once as arrays of code points: nothing is exploded or shuffled.
     """
-    rows = pairs.select(key, _padded(a).alias("a"), _padded(b).alias("b")).repartition(key)
-    na = F.length("a") - 2
-    each = rows.select(key, "a", "b", na.alias("na"), F.explode(F.sequence(F.lit(1), na + F.length("b") - 2)).alias("i"))
-    left = F.col("i") <= F.col("na")
-    cut_ = F.when(left, F.substring(F.col("a"), F.col("i"), F.lit(3))).otherwise(F.substring(F.col("b"), F.col("i") - F.col("na"), F.lit(3)))
-    grams = _signed(each.select(key, cut_.alias("g"), left.alias("left")), key, "left")
-    per = grams.groupBy(key, "bucket").agg(F.sum(F.when(F.col("left"), F.col("sign")).otherwise(0)).alias("x"), F.sum(F.when(F.col("left"), 0).otherwise(F.col("sign"))).alias("y"))
-    sums = per.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    length = F.sqrt((F.col("xx") * F.col("yy")).cast("double"))
-    return sums.select(key, F.when(length == 0, F.lit(0.0)).otherwise(F.col("xy") / length).alias("sim"))
+    rows = pairs.select(key, _padded(a).alias("a"), _padded(b).alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = _Signs()
+        for batch in batches:
+            for s in range(0, len(batch), 2048):
+                part = batch.slice(s, 2048)
+                x, y = (_vectors(part.column(c).to_pylist(), signs) for c in (1, 2))
+                xy, xx, yy = (np.einsum("ij,ij->i", p, q) for p, q in ((x, y), (x, x), (y, y)))
+                length = np.sqrt(xx * yy)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(length == 0, 0.0, xy / np.where(length == 0, 1.0, length)))], names=[key, "sim"])
+
+    return rows.mapInArrow(compare, StructType([rows.schema[key], StructField("sim", DoubleType())]))
