@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.text import fold
 from bandwright.operators.skew import lookup_join, prefix_sums
-from bandwright.session import cut
+from bandwright.session import cut, release
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
@@ -42,9 +42,9 @@ def _renamed(rows: DataFrame, key: str, to: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of the edges (a, b); the root is the smallest vertex of the component."""
-    edges = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
-    parents = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
-    edges = edges.filter("a <> b")
+    held = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
+    parents = cut(held.select(F.col("a").alias("v")).union(held.select("b")).distinct().withColumn("root", F.col("v")))
+    edges = held.filter("a <> b")
     while not edges.isEmpty():
         hooks = cut(edges.groupBy(F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("p")))
         while True:  # shortcut until every parent is a root
@@ -52,10 +52,13 @@ def components(edges: DataFrame) -> DataFrame:
             weighed = hooks.groupBy("p").agg(F.count(F.lit(1)).alias("w")).join(h, "p")
             if weighed.isEmpty():
                 break
-            hooks = cut(lookup_join(hooks, weighed, "p", "w", hooks.count(), "left").select("v", F.coalesce("up", "p").alias("p")))
-        parents = cut(_renamed(parents, "root", hooks))
+            last, hooks = hooks, cut(lookup_join(hooks, weighed, "p", "w", hooks.count(), "left").select("v", F.coalesce("up", "p").alias("p")))
+            release(last)
+        last, parents = parents, cut(_renamed(parents, "root", hooks))
         half = cut(_renamed(edges, "a", hooks))
         edges = cut(_renamed(half, "b", hooks).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(last, hooks, half, held)
+        held = edges
     return parents
 
 
