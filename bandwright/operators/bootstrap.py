@@ -1,7 +1,8 @@
 """Cluster bootstrap: whole clusters are drawn with replacement, from counts taken once per cluster.
 
-How often a cluster is in a replicate is drawn where its counts are: a Poisson number of mean 1 from the md5 of "replicate:cluster",
-which is what drawing as many clusters as there are comes to, and needs no numbering and no join. Only sums per replicate leave the tasks.
+How often a cluster is in a replicate is drawn where its counts are: a Poisson number of mean 1 from the md5 of "q:cluster",
+where q is a quarter of the replicate's number. That is what drawing as many clusters as there are comes to, and needs no
+numbering and no join. Only sums per replicate leave the tasks.
 """
 
 from __future__ import annotations
@@ -11,21 +12,26 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.functions.draws import uniform
-
 #: Chances of less than k + 1 draws, as far as a 32-bit number can tell.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+POISSON = [p for k in range(12) if (p := sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) * 2**32 <= 2**32 - 1]
+#: The same as eight hex digits, which compare as text.
+LIMITS = [f"{math.ceil(p * 2**32):08x}" for p in POISSON]
+#: Replicates that share a digest: each has eight of its hex digits.
+SHARED = 4
 
 
 def replicates(clusters: DataFrame, key: str, counts: list[str], reps: int, keys: list[str] | None = None) -> DataFrame:
     """(rep, keys, sums of counts) of ``reps`` resamples of the clusters; a cluster has a row per value of the keys."""
     keys = keys or []
-    rows = clusters.groupBy(key).agg(F.collect_list(F.struct(*keys, *counts)).alias("__rows"))
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = uniform(F.col("rep").cast("string"), F.col(key))
-    each = each.withColumn("__u", F.explode(F.array(u)))  # a generator's output is computed once, whatever is asked of it
-    drawn = each.withColumn("__w", sum((F.col("__u") >= p).cast("int") for p in POISSON)).filter("__w > 0")
-    long = drawn.select("rep", "__w", F.inline("__rows"))
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = clusters.repartition(n, key)  # few bytes, but many replicates of each: not to be put in one task for their size
+    rows = spread.groupBy(key).agg(F.collect_list(F.struct(*keys, *counts)).alias("__rows"))
+    each = rows.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // SHARED))))
+    each = each.withColumn("__h", F.explode(F.array(F.md5(F.concat_ws(":", F.col("__q").cast("string"), F.col(key))))))  # a generator's output is computed once, whatever is asked of it
+    drawn = F.array(*[F.struct((F.col("__q") * SHARED + i).alias("rep"), F.substring("__h", 8 * i + 1, 8).alias("u")) for i in range(SHARED)])
+    each = each.select("__rows", F.inline(drawn)).filter(F.col("rep") < reps)
+    weighed = each.withColumn("__w", sum((F.col("u") >= x).cast("int") for x in LIMITS)).filter("__w > 0")
+    long = weighed.select("rep", "__w", F.inline("__rows"))
     return long.groupBy("rep", *keys).agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in counts])
 
 

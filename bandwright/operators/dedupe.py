@@ -280,7 +280,8 @@ def _meetings(posted: DataFrame, shared: Broadcast, threshold: float, each, out:
         if held:
             yield from done()
 
-    ordered = posted.select("t", "x", "y", "b", "n", "pos", "id", "text", "w", "side").repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "n", "id")
+    n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: partitions aren't to be merged for their size
+    ordered = posted.select("t", "x", "y", "b", "n", "pos", "id", "text", "w", "side").repartition(n, "t", "x", "y").sortWithinPartitions("t", "x", "y", "n", "id")
     return ordered.mapInArrow(scan, out)
 
 

@@ -158,7 +158,7 @@ ORACLES = {
     "rater_marginals": with_(RATED) + " UNION ALL ".join(f"SELECT '{r}' AS rater, {r} AS label, count(*) AS n FROM rated GROUP BY {r}" for r in RATERS),
     "disagreements": with_(RATED) + "SELECT id, axis, expected_label, gold, concat_ws(',', a1, a2, a3) AS votes FROM rated WHERE gold IS NOT NULL AND agree = 0",
     "kappa_bootstrap": with_(RATED, f"c AS (SELECT seed_id, sum(n) AS n, sum(same) AS same, sum(pairs) AS pairs, sum(agree) AS agree FROM {_SUMS} GROUP BY seed_id)",
-        f"draws AS (SELECT rep, seed_id, CAST(('0x' || substring(md5(rep || ':' || seed_id), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM c, range(0, {REPS}) a(rep))",
+        f"draws AS (SELECT rep, seed_id, CAST(('0x' || substring(md5((rep // 4) || ':' || seed_id), CAST(1 + 8 * (rep % 4) AS BIGINT), 8)) AS BIGINT) / 4294967296e0 AS u FROM c, range(0, {REPS}) a(rep))",
         f"wt AS (SELECT rep, seed_id, {' + '.join(f'CAST(u >= {p!r}e0 AS INT)' for p in bootstrap.POISSON)} AS w FROM draws)",
         "reps AS (SELECT rep, c.n * w AS n, same * w AS same, pairs * w AS pairs, agree * w AS agree FROM wt JOIN c USING (seed_id) WHERE w > 0)", _fleiss("reps", "rep"),
         "m AS (SELECT 'kappa' AS metric, kappa AS v FROM fl UNION ALL SELECT 'ac1', ac1 FROM fl UNION ALL SELECT 'agreement', agreement FROM fl)", "o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS r FROM m)")

@@ -276,7 +276,7 @@ def _sql(x: str) -> str:
 _COUNTS = "counts AS (SELECT config, seed_id, " + ", ".join(f"CAST(sum({_sql(x)}) AS BIGINT) AS {c}" for c, x in decision.COUNTS.items()) + " FROM long GROUP BY config, seed_id)"
 _RATIOS = ", ".join(f"CASE WHEN sum({b}) = 0 THEN NULL ELSE round(sum({a}) / CAST(sum({b}) AS DOUBLE), 6) END AS {x}" for x, (a, b) in decision.RATIOS.items())
 _REPS = f"""seeds AS (SELECT DISTINCT seed_id FROM counts),
-draws AS (SELECT rep, seed_id, CAST(('0x' || substring(md5(rep || ':' || seed_id), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM seeds, range(0, {REPS}) a(rep)),
+draws AS (SELECT rep, seed_id, CAST(('0x' || substring(md5((rep // 4) || ':' || seed_id), CAST(1 + 8 * (rep % 4) AS BIGINT), 8)) AS BIGINT) / 4294967296e0 AS u FROM seeds, range(0, {REPS}) a(rep)),
 wt AS (SELECT rep, seed_id, {" + ".join(f"CAST(u >= {p!r}e0 AS INT)" for p in bootstrap.POISSON)} AS w FROM draws),
 reps AS (SELECT rep, config, {", ".join(f"sum({c} * w) AS {c}" for c in decision.COUNTS)} FROM wt JOIN counts USING (seed_id) WHERE w > 0 GROUP BY rep, config)"""
 
