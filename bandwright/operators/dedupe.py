@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -38,20 +37,39 @@ def _coefficients(n: int, seed: int = 1) -> list[tuple[int, int]]:
     return out
 
 
+def _flat(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., of every stretch as many as ``lens`` says."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _sorted_within(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sorts each of the stretches that ``values`` consists of: stretches of about one length as the rows of a matrix."""
+    starts, order = np.cumsum(lens) - lens, np.argsort(lens, kind="stable")
+    out, ranked, at = np.empty_like(values), lens[order], 0
+    while at < len(order):
+        to = min(int(np.searchsorted(ranked, ranked[at] * 5 // 4 + 4, side="right")), at + max(1, 4_000_000 // int(ranked[at] * 5 // 4 + 4)))
+        rows, wide = order[at:to], int(ranked[to - 1])
+        inside = np.arange(wide) < lens[rows][:, None]
+        held, matrix = _flat(starts[rows], lens[rows]), np.full(inside.shape, np.iinfo(np.int64).max)
+        matrix[inside] = values[held]
+        matrix.sort(axis=1)
+        out[held] = matrix[inside]
+        at = to
+    return out
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle) of the texts' distinct shingles, in order of both."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    starts = np.cumsum(lens) - lens
-    row = np.repeat(np.arange(len(texts)), lens)
-    whole = np.arange(len(points)) < (starts + lens - 2)[row] if len(points) else np.zeros(0, bool)
-    at = np.flatnonzero(whole)
-    found = points[at] | points[at + 1] << 21 | points[at + 2] << 42
-    short = np.flatnonzero(lens < 3)
-    few = np.array([-1 - sum(ord(c) + 1 << 21 * k for k, c in enumerate(texts[i])) for i in short], dtype=np.int64)
-    row, found = np.concatenate([row[at], short]), np.concatenate([found, few])
-    order = np.lexsort((found, row))
-    row, found = row[order], found[order]
+    many = np.maximum(lens - 2, 1)
+    row, found = np.repeat(np.arange(len(texts)), many), np.empty(many.sum(), np.int64)
+    whole = (lens > 2)[row]
+    at = _flat((np.cumsum(lens) - lens)[lens > 2], many[lens > 2])
+    found[whole] = points[at] | points[at + 1] << 21 | points[at + 2] << 42
+    found[~whole] = [-1 - sum(ord(c) + 1 << 21 * k for k, c in enumerate(texts[i])) for i in np.flatnonzero(lens < 3)]
+    found = _sorted_within(found, many)
     new = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
     return row[new], found[new]
 
@@ -122,14 +140,10 @@ def lsh(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     return classes(rows, id_col, greedy(cut(band_keys(rows, id_col, text))))
 
 
-#: Classes that shingles are counted by; the counts give an order of shingles, rare ones first, and bound what is broadcast.
-COUNTERS = 1 << 16
-#: Rows of one shingle that one task compares; more are split into blocks, and each two blocks are compared apart.
+#: Rows of one key that one task compares; more are split into blocks, and each two blocks are compared apart.
 SPLIT = 4096
-
-
-def _counter(found: np.ndarray) -> np.ndarray:
-    return (_mixed(found, 2) >> np.uint64(48)).astype(np.int64)
+#: Bytes that a task reads before it compares rows of equal keys, and pairs that it looks at together.
+BYTES_AT_ONCE, PAIRS_AT_ONCE = 2_000_000, 100_000
 
 
 def classes_of_sets(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -151,200 +165,255 @@ def classes_of_sets(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame,
     return cut(members.select("id", "rep")), cut(sets.select("first.id", "first.text", "w"))
 
 
-def postings(reps: DataFrame, threshold: float) -> tuple[DataFrame, Broadcast]:
-    """(t, x, y, b, n, pos, id, text, w), and the counts that order shingles: a row's prefix, its rarest n - ceil(threshold n) + 1 shingles, of which two sets that similar have one in common.
+class Parts:
+    """Parts of all shingles, so many that two similar sets must be equal in one.
 
-    Shingles that many rows have in their prefix come once for each two blocks (x, y) of these rows; b is the row's own block.
+    Sets of sizes a and b that are similar differ in at most (a + b)(1 - threshold) / (1 + threshold) shingles, so of more parts than that one
+    holds none of these. A pair goes by the number of parts that its larger set takes; numbers are coarse, so most sizes need one only.
     """
-    spark = reps.sparkSession
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            total += np.bincount(_counter(codes(batch.column(0).to_pylist())[1]), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.numbers = threshold, [1]
+
+    def apart(self, both: np.ndarray) -> np.ndarray:
+        """The shingles, of one set only, that similar sets have at most, by the sum of their sizes."""
+        return np.floor(both * (1 - self.threshold) / (1 + self.threshold) + 1e-6).astype(np.int64)
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        """The place among ``numbers`` of the number of parts that sets of ``n`` shingles take."""
+        least = self.apart(2 * n) + 1
+        while self.numbers[-1] < least.max(initial=1):
+            self.numbers.append(self.numbers[-1] + max(1, self.numbers[-1] // 3))
+        return np.searchsorted(self.numbers, least)
 
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in reps.select("text").mapInArrow(tally, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
-        counts[r.c] = r.n
-    shared = spark.sparkContext.broadcast(counts)
+    def taken(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that sets of ``n`` shingles take for themselves, and the last that a larger similar set may take."""
+        return self.of(n), self.of(np.floor(n / self.threshold + 1e-6).astype(np.int64))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(self, place: int, row: np.ndarray, mixed: np.ndarray, rows: int) -> np.ndarray:
+        """(rows, parts): a number for the shingles that each row has in each part."""
+        m = self.numbers[place]
+        at = row * m + ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        low, high = (np.bincount(at, half.astype(np.float64), rows * m).astype(np.uint64) for half in (mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)))
+        return _mixed((low + (high << np.uint64(32))).reshape(rows, m) + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), m)
+
+
+def postings(reps: DataFrame, threshold: float) -> tuple[DataFrame, Parts]:
+    """(t, x, y, b, id, text, w) of the rows that share a key t with another, a key being what a row has in one part, and the parts.
+
+    Keys that many rows have come once for each two blocks (x, y) of these rows; b is the row's own block.
+    """
+    parts = Parts(threshold)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            row, t, c, pos, n = _ordered(batch.column(1).to_pylist(), shared.value)
-            keep = np.flatnonzero((pos < (n - np.ceil(n * threshold - 1e-9) + 1)[row]) & (c > 1))
-            for p in range(0, len(keep), 10_000):
-                k = keep[p : p + 10_000]
-                r = pa.array(row[k])
-                yield pa.RecordBatch.from_arrays([pa.array(t[k]), pa.array(n[row[k]].astype(np.int32)), pa.array(pos[k].astype(np.int32)), batch.column(0).take(r), batch.column(1).take(r), batch.column(2).take(r)], names=["t", "n", "pos", "id", "text", "w"])
-
-    fields = StructType.fromDDL("t bigint, n int, pos int").fields
-    made = cut(reps.select("id", "text", "w").mapInArrow(prefixes, StructType([*fields, *reps.select("id", "text", "w").schema.fields])))
-    per = cut(made.groupBy("t").agg(F.count(F.lit(1)).alias("c")))
-    many = per.filter(F.col("c") > SPLIT).select("t", "c", F.ceil(F.col("c") / SPLIT).cast("int").alias("blocks"))
-    split = lookup_join(made, many, "t", "c", made.count(), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            row, found = codes(batch.column(0).to_pylist())
+            n, mixed = np.bincount(row, minlength=len(batch)), _mixed(found, 5)
+            first, last = parts.taken(n)
+            who, keys = [], []
+            for place in range(int(first.min()), int(last.max()) + 1):
+                some = (first <= place) & (place <= last)
+                of = some[row]
+                made = parts.keys(place, (np.cumsum(some) - 1)[row[of]], mixed[of], int(some.sum()))
+                who.append(np.repeat(np.flatnonzero(some), made.shape[1]))
+                keys.append(made.ravel())
+            who, keys = np.concatenate(who), np.concatenate(keys)
+            order = np.argsort(who, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(who, minlength=len(batch)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))), *batch.columns], names=["keys", *batch.schema.names])
+
+    plain = reps.select("text", "id", "w")
+    signed = cut(plain.mapInArrow(sign, StructType([*StructType.fromDDL("keys array<bigint>").fields, *plain.schema.fields])).withColumn("keys", F.array_distinct("keys")))
+    per = cut(signed.select(F.explode("keys").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    total = per.agg(F.sum("c")).first()[0] or 0
+    split = lookup_join(signed.select(F.explode("keys").alias("t"), "id"), per.withColumn("blocks", F.ceil(F.col("c") / SPLIT).cast("int")), "t", "c", total)
     split = split.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = cut(each.select("t", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "n", "pos", "id", "text", "w"))
-    release(made, per)
-    return out, shared
+    places = each.select("id", F.struct("t", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b").alias("at"))
+    out = cut(places.join(signed.select("id", "text", "w"), "id").select("at.*", "id", "text", "w"))
+    release(signed, per)
+    return out, parts
 
 
-def _ordered(texts: list[str], counts: np.ndarray):
-    """(row, shingle, count, position, sizes): shingles of each text in the order of their counts, equal ones by number."""
+def similar_within(texts: list[str], key: np.ndarray, group: np.ndarray, own: np.ndarray, parts: Parts, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of one group whose sets are similar and have no earlier key in common (there they meet as well); of two ``own`` blocks where
+    these aren't negative. ``group`` rises; sketches (256 parities of shingles) tell nearly all others apart before sets are compared."""
     row, found = codes(texts)
-    c = counts[_counter(found)]
-    order = np.lexsort((found, c, row))
-    row, found, c = row[order], found[order], c[order]
-    n = np.bincount(row, minlength=len(texts))
-    return row, found, c, np.arange(len(row)) - (np.cumsum(n) - n)[row], n
-
-
-class _Sets:
-    """Rows as 0/1 vectors over the numbers that at least two rows have, in blocks."""
-
-    def __init__(self, row: np.ndarray, value: np.ndarray, rows: int) -> None:
-        _, at, n = np.unique(value, return_inverse=True, return_counts=True)
-        kept = n > 1
-        self.at, self.row, self.wide = (np.cumsum(kept) - 1)[at][kept[at]], row[kept[at]], int(kept.sum())
-        self.starts = np.searchsorted(self.row, np.arange(rows + 1))
-
-    def block(self, lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((hi - lo, self.wide), np.float32)
-        a, b = self.starts[lo], self.starts[hi]
-        out[self.row[a:b] - lo, self.at[a:b]] = 1
-        return out
-
-
-def similar_within(texts: list[str], n: np.ndarray, pos: np.ndarray, own: np.ndarray | None, counts: np.ndarray, threshold: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j), i < j, of rows of one shingle, in order of ``n``, whose sets are similar and have no rarer shingle of both prefixes in common (there they meet as well); of two
-    ``own`` blocks if given. Whole blocks are compared as matrix products."""
-    reach = np.searchsorted(n, n / threshold + 1e-6, side="right")
-    if not (reach > np.arange(len(n)) + 1).any():
-        return
-    row, found, _, at, _ = _ordered(texts, counts)
-    before = at < pos[row]
-    sets, earlier = _Sets(row, found, len(n)), _Sets(row[before], found[before], len(n))
-    for lo in range(0, len(n), block):
-        hi = min(len(n), lo + block)
-        a, ea, top = sets.block(lo, hi), earlier.block(lo, hi), int(reach[lo:hi].max())
-        for left in range(lo, top, block):
-            right = min(top, left + block)
-            both = a @ sets.block(left, right).T
-            ok = both >= (n[lo:hi, None] + n[None, left:right] - both) * threshold - 1e-4
-            i, j = np.nonzero(ok)
-            keep = i + lo < j + left
-            if own is not None:
-                keep &= own[i + lo] != own[j + left]
-            i, j = i[keep], j[keep]
-            if len(i):
-                first = np.einsum("ij,ij->i", ea[i], earlier.block(left, right)[j]) == 0 if earlier.wide else np.ones(len(i), bool)
-                exact = both[i, j].astype(np.int64) >= (n[i + lo] + n[j + left] - both[i, j].astype(np.int64)) * threshold - 1e-9
-                yield (i + lo)[first & exact], (j + left)[first & exact]
-
-
-def _meetings(posted: DataFrame, shared: Broadcast, threshold: float, each, out: StructType) -> DataFrame:
-    """What ``each(ids, w, side, i, j)`` gives of the similar pairs of every shingle; ``posted`` has a column ``side``."""
+    size = np.bincount(row, minlength=len(texts))
+    order = np.lexsort((size, group))
+    n, g, u, t = size[order], group[order], own[order], key[order]
+    mixed, starts = _mixed(found, 5), np.cumsum(size) - size
+    bit, word = np.uint64(1) << (mixed & np.uint64(63)), mixed >> np.uint64(6) & np.uint64(3)
+    sketch = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), starts)[order] for k in range(4)]
+    place, last = parts.taken(n)
+    keys = {}  # of each place that occurs as a pair's, and where the rows that take it have theirs: made when a pair comes this far
+    wide = int(n.max()) + int(n.max() / parts.threshold) + 2
+    to = np.searchsorted(g * wide + n, g * wide + np.floor(n / parts.threshold + 1e-6).astype(np.int64), side="right")
+    per, bound = to - np.arange(len(n)) - 1, parts.apart(n + np.floor(n / parts.threshold + 1e-6).astype(np.int64))
+    run = np.cumsum(per)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(run, (run[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        j, many = _flat(np.arange(lo, hi) + 1, per[lo:hi]), per[lo:hi]
+        near = np.flatnonzero(np.bitwise_count(np.repeat(sketch[0][lo:hi], many) ^ sketch[0][j]) <= np.repeat(bound[lo:hi], many))
+        i, j = np.repeat(np.arange(lo, hi), many)[near], j[near]
+        lo = hi
+        if not len(i):
+            continue
+        most, apart = parts.apart(n[i] + n[j]), 0
+        for s in sketch:
+            apart = apart + np.bitwise_count(s[i] ^ s[j])
+            near = apart <= most
+            i, j, most, apart = i[near], j[near], most[near], apart[near]
+        cross = (u[i] < 0) | (u[i] != u[j])
+        i, j = i[cross], j[cross]
+        first = np.zeros(len(i), bool)
+        for k in np.unique(place[j]):  # j is the larger
+            if k not in keys:
+                takes = np.zeros(len(n), bool)
+                takes[order] = (place <= k) & (k <= last)
+                of, at = takes[row], np.cumsum(takes) - 1
+                keys[k] = parts.keys(int(k), at[row[of]], mixed[of], int(takes.sum())), at[order]
+            of, (made, at) = np.flatnonzero(place[j] == k), keys[k]
+            a, b = made[at[i[of]]], made[at[j[of]]]
+            at = (a == b).argmax(axis=1)
+            first[of] = (a[np.arange(len(of)), at] == t[i[of]]) & (b[np.arange(len(of)), at] == t[i[of]])
+        i, j = i[first], j[first]
+        if len(i):
+            lens = n[i] + n[j]
+            held = _flat(np.stack([starts[order[i]], starts[order[j]]], axis=1).ravel(), np.stack([n[i], n[j]], axis=1).ravel())
+            merged = _sorted_within(found[held], lens)
+            ends = np.cumsum(lens)
+            twice = np.append(merged[1:] == merged[:-1], False)
+            twice[ends - 1] = False
+            both = np.add.reduceat(twice.astype(np.int64), ends - lens)
+            exact = both >= (lens - both) * threshold - 1e-9
+            yield order[i[exact]], order[j[exact]]
+
+
+def _meetings(posted: DataFrame, parts: Parts, threshold: float, each, out: StructType) -> DataFrame:
+    """What ``each`` gives of rows and their similar pairs, (i, j) by (i, j), many keys at a time; ``posted`` has a column ``side``."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        held: list[pa.RecordBatch] = []
 
-        def done():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            n, own = rows["n"].to_numpy().astype(np.int64), rows["b"].to_numpy()
-            if len(n) < 2:
-                return
-            pairs = list(similar_within(rows["text"].to_pylist(), n, rows["pos"].to_numpy(), own if last[1] != last[2] else None, shared.value, threshold))
-            if pairs and sum(len(i) for i, _ in pairs):
-                yield from each(rows["id"].to_numpy(zero_copy_only=False), rows["w"].to_numpy(), rows["side"].to_numpy(), *map(np.concatenate, zip(*pairs, strict=True)))
+        def done(rows: pa.Table, group: np.ndarray):
+            own = np.where(rows["x"].to_numpy() == rows["y"].to_numpy(), -1, rows["b"].to_numpy())
+            yield from each(rows, similar_within(rows["text"].to_pylist(), rows["t"].to_numpy().view(np.uint64), group, own, parts, threshold))
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            change = np.zeros(len(batch) - 1, bool)
+        def whole(last: bool):
+            """Compares the keys that are complete; rows of the last one stay, as more may come."""
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = [rows[k].to_numpy() for k in ("t", "x", "y")]
+            change = np.zeros(max(0, len(rows) - 1), bool)
             for k in keys:
                 change |= k[1:] != k[:-1]
-            ends = np.append(np.flatnonzero(change) + 1, len(batch))
-            s = 0
-            for e in ends:
-                key = tuple(int(k[s]) for k in keys)
-                if held and key != last:
-                    yield from done()
-                    held = []
-                last = key
-                held.append(batch.slice(s, e - s))
-                s = e
+            group = np.append(0, np.cumsum(change))
+            stop = len(rows) if last else int(np.searchsorted(group, group[-1]))
+            alone = np.bincount(group[:stop])[group[:stop]] < 2 if stop else np.zeros(0, bool)
+            some = np.flatnonzero(~alone)
+            held[:] = rows.slice(stop).to_batches()
+            if len(some):
+                yield from done(rows.take(pa.array(some)).combine_chunks(), group[some])
+
+        n = 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += batch.nbytes
+            if n >= BYTES_AT_ONCE:
+                yield from whole(False)
+                n = 0
         if held:
-            yield from done()
+            yield from whole(True)
 
     n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: partitions aren't to be merged for their size
-    ordered = posted.select("t", "x", "y", "b", "n", "pos", "id", "text", "w", "side").repartition(n, "t", "x", "y").sortWithinPartitions("t", "x", "y", "n", "id")
+    ordered = posted.select("t", "x", "y", "b", "id", "text", "w", "side").repartition(n, "t", "x", "y").sortWithinPartitions("t", "x", "y")
     return ordered.mapInArrow(scan, out)
 
 
-def _open(posted: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
-    """(id, links, least): of every row that is similar to another of ``posted``, the rows that it is similar to and the smallest of their ids."""
-    kind = posted.schema["id"]
+def _met(posted: DataFrame, parts: Parts, threshold: float) -> DataFrame:
+    """The rows of ``posted`` that are similar to another at their key, with the number of rows they are similar to there and the smallest of their ids."""
+    kind, names = posted.schema["id"], ["t", "x", "y", "b", "id", "text", "w"]
+
+    def each(rows, pairs):
+        ids, w = rows["id"].to_numpy(zero_copy_only=False), rows["w"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        links, least = np.zeros(len(ids), np.int64), np.full(len(ids), len(ids))
+        for i, j in pairs:
+            for a, b in ((i, j), (j, i)):
+                np.add.at(links, a, w[b])
+                np.minimum.at(least, a, rank[b])
+        at = np.flatnonzero(links)
+        if len(at):
+            some = rows.select(names).take(pa.array(at)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(links[at]), rows["id"].combine_chunks().take(pa.array(order[least[at]]))], names=[*names, "links", "least"])
+
+    out = StructType([*posted.select(*names).schema.fields, StructField("links", LongType()), StructField("least", kind.dataType)])
+    return _meetings(posted.withColumn("side", F.lit(0)), parts, threshold, each, out)
 
-    def each(ids, w, side, i, j):
-        a, b = np.concatenate([i, j]), np.concatenate([j, i])
-        order = np.lexsort((ids[b], a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(np.add.reduceat(w[b], first)), pa.array(ids[b[first]])], names=["id", "links", "least"])
 
-    out = StructType([kind, StructField("links", LongType()), StructField("least", kind.dataType)])
-    return _meetings(posted.withColumn("side", F.lit(0)), shared, threshold, each, out).groupBy("id").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+def _by_id(met: DataFrame) -> DataFrame:
+    return met.groupBy("id").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+
+
+def _open(posted: DataFrame, parts: Parts, threshold: float) -> DataFrame:
+    """(id, links, least): of every row that is similar to another of ``posted``, the rows that it is similar to and the smallest of their ids."""
+    return _by_id(_met(posted, parts, threshold))
 
 
-def _kept(posted: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
+def _kept(posted: DataFrame, parts: Parts, threshold: float) -> DataFrame:
     """(id, keeper): of every row of side 0 that is similar to a smaller one of side 1, the smallest of these."""
     kind = posted.schema["id"]
 
-    def each(ids, w, side, i, j):
-        a, b = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
-        ok = (side[a] == 0) & (side[b] == 1) & (ids[b] < ids[a])
-        a, b = a[ok], b[ok]
-        if len(a):
-            order = np.lexsort((ids[b], a))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], names=["id", "keeper"])
+    def each(rows, pairs):
+        ids, side = rows["id"].to_numpy(zero_copy_only=False), rows["side"].to_numpy()
+        for i, j in pairs:
+            a, b = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+            ok = (side[a] == 0) & (side[b] == 1) & (ids[b] < ids[a])
+            a, b = a[ok], b[ok]
+            if len(a):
+                order = np.lexsort((ids[b], a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], names=["id", "keeper"])
 
-    return _meetings(posted, shared, threshold, each, StructType([kind, StructField("keeper", kind.dataType)])).groupBy("id").agg(F.min("keeper").alias("keeper"))
+    return _meetings(posted, parts, threshold, each, StructType([kind, StructField("keeper", kind.dataType)])).groupBy("id").agg(F.min("keeper").alias("keeper"))
 
 
 def jaccard(rows: DataFrame, id_col: str, text: str, threshold: float = 0.9) -> DataFrame:
     """(id, class_id, links): greedy classes under true Jaccard, and how many other rows each row is similar to.
 
-    Pairs are met where a shingle's rows are, and only counts, smallest neighbours and keepers leave the task, never the pairs, so a
-    family of m near-copies gives m rows. A round settles the rows that have no smaller open neighbour (they stay) and their neighbours (they fall).
+    Pairs are met where a part is equal, and only rows with counts and smallest neighbours, and keepers leave the task, never the pairs, so a
+    family of m near-copies gives m rows at a key. A round settles the rows that have no smaller open neighbour (they stay) and their neighbours (they fall).
     """
     members, reps = classes_of_sets(rows, id_col, text)
-    posted, shared = postings(reps, threshold)
-    met = cut(_open(posted, shared, threshold))
-    whole, posted = posted, cut(posted.join(met.select("id"), "id"))  # what the rounds are about
+    posted, parts = postings(reps, threshold)
+    whole, posted = posted, cut(_met(posted, parts, threshold))  # rows at the keys where they met a similar one: what the rounds are about
     release(whole)
-    some = lambda of: posted.join(of, "id")
-    open_, near = met.select("id"), met
+    met = cut(_by_id(posted))
+    posted = posted.drop("links", "least")
+    open_, near, left = met.select("id"), met, posted
     staying = None
     while not open_.isEmpty():
         stay = cut(open_.join(near.select("id", "least"), "id", "left").filter("least IS NULL OR least > id").select("id"))
         staying = stay if staying is None else staying.unionByName(stay)
         rest = open_.join(stay, "id", "left_anti")
         sides = stay.withColumn("side", F.lit(1)).unionByName(rest.withColumn("side", F.lit(0)))
-        fall = _kept(some(sides), shared, threshold).select("id")
-        last, open_ = (open_, near), cut(rest.join(fall, "id", "left_anti"))
-        near = cut(_open(some(open_), shared, threshold))
-        release(*[t for t in last if t is not met])
+        fall = _kept(left.join(sides, "id"), parts, threshold).select("id")
+        last, open_ = (open_, near, left), cut(rest.join(fall, "id", "left_anti"))
+        left = cut(left.join(open_, "id"))
+        near = cut(_open(left, parts, threshold))
+        release(*[t for t in last if t is not met and t is not posted])
     if staying is None:
         keeper = met.select("id", F.col("least").alias("keeper"))
     else:
         sides = met.select("id").join(staying, "id", "left_anti").withColumn("side", F.lit(0)).unionByName(staying.withColumn("side", F.lit(1)))
-        keeper = cut(_kept(some(sides), shared, threshold))
+        keeper = cut(_kept(posted.join(sides, "id"), parts, threshold))
     facts = reps.select(F.col("id").alias("rep"), "w").join(met.select(F.col("id").alias("rep"), "links"), "rep", "left").join(keeper.withColumnRenamed("id", "rep"), "rep", "left")
     out = lookup_join(members, facts.withColumn("size", F.col("w")), "rep", "w", members.count())
     some_text = out.select("id", F.coalesce("keeper", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))

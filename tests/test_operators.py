@@ -54,6 +54,51 @@ def test_a_family_of_near_copies_gives_no_pairs(spark, monkeypatch):
     assert {i: (got[i].class_id, got[i].links) for i in range(2000, 2007)} == {2000: (2000, 0), 2001: (2001, 1), 2002: (2001, 1), 2003: (2003, 1), 2004: (2003, 1), 2005: (2005, 0), 2006: (2006, 0)}
 
 
+def test_rows_hardly_meet_where_no_shingle_is_rare(spark):
+    """Texts over few letters share their rarest shingles with many others: few pairs are compared all the same, and the similar ones are found."""
+    rng = random.Random(4)
+    data = [(i, "".join(rng.choice("abcdef") for _ in range(60))) for i in range(1000)]
+    data += [(1000 + i, data[i][1][:-1]) for i in range(0, 1000, 50)]
+    df = spark.createDataFrame(data, "id bigint, text string")
+    posted = dedupe.postings(dedupe.classes_of_sets(df, "id", "text")[1], 0.9)[0]
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in posted.groupBy("t", "x", "y").count().collect()) < 10 * len(data)
+    got = {r.id: (r.class_id, r.links) for r in dedupe.jaccard(df, "id", "text").collect()}
+    assert got == {i: (i - 1000 if i >= 1000 else i, int(i >= 1000 or i % 50 == 0)) for i, _ in data}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 0.97, 1.0])
+def test_similar_sets_have_a_part_in_common(threshold):
+    """Texts of all lengths, at one key all together and at their keys: each similar pair comes once."""
+    rng = random.Random(6)
+    data = []
+    for n in [*range(40), *range(40, 400, 17)]:
+        t = [rng.choice("abcdefgh ") for _ in range(n)]
+        data.append("".join(t))
+        for _ in range(6):
+            for _ in range(rng.randrange(1, 3 + n // 40)):
+                at = rng.randrange(n + 1)
+                t[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+            data.append("".join(t))
+    data = list({frozenset(grams(t)): t for t in data}.values())
+    sets = [grams(t) for t in data]
+    want = {(a, b) for a, b in itertools.combinations(range(len(data)), 2) if len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) * threshold - 1e-9}
+    parts, keys = dedupe.Parts(threshold), defaultdict(set)
+    row, found = dedupe.codes(data)
+    n, mixed = np.bincount(row), dedupe._mixed(found, 5)
+    for i in range(len(data)):
+        one = np.array([n[i]])
+        first, last = parts.taken(one)
+        for place in range(first[0], last[0] + 1):
+            for k in parts.keys(place, np.zeros(n[i], np.int64), mixed[row == i], 1)[0]:
+                keys[k].add(i)
+    at = [(k, i) for k, of in keys.items() for i in sorted(of)]
+    key, who = np.array([k for k, _ in at], np.uint64), np.array([i for _, i in at])
+    group = np.unique(key, return_inverse=True)[1]
+    order = np.argsort(group, kind="stable")
+    got = [tuple(sorted((int(who[order[i]]), int(who[order[j]])))) for a, b in dedupe.similar_within([data[i] for i in who[order]], key[order], group[order], np.full(len(at), -1), parts, threshold) for i, j in zip(a, b, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and (threshold == 1 or want)
+
+
 def test_greedy_equals_sequential(spark):
     rng = random.Random(2)
     keys = [(i, f"k{rng.randrange(60)}") for i in range(150) for _ in range(3)]
